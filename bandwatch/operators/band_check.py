@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwatch.functions.bands import out_of_band
-from bandwatch.operators.slices import SLICED, arrival_order, up_to_here
+from bandwatch.operators.slices import arrival_order, up_to_here
 
 ALARM_KEYS = ["channel", "ts", "host", "reading_name"]
 

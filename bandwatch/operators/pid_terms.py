@@ -52,34 +52,27 @@ def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> D
     after summing: as long as the sums stay below 2^53 that is exact.
     """
     t = (F.col("ts") - F.col("tile")).cast("double")
+    measures = {"_n": F.lit(1.0), "_t": t, "_tt": t * t, "_y": F.col("value"),
+                "_ty": t * F.col("value")}
     framed = frame_aggregates(
-        df.withColumn("_before", F.lag("ts").over(arrival_order())),
-        frame_width(F.col("dt_diff"), window_ms),
-        {"_n": F.lit(1.0), "_t": t, "_tt": t * t, "_y": F.col("value"), "_ty": t * F.col("value")},
-        F.struct("ts"),
+        df, frame_width(F.col("dt_diff"), window_ms), measures, F.struct("ts")
     )
-    names = ["_n", "_t", "_tt", "_y", "_ty"]
-    sums = {name: F.coalesce(name, F.lit(0.0)) for name in names}
-    newest_ts = F.col("_before")
+    sums = {name: F.coalesce(name, F.lit(0.0)) for name in measures}
     if include_latest:
-        now = {"_n": F.lit(1.0), "_t": t, "_tt": t * t, "_y": F.col("value"),
-               "_ty": t * F.col("value")}
-        sums = {name: sums[name] + now[name] for name in names}
-        newest_ts = F.col("ts")
-    framed = framed.withColumns(sums | {"_newest": newest_ts})
+        sums = {name: sums[name] + now for name, now in measures.items()}
+    framed = framed.withColumns(sums)
     shift = (F.col("frame_first.ts") - F.col("tile")).cast("double")
     n, y = F.col("_n"), F.col("_y")
-    sum_t = F.col("_t") - n * shift
-    sum_tt = F.col("_tt") - 2 * shift * F.col("_t") + n * shift * shift
-    sum_ty = F.col("_ty") - shift * y
     framed = framed.withColumns({
-        "_over": n * sum_ty - y * sum_t,
-        "_under": n * sum_tt - sum_t * sum_t,
+        "_from_first": F.col("_t") - n * shift,
+        "_squared": F.col("_tt") - 2 * shift * F.col("_t") + n * shift * shift,
     })
-    spread = (F.col("_newest") > F.col("frame_first.ts")) & (F.col("_under") != 0)
+    over = n * (F.col("_ty") - shift * y) - y * F.col("_from_first")
+    under = n * F.col("_squared") - F.col("_from_first") * F.col("_from_first")
+    # The sum of the times since the first is 0 only if all times are equal.
+    spread = (F.col("_from_first") > 0) & (under != 0)
     return framed.withColumn(
-        "slope",
-        F.when(spread, 1000 * F.try_divide("_over", "_under")).otherwise(0.0),
+        "slope", F.when(spread, 1000 * F.try_divide(over, under)).otherwise(0.0)
     ).select(*df.columns, "slope")
 
 

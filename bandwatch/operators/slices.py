@@ -48,13 +48,8 @@ def with_halo(df: DataFrame, slice_ms: int, reach_ms: int) -> DataFrame:
     return df.withColumn("slice", F.explode(starts))
 
 
-def is_own(slice_ms: int) -> Column:
-    """The row belongs to its slice, i.e. is no halo copy."""
-    return F.col("ts") < F.col("slice") + F.lit(slice_ms)
-
-
 def not_before_own(margin_ms: int = 0) -> Column:
-    """At or after the slice's start, less a margin."""
+    """At or after the slice's start, less a margin: without margin, no halo copy."""
     return F.col("ts") >= F.col("slice") - F.lit(margin_ms)
 
 

@@ -1,17 +1,18 @@
 """The three alarm pipelines: readings and config in, alarms out.
 
-Each costs one shuffle of the readings that have such a rule, on (series, rule, slice).
+Each costs one shuffle of the readings that have such a rule, on (series, rule, slice). If the
+readings have a boolean column `is_new`, rows without it set only serve as history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from bandwatch.operators.band_check import band_params, check_band, to_alarm
 from bandwatch.operators.pid_terms import pid_value
 from bandwatch.operators.rules import ALARM_TYPE, active_rules, max_levels
 from bandwatch.operators.slices import (
-    SLICED, is_own, millis, not_before_own, slice_millis, with_halo,
+    millis, not_before_own, slice_millis, with_halo,
 )
 from bandwatch.operators.time_since import check_time_since, time_since, time_since_params
 
@@ -23,11 +24,17 @@ def sliced_rows(
 ) -> DataFrame:
     """Readings with their rules, cut into slices that hold all rows `look_backs` deep.
 
-    The explicit repartition fixes the one shuffle key; all later windows partition by it and
-    more, so they sort in place.
+    The first window of each check partitions by (series, rule, slice) and makes the one
+    shuffle; all later ones partition by that and more, so they only sort in place.
     """
     rows = readings.join(rules, ["reading_name", "host"])
-    return with_halo(rows, slice_ms, look_backs * (window_ms - 1)).repartition(*SLICED)
+    return with_halo(rows, slice_ms, look_backs * (window_ms - 1))
+
+
+def own_rows(checked: DataFrame) -> DataFrame:
+    """Without halo copies and, where a column `is_new` tells, without rows of the past."""
+    rows = checked.where(not_before_own())
+    return rows.where("is_new") if "is_new" in checked.columns else rows
 
 
 def simple_checked(
@@ -38,8 +45,8 @@ def simple_checked(
     rules = active_rules(config, "simple")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
     rows = sliced_rows(readings, rules, window_ms, slice_ms)
-    checked = check_band(rows, "value", window_ms, max_levels(rules))
-    return checked.where(not_before_own())
+    checked = check_band(rows, "value", window_ms, max_levels(config))
+    return own_rows(checked)
 
 
 def simple_alarms(
@@ -59,7 +66,7 @@ def pid_values(
     rules = active_rules(config, "pid")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
     rows = sliced_rows(readings, rules, window_ms, slice_ms)
-    return pid_value(rows, window_ms).where(not_before_own())
+    return own_rows(pid_value(rows, window_ms))
 
 
 def pid_checked(
@@ -76,7 +83,7 @@ def pid_checked(
     rows = sliced_rows(readings, rules, window_ms, slice_ms, look_backs=2)
     # Values more than one window before the slice only served the pids of the halo.
     pids = pid_value(rows, window_ms).where(not_before_own(window_ms - 1))
-    return check_band(pids, "pid", window_ms, max_levels(rules)).where(not_before_own())
+    return own_rows(check_band(pids, "pid", window_ms, max_levels(config)))
 
 
 def pid_alarms(
@@ -96,7 +103,7 @@ def time_since_checked(
     rules = active_rules(config, "time_since")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
     rows = sliced_rows(readings, rules, window_ms, slice_ms)
-    return check_time_since(time_since(rows, window_ms)).where(not_before_own())
+    return own_rows(check_time_since(time_since(rows, window_ms)))
 
 
 def time_since_alarms(

@@ -36,3 +36,29 @@ def by_second(df, *columns):
         values = tuple(row[c] for c in columns)
         out[(row["ts"] - START) / 1000] = values[0] if len(values) == 1 else values
     return out
+
+
+def raw_records(spark, rows):
+    """Rows of (topic, seconds, text) as raw records, offsets in order."""
+    from pyspark.sql import functions as F
+    data = [(topic, START + int(round(t * 1000)), text, 0, i)
+            for i, (topic, t, text) in enumerate(rows)]
+    df = spark.createDataFrame(data, "topic string, ms bigint, value string, "
+                                     "partition int, offset bigint")
+    return df.select("topic", F.timestamp_millis("ms").alias("timestamp"), "value", "partition",
+                     "offset")
+
+
+def decoded(spark, rows):
+    """Rows of (seconds, name, text[, host])."""
+    data = [("x", START + int(round(r[0] * 1000)), (*r, "")[3], r[1], r[2], i)
+            for i, r in enumerate(rows)]
+    return spark.createDataFrame(data, DECODED)
+
+
+def alarms(spark, rows):
+    """Rows of (seconds, host, name, type, severity)."""
+    data = [("x", START + int(round(t * 1000)), host, name, kind, float(severity),
+             [1.0, 2.0, 3.0, 4.0], 0, i)
+            for i, (t, host, name, kind, severity) in enumerate(rows)]
+    return spark.createDataFrame(data, ALARM)
