@@ -38,8 +38,10 @@ def simple(rows, rule, window_ms):
 
 def integral(buffer, setpoint, dt_s):
     t0 = buffer[-1]["ts"] - dt_s * 1000
-    points = [(r["ts"] / 1000, r["value"] - setpoint) for r in buffer if r["ts"] >= t0]
-    area = (points[0][0] - t0 / 1000) * points[0][1]
+    # Times relative to now: seconds since 1970 are too coarse for a double's microseconds.
+    now = buffer[-1]["ts"]
+    points = [((r["ts"] - now) / 1000, r["value"] - setpoint) for r in buffer if r["ts"] >= t0]
+    area = (points[0][0] + dt_s) * points[0][1]
     for (t1, v1), (t2, v2) in zip(points, points[1:]):
         area += 0.5 * (t2 - t1) * (v1 + v2)
     return area
@@ -47,7 +49,8 @@ def integral(buffer, setpoint, dt_s):
 
 def slope(buffer, dt_s, include_latest=False):
     t0 = buffer[-1]["ts"] - dt_s * 1000
-    points = [(r["ts"], r["value"]) for r in buffer if r["ts"] >= t0]
+    now = buffer[-1]["ts"]
+    points = [(r["ts"] - now, r["value"]) for r in buffer if r["ts"] >= t0]
     if not include_latest:
         points = points[:-1]
     if len({t for t, _ in points}) < 2:
