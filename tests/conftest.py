@@ -9,9 +9,11 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("bandwatch-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Plans here are large and data small: generating code costs more than it saves.
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bandwatch-"))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
