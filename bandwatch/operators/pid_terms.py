@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bandwatch.operators.slices import arrival_order, frame_aggregates
+from bandwatch.operators.slices import frame_aggregates, tile_order, with_tiles
 
 
 def proportional_term(df: DataFrame) -> DataFrame:
@@ -25,23 +25,17 @@ def integral_term(df: DataFrame, window_ms: int) -> DataFrame:
     trapezoid belongs to its older end, so the sum over a frame without its newest row never
     touches a value outside the frame.
     """
-    ordered = arrival_order()
+    ordered = tile_order()
     y = F.col("value") - F.col("setpoint")
     step_s = (F.lead("ts").over(ordered) - F.col("ts")) / 1000
-    rows = df.withColumn("_y", y).withColumn(
-        "_area", 0.5 * step_s * (F.col("_y") + F.lead("_y").over(ordered))
-    )
+    rows = with_tiles(df, frame_width(F.col("dt_int"), window_ms)).withColumn("_y", y)
+    rows = rows.withColumn("_area", 0.5 * step_s * (F.col("_y") + F.lead("_y").over(ordered)))
     framed = frame_aggregates(
-        rows,
-        frame_width(F.col("dt_int"), window_ms),
-        {"_areas": F.col("_area")},
-        F.struct("ts", F.col("_y").alias("y")),
+        rows, {"_areas": F.col("_area")}, {"_first_ts": F.col("ts"), "_first_y": F.col("_y")}
     )
     start = F.col("ts") - F.col("dt_int") * 1000
-    held = (F.col("frame_first.ts") - start) / 1000 * F.col("frame_first.y")
-    return framed.withColumn(
-        "integral", held + F.coalesce("_areas", F.lit(0.0))
-    ).select(*df.columns, "integral")
+    held = (F.col("_first_ts") - start) / 1000 * F.col("_first_y")
+    return framed.withColumn("integral", held + F.col("_areas")).select(*df.columns, "integral")
 
 
 def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> DataFrame:
@@ -54,14 +48,11 @@ def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> D
     t = (F.col("ts") - F.col("tile")).cast("double")
     measures = {"_n": F.lit(1.0), "_t": t, "_tt": t * t, "_y": F.col("value"),
                 "_ty": t * F.col("value")}
-    framed = frame_aggregates(
-        df, frame_width(F.col("dt_diff"), window_ms), measures, F.struct("ts")
-    )
-    sums = {name: F.coalesce(name, F.lit(0.0)) for name in measures}
+    tiled = with_tiles(df, frame_width(F.col("dt_diff"), window_ms))
+    framed = frame_aggregates(tiled, measures, {"_first_ts": F.col("ts")})
     if include_latest:
-        sums = {name: sums[name] + now for name, now in measures.items()}
-    framed = framed.withColumns(sums)
-    shift = (F.col("frame_first.ts") - F.col("tile")).cast("double")
+        framed = framed.withColumns({n: F.col(n) + now for n, now in measures.items()})
+    shift = (F.col("_first_ts") - F.col("tile")).cast("double")
     n, y = F.col("_n"), F.col("_y")
     framed = framed.withColumns({
         "_from_first": F.col("_t") - n * shift,

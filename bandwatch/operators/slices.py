@@ -62,63 +62,78 @@ def up_to_here(keys: list[str] = SLICED):
     return arrival_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def with_tiles(df: DataFrame, width: Column) -> DataFrame:
+    """Add `_width`, the frame's reach in ms (not negative), and `tile`, where its tile starts."""
+    return df.withColumn("_width", width.cast("bigint")).withColumn(
+        "tile", floor_to(F.col("ts"), _tile_step())
+    )
+
+
+def _tile_step() -> Column:
+    return F.greatest(F.col("_width"), F.lit(1).cast("bigint"))
+
+
+def tile_order(keys: list[str] = SLICED):
+    """Order of time and arrival that also is the order inside tiles: one sort serves both."""
+    return Window.partitionBy(*keys).orderBy("tile", "ts", "seq")
+
+
 def frame_aggregates(
     df: DataFrame,
-    width: Column,
     sums: dict[str, Column],
-    first: Column,
+    firsts: dict[str, Column],
     keys: list[str] = SLICED,
 ) -> DataFrame:
     """Aggregates over each row's frame [ts - width, ts] of its series slice.
 
-    Adds one column per entry of `sums`, the sum over the frame **without** the current row
-    (null if there is no other), and `frame_first`, the value of `first` at the frame's oldest
-    row. `sums` and `first` may use the column `tile`: a time common to all rows of one frame
-    and at most `width` away from each. `width` is in ms and not negative.
+    `df` comes from `with_tiles`. Adds one column per entry of `sums`, the sum over the frame
+    **without** the current row (0 if there is no other), and one per entry of `firsts`, its
+    value at the frame's oldest row. `sums` may use `tile`: a time common to all rows of one
+    frame and at most a width away from each.
     """
-    step = F.greatest(F.col("_width"), F.lit(1).cast("bigint"))
-    head = F.struct(
-        floor_to(F.col("ts"), step).alias("tile"), F.col("ts").alias("_at"),
-        F.lit(0).alias("_tail"),
-    )
-    # As part of a tail, a row counts until `width` after its own time.
-    tail = F.struct(
-        (floor_to(F.col("ts"), step) + step).alias("tile"),
+    in_tile = Window.partitionBy(*keys, "tile").orderBy("ts", "seq")
+    before = in_tile.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_tile.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = df.withColumns(
+        {f"_m_{n}": measure for n, measure in sums.items()}
+        | {f"_f_{n}": value for n, value in firsts.items()}
+    ).withColumns(
+        {f"_head_{n}": F.sum(f"_m_{n}").over(before) for n in sums}
+        | {f"_head_{n}": F.first(f"_f_{n}", True).over(so_far) for n in firsts}
+    ).drop(*(f"_m_{n}" for n in sums))
+
+    # A row counts twice: as itself, and in the tail of the tile it lies in, for rows of the next
+    # tile until `width` after its own time. The second copy carries nothing but its measures.
+    row = F.struct(F.lit(0).alias("_tail"), F.col("tile"), F.col("ts").alias("_at"))
+    copy = F.struct(
+        F.lit(1).alias("_tail"), (F.col("tile") + _tile_step()).alias("tile"),
         (F.col("ts") + F.col("_width")).alias("_at"),
-        F.lit(1).alias("_tail"),
-    )
-    parts = (
-        df.withColumn("_width", width)
-        .withColumn("_part", F.explode(F.array(head, tail)))
-        .select(*df.columns, "_part.*")
-        .withColumns({f"_m_{name}": measure for name, measure in sums.items()})
-        .withColumn("_first", first)
-    )
-    in_tail = F.col("_tail") == 1
-    tiled = Window.partitionBy(*keys, "tile")
-    from_new_end = tiled.orderBy(F.desc("_at"), F.desc("_tail")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
     )
-    with_tail = parts.withColumns(
-        {f"_t_{n}": F.sum(F.when(in_tail, F.col(f"_m_{n}"))).over(from_new_end) for n in sums}
-        | {"_tail_first": F.last(F.when(in_tail, F.col("_first")), True).over(from_new_end)}
-    ).where(~in_tail)
-    by_arrival = tiled.orderBy("ts", "seq")
-    before = by_arrival.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = by_arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = with_tail.withColumns(
-        {f"_h_{n}": F.sum(f"_m_{n}").over(before) for n in sums}
-        | {"_head_first": F.first("_first", True).over(so_far)}
+    rest = [c for c in heads.columns if c not in (*keys, "tile") and not c.startswith("_f_")]
+    is_tail = F.col("_tail") == 1
+    parts = heads.withColumn("_part", F.explode(F.array(row, copy))).select(
+        *keys, *(c for c in heads.columns if c not in (*keys, "tile")), "_part.*"
+    ).select(
+        *keys, "tile", "_at", "_tail",
+        *(F.when(is_tail, measure).alias(f"_m_{n}") for n, measure in sums.items()),
+        *(F.when(is_tail, F.col(f"_f_{n}")).alias(f"_f_{n}") for n in firsts),
+        F.when(~is_tail, F.struct(*rest)).alias("_row"),
     )
+    from_new_end = Window.partitionBy(*keys, "tile").orderBy(
+        F.desc("_at"), F.desc("_tail")
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = parts.withColumns(
+        {f"_tail_{n}": F.sum(f"_m_{n}").over(from_new_end) for n in sums}
+        | {f"_tail_{n}": F.last(f"_f_{n}", True).over(from_new_end) for n in firsts}
+    ).where(~is_tail)
 
     def total(name: str) -> Column:
-        tail_sum, head_sum = F.col(f"_t_{name}"), F.col(f"_h_{name}")
-        return F.when(tail_sum.isNull(), head_sum).when(head_sum.isNull(), tail_sum).otherwise(
-            tail_sum + head_sum
-        )
-
-    return both.select(
-        *df.columns, "tile",
-        *(total(name).alias(name) for name in sums),
-        F.coalesce("_tail_first", "_head_first").alias("frame_first"),
+        zero = F.lit(0.0)
+        return (F.coalesce(f"_tail_{name}", zero) + F.coalesce(f"_row._head_{name}", zero))
+
+    own = [c for c in df.columns if c not in ("tile", "_width")]
+    return met.select(
+        *(c if c in keys else F.col(f"_row.{c}").alias(c) for c in own), "tile",
+        *(total(n).alias(n) for n in sums),
+        *(F.coalesce(f"_tail_{n}", f"_row._head_{n}").alias(n) for n in firsts),
     )

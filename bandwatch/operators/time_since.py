@@ -1,9 +1,9 @@
 """How long a series has been out of band, and which duration levels that breaks."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bandwatch.functions.bands import in_band
-from bandwatch.operators.slices import frame_aggregates, up_to_here
+from bandwatch.operators.slices import frame_aggregates, tile_order, with_tiles
 
 
 def time_since(df: DataFrame, window_ms: int) -> DataFrame:
@@ -12,10 +12,13 @@ def time_since(df: DataFrame, window_ms: int) -> DataFrame:
     Without such a row, seconds since the oldest row of the window.
     """
     inside = in_band(F.col("value"), F.col("lower"), F.col("upper"))
-    rows = df.withColumn("_last_in", F.max(F.when(inside, F.col("ts"))).over(up_to_here()))
-    framed = frame_aggregates(rows, F.lit(window_ms - 1).cast("bigint"), {}, F.col("ts"))
+    so_far = tile_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = with_tiles(df, F.lit(window_ms - 1)).withColumn(
+        "_last_in", F.max(F.when(inside, F.col("ts"))).over(so_far)
+    )
+    framed = frame_aggregates(rows, {}, {"_first_ts": F.col("ts")})
     recent = F.col("_last_in") > F.col("ts") - F.lit(window_ms)
-    since = F.when(recent, F.col("_last_in")).otherwise(F.col("frame_first"))
+    since = F.when(recent, F.col("_last_in")).otherwise(F.col("_first_ts"))
     return framed.withColumn("time_since", (F.col("ts") - since) / 1000).select(
         *df.columns, "time_since"
     )

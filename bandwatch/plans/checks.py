@@ -12,7 +12,7 @@ from bandwatch.operators.band_check import band_params, check_band, to_alarm
 from bandwatch.operators.pid_terms import pid_value
 from bandwatch.operators.rules import ALARM_TYPE, active_rules, max_levels
 from bandwatch.operators.slices import (
-    millis, not_before_own, slice_millis, with_halo,
+    SERIES, millis, not_before_own, slice_millis, with_halo,
 )
 from bandwatch.operators.time_since import check_time_since, time_since, time_since_params
 
@@ -76,14 +76,19 @@ def pid_checked(
     """Every reading with a PID rule, its `pid`, and the `severity` of the history of pids.
 
     The history reaches one window back, and each pid in it another; the halo holds both, so
-    that one shuffle serves the two passes.
+    that one shuffle serves the two passes. What only the check needs of a rule joins after the
+    terms, to keep the rows slim while they are sorted.
     """
     rules = active_rules(config, "pid")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
-    rows = sliced_rows(readings, rules, window_ms, slice_ms, look_backs=2)
+    slim = rules.drop("bands", "recurrence")
+    rows = sliced_rows(readings, slim, window_ms, slice_ms, look_backs=2)
     # Values more than one window before the slice only served the pids of the halo.
     pids = pid_value(rows, window_ms).where(not_before_own(window_ms - 1))
-    return own_rows(check_band(pids, "pid", window_ms, max_levels(config)))
+    pids = pids.drop(*(c for c in slim.columns if c not in SERIES), "integral", "slope")
+    limits = rules.select(*SERIES, "bands", "recurrence")
+    checked = check_band(pids.join(limits, SERIES), "pid", window_ms, max_levels(config))
+    return own_rows(checked)
 
 
 def pid_alarms(

@@ -15,7 +15,9 @@ from bandwatch.schemas import ALARM_GROUP_DOC, READINGS_CONFIG, SENSOR_DOC
 
 def _inline(spark: SparkSession, documents: list[dict], schema: T.StructType) -> DataFrame:
     text = F.lit(json.dumps(documents))
-    return spark.range(1).select(F.inline(F.from_json(text, T.ArrayType(schema))))
+    # One partition: lookups over a few documents then need no exchange.
+    one = spark.range(0, 1, 1, 1)
+    return one.select(F.inline(F.from_json(text, T.ArrayType(schema))))
 
 
 def load_readings_config(spark: SparkSession, path: str) -> DataFrame:

@@ -101,9 +101,14 @@ def _record(events_: DataFrame, topic, text) -> DataFrame:
     )
 
 
+def _number():
+    """The value as text with its two decimals."""
+    return F.col("value").cast("decimal(18,2)").cast("string")
+
+
 def plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a well-formed record `event_type,value` on one topic."""
-    text = F.format_string("%s,%.2f", "event_type", "value")
+    text = F.concat_ws(",", "event_type", _number())
     return _record(events(spark, sf_dir), F.lit("exp_phys"), text)
 
 
@@ -116,11 +121,11 @@ def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id")
     formula = F.get(F.array(*map(F.lit, FORMULAS)), (F.col("event_id") % 4).cast("int"))
     text = (
-        F.when(kind == "purchase", F.format_string("h%d,purchase,%.2f", user % 10, "value"))
+        F.when(kind == "purchase", F.concat(F.lit("h"), user % 10, F.lit(",purchase,"), _number()))
         .when(kind == "signup", F.concat(F.lit("signup,"), formula))
         .when((kind == "error") & (user % 7 == 0), F.lit("error"))
         .when((kind == "view") & (user % 11 == 0), F.lit("view,n/a"))
-        .otherwise(F.format_string("%s,%.2f", "event_type", "value"))
+        .otherwise(F.concat_ws(",", "event_type", _number()))
     )
     topic = F.when(kind == "purchase", F.lit("exp_sysmon")).otherwise("exp_phys")
     return _record(events(spark, sf_dir), topic, text)
