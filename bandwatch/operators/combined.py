@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bandwatch.functions.formula import evaluate
-from bandwatch.operators.latest import LOOKBACK_S, REQUEST, latest_values
+from bandwatch.operators.latest import LOOKBACK_S, REQUEST, asked_values
 from bandwatch.schemas import LEVEL_DATA
 
 
@@ -13,14 +13,9 @@ def evaluated_formulas(
     requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
 ) -> DataFrame:
     """Formula records with their `value`, null where there is none. The host becomes ''."""
-    found = latest_values(requests, readings, lookback_s)
-    # Every record takes part, also one whose names have no value or that names nothing.
-    every = requests.select(
-        *REQUEST, F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value")
-    )
-    entry = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
-    gathered = (
-        every.unionByName(found).groupBy(*REQUEST).agg(F.collect_list(entry).alias("entries"))
+    entry = F.when(F.col("value").isNotNull(), F.struct("key", "value"))
+    gathered = asked_values(requests, readings, lookback_s).groupBy(*REQUEST).agg(
+        F.collect_list(entry).alias("entries")
     )
     # A record bears at most as many entries as its own text has names.
     value = evaluate("raw_value", F.col("entries.key"), F.col("entries.value"))

@@ -13,14 +13,18 @@ REQUEST = ["channel", "ts", "host", "reading_name", "raw_value", "seq"]
 
 
 def requested_keys(requests: DataFrame) -> DataFrame:
-    """One row per formula record and `reading[,host]` key its text may refer to."""
-    return requests.select(*REQUEST, F.explode(candidate_keys(F.col("raw_value"))).alias("key"))
+    """One row per formula record and `reading[,host]` key its text may refer to.
 
+    A record that names nothing keeps one row, under a key of its own that no reading has.
+    """
+    rows = requests.select(*REQUEST, F.explode_outer(candidate_keys(F.col("raw_value"))).alias("key"))
+    return rows.withColumn("key", F.coalesce("key", F.concat(F.lit(","), "seq")))
 
-def latest_values(
+
+def asked_values(
     requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
 ) -> DataFrame:
-    """Per formula record and key found: the newest value in (ts - lookback, ts].
+    """Per formula record and key asked for: the newest `value` in (ts - lookback, ts], or null.
 
     `readings` are plain readings; one whose `value` is null (text that is no number) hides
     older values of its series, as any newer record does. Records and readings are merged by
@@ -50,11 +54,16 @@ def latest_values(
         Window.partitionBy("key", "slice").orderBy("ts", "_asks", "seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    in_time = F.col("newest.ts") > F.col("ts") - F.lit(lookback_ms)
     return (
         merged.withColumn("newest", F.last("point", True).over(so_far))
-        .where(
-            (F.col("_asks") == 1) & (F.col("newest.ts") > F.col("ts") - F.lit(lookback_ms))
-            & F.col("newest.value").isNotNull()
-        )
-        .select("request.*", "key", F.col("newest.value").alias("value"))
+        .where(F.col("_asks") == 1)
+        .select("request.*", "key", F.when(in_time, F.col("newest.value")).alias("value"))
     )
+
+
+def latest_values(
+    requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
+) -> DataFrame:
+    """Per formula record and key that has one: the newest value in (ts - lookback, ts]."""
+    return asked_values(requests, readings, lookback_s).where(F.col("value").isNotNull())

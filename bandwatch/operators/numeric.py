@@ -4,15 +4,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwatch.schemas import LEVEL_DATA
 
-# The cast takes these words in any letter case; a number text has them in one spelling only.
-_SPECIAL_ANY_CASE = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
-_SPECIAL_EXACT = r"^\s*[+-]?(NaN|Infinity)\s*$"
+# The texts a double parser takes (blanks around, sign, decimal or hexadecimal
+# digits with exponent, type suffix, the two special words in this spelling only). Testing first
+# keeps the cast from raising and catching an error per bad row, and from taking more words.
+NUMBER = (
+    r"^[\x00-\x20]*[+-]?(NaN|Infinity|("
+    r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+    r"|0[xX]([0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
+    r")[fFdD]?)[\x00-\x20]*$"
+)
 
 
 def parsed_number(text: Column) -> Column:
     """Text as double, null where it is no number."""
-    bad_word = text.rlike(_SPECIAL_ANY_CASE) & ~text.rlike(_SPECIAL_EXACT)
-    return F.when(~bad_word, text.try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def parsed_readings(decoded: DataFrame) -> DataFrame:

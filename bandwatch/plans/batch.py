@@ -9,7 +9,7 @@ from bandwatch.operators.rules import ALARM_TYPE, rule_misses
 from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
 from bandwatch.plans.readings import bad, good, numbered
-from bandwatch.plans.staging import staged, work_folder
+from bandwatch.plans.staging import at_once, staged, work_folder
 from bandwatch.sinks.tables import (
     write_alarm_history, write_alarms, write_diagnostics, write_readings,
 )
@@ -37,21 +37,25 @@ def run_batch(
 ) -> dict[str, DataFrame]:
     """Append stored points, alarms, alarm history and diagnostics to the tables under `out`.
 
-    Returns the numeric readings, alarms, messages and diagnostics of this run. The numbered
-    rows and the alarms have several consumers each and are written once in between.
+    Returns the numeric readings, alarms, messages and diagnostics of this run. What has several
+    consumers is written once in between: the records (the bus is read once, so that all steps
+    see the same), the numbered rows and the alarms.
     """
     spark = raw.sparkSession
     work = work_folder(spark, "batch")
-    decoded, broken = decode_records(raw, experiment)
+    records = staged(raw, f"{work}/records")
+    decoded, broken = decode_records(records, experiment)
     rows = staged(numbered(decoded, combined, lookback_s), f"{work}/numbered")
     readings = good(rows)
     alarms = staged(all_alarms(readings, config, window_s, slice_s), f"{work}/alarms")
     messages = staged(alarm_messages(alarms, groups, window_s), f"{work}/messages")
     diagnostics = broken.unionByName(bad(rows)).unionByName(config_diagnostics(readings, config))
 
-    write_readings(readings, experiment, f"{out}/readings")
-    write_alarms(alarms, f"{out}/alarms")
-    write_alarm_history(messages, f"{out}/history")
-    write_diagnostics(diagnostics, f"{out}/diagnostics")
+    at_once(
+        lambda: write_readings(readings, experiment, f"{out}/readings"),
+        lambda: write_alarms(alarms, f"{out}/alarms"),
+        lambda: write_alarm_history(messages, f"{out}/history"),
+        lambda: write_diagnostics(diagnostics, f"{out}/diagnostics"),
+    )
     return {"readings": readings, "alarms": alarms, "messages": messages,
             "diagnostics": diagnostics}

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,10 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """Write a table and go on from what was written."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(*actions: Callable[[], object]) -> None:
+    """Run independent writes side by side, so that small ones do not wait for each other."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        for running in [pool.submit(inheritable_thread_target(action)) for action in actions]:
+            running.result()

@@ -19,8 +19,11 @@ from bandwatch.plans.batch import config_diagnostics
 from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
 from bandwatch.plans.readings import bad, good, numbered
+from bandwatch.plans.staging import at_once
 from bandwatch.schemas import ALARM, DECODED, LEVEL_DATA, READING
-from bandwatch.sinks.tables import write_alarm_history, write_diagnostics, write_readings
+from bandwatch.sinks.tables import (
+    write_alarm_history, write_alarms, write_diagnostics, write_readings,
+)
 from bandwatch.sources.records import decode_records
 from bandwatch.streaming.state import State
 
@@ -76,29 +79,33 @@ class StreamJob:
                 self._with_history(readings, old_readings, 2 * window_ms), config,
                 self.window_s, self.slice_s,
             )
-            alarms.write.mode("overwrite").parquet(f"{self.out}/alarms/batch={batch_id}")
+            write_alarms(alarms, f"{self.out}/alarms", batch_id)
             alarms = spark.read.schema(ALARM).parquet(f"{self.out}/alarms/batch={batch_id}")
             old_alarms = state.read("alarms", batch_id - 1, ALARM)
             messages = alarm_messages(marked(alarms, old_alarms), groups, self.window_s)
 
-            write_readings(readings, self.experiment, f"{self.out}/readings", batch_id)
-            write_alarm_history(messages, f"{self.out}/history", batch_id)
-            write_diagnostics(
+            diagnostics = (
                 broken.unionByName(late_diagnostics(late)).unionByName(bad(rows))
-                .unionByName(config_diagnostics(readings, config)),
-                f"{self.out}/diagnostics", batch_id,
+                .unionByName(config_diagnostics(readings, config))
             )
-
             # The next batch has no row in time before newest - lateness.
             reach = self.lateness_ms
-            state.write("decoded", batch_id, since(
-                old_decoded.unionByName(fresh), newest, millis(self.lookback_s) + reach))
-            state.write("readings", batch_id, since(
-                old_readings.unionByName(readings), newest, 2 * window_ms + reach))
-            state.write("alarms", batch_id, since(
-                old_alarms.unionByName(alarms), newest, window_ms + reach))
-            state.write("clock", batch_id, spark.range(1).select(
-                F.lit(newest).cast("bigint").alias("max_ts")))
+            tails = {
+                "decoded": since(old_decoded.unionByName(fresh), newest,
+                                 millis(self.lookback_s) + reach),
+                "readings": since(old_readings.unionByName(readings), newest,
+                                  2 * window_ms + reach),
+                "alarms": since(old_alarms.unionByName(alarms), newest, window_ms + reach),
+                "clock": spark.range(1).select(F.lit(newest).cast("bigint").alias("max_ts")),
+            }
+            out = self.out
+            at_once(
+                lambda: write_readings(readings, self.experiment, f"{out}/readings", batch_id),
+                lambda: write_alarm_history(messages, f"{out}/history", batch_id),
+                lambda: write_diagnostics(diagnostics, f"{out}/diagnostics", batch_id),
+                *(lambda n=name, t=tail: state.write(n, batch_id, t)
+                  for name, tail in tails.items()),
+            )
             for name in [*TAILS, *CONFIG, "numbered"]:
                 state.drop(name, batch_id - 2)
         finally:
