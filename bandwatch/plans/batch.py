@@ -52,6 +52,7 @@ def run_batch(
     diagnostics = broken.unionByName(bad(rows)).unionByName(config_diagnostics(readings, config))
 
     at_once(
+        spark,
         lambda: write_readings(readings, experiment, f"{out}/readings"),
         lambda: write_alarms(alarms, f"{out}/alarms"),
         lambda: write_alarm_history(messages, f"{out}/history"),

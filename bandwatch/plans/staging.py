@@ -29,8 +29,9 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_once(*actions: Callable[[], object]) -> None:
+def at_once(spark: SparkSession, *actions: Callable[[], object]) -> None:
     """Run independent writes side by side, so that small ones do not wait for each other."""
+    inherits = inheritable_thread_target(spark)
     with ThreadPoolExecutor(len(actions)) as pool:
-        for running in [pool.submit(inheritable_thread_target(action)) for action in actions]:
+        for running in [pool.submit(inherits(action)) for action in actions]:
             running.result()

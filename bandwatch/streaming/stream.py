@@ -100,6 +100,7 @@ class StreamJob:
             }
             out = self.out
             at_once(
+                spark,
                 lambda: write_readings(readings, self.experiment, f"{out}/readings", batch_id),
                 lambda: write_alarm_history(messages, f"{out}/history", batch_id),
                 lambda: write_diagnostics(diagnostics, f"{out}/diagnostics", batch_id),
