@@ -52,19 +52,24 @@ def decode_records(raw: DataFrame, experiment: str) -> tuple[DataFrame, DataFram
     channel segment, go to diagnostics.
     """
     from_host = F.col("topic") == f"{experiment}_{HOST_CHANNEL}"
-    plain, hosted = F.split("value", ",", 2), F.split("value", ",", 3)
     # Trailing separators make no segment of their own.
-    segments = F.split(F.regexp_replace("topic", "_+$", ""), "_")
-    parts = raw.select(
+    topic = F.rtrim(F.col("topic"), F.lit("_"))
+    split = raw.select(
+        "topic", "timestamp", "value", "partition", "offset",
+        F.get(F.split(topic, "_", 3), F.lit(1)).alias("channel"),
+        from_host.alias("_hosted"),
+        F.when(from_host, F.split("value", ",", 3)).otherwise(F.split("value", ",", 2))
+        .alias("_parts"),
+    )
+    hosted, part = F.col("_hosted"), [F.get("_parts", F.lit(i)) for i in range(3)]
+    parts = split.select(
         "topic",
         F.col("value").alias("record"),
-        F.get(segments, F.lit(1)).alias("channel"),
+        "channel",
         F.unix_millis("timestamp").alias("ts"),
-        F.when(from_host, F.get(hosted, F.lit(0))).otherwise("").alias("host"),
-        F.when(from_host, F.get(hosted, F.lit(1))).otherwise(F.get(plain, F.lit(0)))
-        .alias("reading_name"),
-        F.when(from_host, F.get(hosted, F.lit(2))).otherwise(F.get(plain, F.lit(1)))
-        .alias("raw_value"),
+        F.when(hosted, part[0]).otherwise("").alias("host"),
+        F.when(hosted, part[1]).otherwise(part[0]).alias("reading_name"),
+        F.when(hosted, part[2]).otherwise(part[1]).alias("raw_value"),
         (F.shiftleft(F.col("partition").cast("bigint"), 40) + F.col("offset")).alias("seq"),
     )
     whole = F.col("raw_value").isNotNull() & F.col("channel").isNotNull() & F.col("ts").isNotNull()
