@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import host_rules, secret_scan
-from .common import table
+from . import host_rules, language_id, secret_scan, url_filter
+from .common import remainder, table
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """URL filters: the rule or the model's verdict on each page's URL."""
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language ID of each document, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.fit(language_id.learnable(docs)))
+    held_out = remainder(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,5 +33,5 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_host_rules, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op8_secret_scan)}
 ORACLES = {"op3_host_rules": host_rules.ORACLE}
