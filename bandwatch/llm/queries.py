@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language_id, secret_scan, url_filter
+from . import bpe, host_rules, language_id, packing, secret_scan, url_filter
 from .common import remainder, table
 
 
@@ -28,10 +28,20 @@ def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """BPE: each document's ids and decoded text, as digests."""
+    return bpe.digests(table(spark, folder, "documents"))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Packing: where each piece of each document lies."""
+    return packing.pack(packing.cut(table(spark, folder, "documents")))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in each document: counts and spans."""
     return secret_scan.digest(secret_scan.find(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op6_bpe, op7_packing, op8_secret_scan)}
 ORACLES = {"op3_host_rules": host_rules.ORACLE}
