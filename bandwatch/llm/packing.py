@@ -13,7 +13,7 @@ import math
 import random
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,30 +29,14 @@ SHARD_TOKENS = 1 << 24
 ISLANDS, EPOCHS = 2, 2
 POPULATION, GENERATIONS = 4, 8
 INJECTED = 0.3  # share of the other parent's sequences that a crossover takes
-CACHED = 500_000  # runs between spaces whose ids a worker remembers
 ROWS = 512
 
 #: Text of these characters is split alike by both libraries; other text takes the slower one.
-PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ]*")
-
-
-class Remembered(dict[str, bytes | None]):
-    """Ids of parts, learned when first asked for."""
-
-    def __init__(self, learn: Callable[[str], bytes | None]):
-        self.learn = learn
-
-    def __missing__(self, part: str) -> bytes | None:
-        self[part] = got = self.learn(part)
-        return got
+PLAIN = re.compile("[\t-\r -~¡-¬®-ɏ]*")
 
 
 class Tokens:
-    """Ids of texts by the published byte-level vocabulary, equal to the tokenizers library's.
-
-    A single space between two non-spaces always starts a new word, so texts are taken apart there and the ids of
-    each part, as little-endian bytes, are remembered. A text with other white space at such a place is encoded whole.
-    """
+    """Ids of whole texts by the published byte-level vocabulary, equal to the tokenizers library's, as little-endian bytes."""
 
     def __init__(self, path: str):
         self.path = path
@@ -65,31 +49,16 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
         self.full = None
-        self.known = Remembered(self._learn)
 
-    def whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
-            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), "<u4").tobytes()
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
         if self.full is None:
             from tokenizers import Tokenizer
 
             self.full = Tokenizer.from_file(self.path)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, part: str) -> bytes | None:
-        odd = not part or part[0].isspace() or part[-1].isspace() or "<|endoftext|>" in part
-        return None if odd else self.whole(" " + part)
-
-    def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        first = parts[0]
-        if not first or first[-1].isspace() or "<|endoftext|>" in first:
-            return self.whole(text)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        out = [self.whole(first), *map(self.known.__getitem__, parts[1:])]
-        return self.whole(text) if None in out else b"".join(out)
-
 
 _tokens: dict[str, Tokens] = {}
 
