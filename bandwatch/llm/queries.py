@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, jaccard_join, language_id, packing, secret_scan, url_filter
+from . import bpe, host_rules, jaccard_join, language_id, lm_scoring, packing, secret_scan, url_filter
 from .common import remainder, table
 
 
@@ -43,10 +43,15 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(table(spark, folder, "documents")))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """LM scoring: log10 probability of each document, learned from those that are not held out."""
+    return lm_scoring.score(table(spark, folder, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """N-gram Jaccard join: the class of each document at similarity 0.75 of five-word shingles."""
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op6_bpe, op7_packing, op8_secret_scan, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
 ORACLES = {"op3_host_rules": host_rules.ORACLE}
