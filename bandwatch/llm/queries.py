@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, jaccard_join, language_id, lm_scoring, packing, secret_scan, url_filter
+from . import bpe, host_rules, html_text, jaccard_join, language_id, lm_scoring, packing, secret_scan, url_filter
 from .common import remainder, table
 
 
@@ -28,6 +28,11 @@ def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """HTML extraction: the main text of each page."""
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """BPE: each document's ids and decoded text, as digests."""
     return bpe.digests(table(spark, folder, "documents"))
@@ -53,5 +58,5 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op4_html_text, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
 ORACLES = {"op3_host_rules": host_rules.ORACLE}
