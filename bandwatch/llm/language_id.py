@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import remainder
 
@@ -29,6 +30,9 @@ BLOCK = 1_000_000  # characters worked on at once
 ROWS = 256  # texts at once
 
 
+ADDED = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -165,18 +169,27 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     return Model(of, np.concatenate(centres), idf, np.array(limits))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1) and rejected of each row.
 
     Null text, a text without letters, or a model without languages: und, score 0, rejected. rejected also marks
     texts farther from the nearest centroid than training texts of its language are. Ties: the first language.
+    whole_rows: all columns of docs, then lang_pred, score and rejected (in place of any of these names).
     """
+    if whole_rows:
+        picked = docs.drop(*ADDED.names)
+        place, kept = picked.columns.index(text_col), len(picked.columns)
+        schema = StructType([*picked.schema, *ADDED])
+    else:
+        picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        place, kept = 1, 1
+        schema = StructType([picked.schema[0], *ADDED])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                counts = counted(part.column(1).to_pylist())
+                counts = counted(part.column(place).to_pylist())
                 known = (counts.sum(axis=1) > 0) & bool(model.languages)
                 near, score, out = np.zeros(len(counts), int), np.zeros(len(counts)), ~known
                 if model.languages:
@@ -186,12 +199,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     out = ~known | (1 - score > model.limits[near])
                 names = [model.languages[j] if k else UNKNOWN for j, k in zip(near, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
-                    ["doc_id", "lang_pred", "score", "rejected"],
+                    [*part.columns[:kept], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
+                    schema.names,
                 )
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(rows, f"doc_id {dict(picked.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+    return picked.mapInArrow(rows, schema)
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, html_text, jaccard_join, language_id, lm_scoring, packing, secret_scan, url_filter
+from . import bpe, host_rules, html_text, jaccard_join, language_id, lm_scoring, packing, secret_scan, topk_search, url_filter
 from .common import remainder, table
 
 
@@ -33,6 +33,12 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"))
 
 
+def op5_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact top-k search: the documents nearest to each document whose id is divisible by 20."""
+    docs = table(spark, folder, "documents")
+    return topk_search.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """BPE: each document's ids and decoded text, as digests."""
     return bpe.digests(table(spark, folder, "documents"))
@@ -58,5 +64,5 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op4_html_text, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op4_html_text, op5_topk_search, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
 ORACLES = {"op3_host_rules": host_rules.ORACLE}

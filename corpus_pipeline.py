@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwatch.llm import host_rules, secret_scan
+from bandwatch.llm import host_rules, jaccard_join, language_id, packing, secret_scan
 from bandwatch.llm.common import reach_workers, staged, table
 
 
@@ -24,15 +24,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _only(docs, host_rules.judge(docs).where("kept"))
 
 
+def language_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; lang becomes the predicted one."""
+    model = language_id.fit(language_id.learnable(docs))
+    found = language_id.predict(docs, model, whole_rows=True).where("NOT rejected")
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id, once; documents without words all stay."""
+    classes = jaccard_join.join(docs).where("doc_id = component_id")
+    return _only(docs, classes).dropDuplicates(["doc_id"])
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind; n_chars follows the text."""
     masked = secret_scan.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 1024 tokens."""
+    return packing.pack(packing.cut(docs))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("language ID", language_ids),
+    ("n-gram Jaccard join", jaccard_groups),
     ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
 ]
 
 
