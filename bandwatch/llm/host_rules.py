@@ -46,30 +46,30 @@ def _repeated(words: Column) -> Column:
     return F.when(n < 3, 0).otherwise(judged)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and the counts of each text. A null text counts as empty; a row in, a row out."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def counts_of(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text as a struct; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    per_words = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r")))
-    counted = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(host_col).alias("host"),
-        per_words.alias("w"),
-        F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    return counted.select(
-        "doc_id",
-        "host",
-        F.col("w.n").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        F.col("w.r").cast("long").alias("n_repeat_words"),
+    per_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).cast("long").alias("r"))
+    return let(
+        let(_words(text), per_words),
+        lambda w: F.struct(
+            w["n"].alias("n_words"),
+            F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            w["r"].alias("n_repeat_words"),
+        ),
     )
 
 
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, host, the counts of each text, base_failed and symbols_failed; a row in, a row out."""
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), counts_of(F.col(text_col)).alias("c"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words")), symbols_failed(F.col("n_words"), F.col("n_symbols"))
+    return counted.select("doc_id", "host", "c.*").withColumns({"base_failed": failed[0], "symbols_failed": failed[1]})
+
+
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
@@ -98,6 +98,15 @@ def host_verdicts(flags: DataFrame) -> DataFrame:
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_verdict", verdict)
 
 
+def _verdicts(rows: DataFrame) -> DataFrame:
+    found = host_verdicts(rows.select("host", (F.col("base_failed") | F.col("symbols_failed")).alias("failed")))
+    return found.select(F.col("host").alias("of_host"), "shrunk_rate", "host_verdict")
+
+
+def _kept(base: Column, symbols: Column, verdict: Column) -> Column:
+    return ~base & ((verdict == "trust") | ((verdict == "strict") & ~symbols))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Each document with its counts, base_failed, its host's shrunk rate and verdict, and kept.
 
@@ -105,14 +114,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     Null text: counted as empty, fails. Repeated rows: each is judged and counts for its host. Empty table:
     empty result. Other columns of docs are not read, so their names cannot clash.
     """
-    measured = measure(docs, id_col, text_col, host_col)
-    measured = measured.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    rows = staged(measured.withColumn("symbols_failed", symbols_failed(F.col("n_words"), F.col("n_symbols"))))
-    verdicts = host_verdicts(rows.select("host", (F.col("base_failed") | F.col("symbols_failed")).alias("failed")))
-    verdicts = verdicts.select(F.col("host").alias("of_host"), "shrunk_rate", "host_verdict")
+    rows = staged(measure(docs, id_col, text_col, host_col))
+    verdicts = _verdicts(rows)
     joined = rows.join(verdicts, rows["host"].eqNullSafe(verdicts["of_host"]), "left")
-    good = (F.col("host_verdict") == "trust") | ((F.col("host_verdict") == "strict") & ~F.col("symbols_failed"))
-    return joined.drop("of_host").withColumn("kept", ~F.col("base_failed") & good)
+    return joined.drop("of_host").withColumn("kept", _kept(F.col("base_failed"), F.col("symbols_failed"), F.col("host_verdict")))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns. Texts are counted twice rather than shuffled."""
+    verdicts = _verdicts(measure(docs, id_col, text_col, host_col))
+    name = "_".join(["counts", *docs.columns])  # clashes with no column
+    verdicts = verdicts.select(F.col("of_host").alias(name + "_host"), F.col("host_verdict").alias(name + "_verdict"))
+    rows = docs.withColumn(name, counts_of(F.col(text_col)))
+    joined = rows.join(verdicts, rows[host_col].eqNullSafe(verdicts[name + "_host"]))
+    counts, verdict = F.col(f"`{name}`"), F.col(f"`{name}_verdict`")
+    failed = base_failed(counts["n_words"], counts["n_repeat_words"]), symbols_failed(counts["n_words"], counts["n_symbols"])
+    return joined.where(_kept(*failed, verdict)).select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = f"""

@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import remainder
 
@@ -25,14 +24,11 @@ CENTROIDS = 4  # per language
 ROUNDS = 12
 HELD_OUT, FOLDS = 2, 4
 SLACK = 1.25  # a text is rejected beyond this times the largest distance in training ...
-FARTHEST = 0.98  # ... and beyond this in any case
+NEAREST, FARTHEST = 0.8, 0.98  # ... but never within the first of these, and beyond the second in any case
 BLOCK = 1_000_000  # characters worked on at once
 ROWS = 256  # texts at once
 
 
-ADDED = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-
-
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -165,45 +161,57 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
         far = 1 - (own @ found.T).max(axis=1)
         of += [lang] * len(found)
         centres.append(found)
-        limits += [min(FARTHEST, SLACK * float(far.max()) + 0.05)] * len(found)
+        limits += [min(FARTHEST, max(NEAREST, SLACK * float(far.max())))] * len(found)
     return Model(of, np.concatenate(centres), idf, np.array(limits))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+def _judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejected of each text."""
+    counts = counted(texts)
+    known = (counts.sum(axis=1) > 0) & bool(model.languages)
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    cosines = unit(counts, model.idf) @ model.centroids.T
+    near = np.argmax(cosines, axis=1)
+    score = np.where(known, np.clip(cosines[np.arange(len(counts)), near], 0, 1), 0).astype(float)
+    names = [model.languages[j] if k else UNKNOWN for j, k in zip(near, known, strict=True)]
+    return names, score, ~known | (1 - score > model.limits[near])
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1) and rejected of each row.
 
     Null text, a text without letters, or a model without languages: und, score 0, rejected. rejected also marks
     texts farther from the nearest centroid than training texts of its language are. Ties: the first language.
-    whole_rows: all columns of docs, then lang_pred, score and rejected (in place of any of these names).
     """
-    if whole_rows:
-        picked = docs.drop(*ADDED.names)
-        place, kept = picked.columns.index(text_col), len(picked.columns)
-        schema = StructType([*picked.schema, *ADDED])
-    else:
-        picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        place, kept = 1, 1
-        schema = StructType([picked.schema[0], *ADDED])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                counts = counted(part.column(place).to_pylist())
-                known = (counts.sum(axis=1) > 0) & bool(model.languages)
-                near, score, out = np.zeros(len(counts), int), np.zeros(len(counts)), ~known
-                if model.languages:
-                    cosines = unit(counts, model.idf) @ model.centroids.T
-                    near = np.argmax(cosines, axis=1)
-                    score = np.where(known, np.clip(cosines[np.arange(len(counts)), near], 0, 1), 0).astype(float)
-                    out = ~known | (1 - score > model.limits[near])
-                names = [model.languages[j] if k else UNKNOWN for j, k in zip(near, known, strict=True)]
+                names, score, out = _judged(part.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:kept], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
-                    schema.names,
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
+                    ["doc_id", "lang_pred", "score", "rejected"],
                 )
 
-    return picked.mapInArrow(rows, schema)
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(rows, f"doc_id {dict(picked.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that predict() does not reject, with all their columns; lang becomes the predicted one."""
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                names, _, out = _judged(part.column(text_at).to_pylist(), model)
+                columns = [pa.array(names, pa.string()) if i == lang_at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(~out))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -14,27 +14,24 @@ from bandwatch.llm import host_rules, jaccard_join, language_id, packing, secret
 from bandwatch.llm.common import reach_workers, staged, table
 
 
-def _only(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept_ids; a null id never is."""
-    return docs.join(kept_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host rules keep."""
-    return _only(docs, host_rules.judge(docs).where("kept"))
+    return host_rules.keep(docs)
 
 
 def language_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; lang becomes the predicted one."""
-    model = language_id.fit(language_id.learnable(docs))
-    found = language_id.predict(docs, model, whole_rows=True).where("NOT rejected")
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return language_id.keep(docs, language_id.fit(language_id.learnable(docs)))
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; documents without words all stay."""
-    classes = jaccard_join.join(docs).where("doc_id = component_id")
-    return _only(docs, classes).dropDuplicates(["doc_id"])
+    """Of each group of near copies the document with the smallest id, once; documents without words all stay.
+
+    A row without an id belongs to no group that could be named, and goes.
+    """
+    kept = staged(jaccard_join.join(docs).where("doc_id = component_id").groupBy("doc_id").count())
+    once, again = (docs.join(kept.where(how).select("doc_id"), "doc_id", "left_semi").select(docs.columns) for how in ("count = 1", "count > 1"))
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
