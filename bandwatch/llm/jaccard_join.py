@@ -165,13 +165,31 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
             shared[order[:-1]] |= same
             doc, counts = np.unique(np.repeat(owners, lens)[shared], return_counts=True)
             doc, counts = doc[doc >= 0], counts[doc >= 0]
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "shared": pa.array(counts, pa.int64())})
+        # one row for each range of ids, not for each document: a hash range knows something of most documents
+        ranges = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(ranges, kind="stable")
+        doc, counts = doc[order], counts[order]
+        which, first = np.unique(ranges[order], return_index=True)
+        parts = list(zip(np.split(doc, first[1:]), np.split(counts, first[1:]), strict=True)) if len(which) else []
+        return pa.table(
+            [
+                pa.array(which.astype(np.int64), pa.int64()),
+                pa.array([d.astype("<i8").tobytes() for d, _ in parts], pa.binary()),
+                pa.array([n.astype("<i4").tobytes() for _, n in parts], pa.binary()),
+            ],
+            names=["of", "docs", "counts"],
+        )
+
+    def summed(part: pa.Table) -> pa.Table:
+        docs, of = np.unique(np.frombuffer(b"".join(part.column("docs").to_pylist()), "<i8"), return_inverse=True)
+        counts = np.bincount(of, np.frombuffer(b"".join(part.column("counts").to_pylist()), "<i4"), len(docs))
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "shared": pa.array(counts.astype(np.int64))})
 
     sent = docs.mapInArrow(gather, "bucket int, owners binary, lens binary, keys binary")
     # local counts (-1) are rows of their own already: spread them over tasks
     split = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("owners"), F.lit(buckets))).otherwise(0)
-    answers = sent.withColumn("split", split).groupBy("bucket", "split").applyInArrow(told, "doc_id long, shared long")
-    return answers.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    answers = sent.withColumn("split", split).groupBy("bucket", "split").applyInArrow(told, "of long, docs binary, counts binary")
+    return answers.groupBy("of").applyInArrow(summed, "doc_id long, shared long")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
