@@ -2,9 +2,10 @@
 
 A shard is some thousand documents of one task: their inverted lists, ordered by term, and each list's maximum per
 block of BLOCK documents. Queries come in blocks of bounded size, broadcast one after the other over all shards.
-For a query, the short lists are scored in full; for the long ones the block maxima bound what they can add. The
-best k by bound are scored first and set the threshold; of the rest only documents whose bound passes it are
-scored (the pivot test of WAND, for arrays of documents). Each shard's k best are merged by score and id.
+For a query, the short lists are scored in full; for the long ones the block maxima bound what they can add. Only
+blocks whose bound passes the query's threshold are scored (the pivot test of WAND, for arrays of documents and a
+batch of like queries at once). A task takes its shards one after the other and keeps each query's k best, which
+raises the threshold as it goes; so what it sends does not grow with its shards. The tasks' k best are merged.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BLOCK = 64
 LONG_SHARE = 1 / 12  # of a shard's documents: lists longer than that are long
 QUERY_TERMS = 2_000_000  # of a block of queries, about: a broadcast of some 40 MB at most
 ROWS = 512
+BATCH = 32  # queries scored at once
+TASKS_PER_CORE = 2  # that a block of queries is spread over
+SLACK = 1e-4  # single precision finds candidates, double precision scores them
 DIGITS = 9  # scores are compared to so many decimals, so that equal texts tie
 
 
@@ -166,31 +170,88 @@ class Shard:
             lo, hi = self.start[t], self.start[t + 1]
             self.matrix[self.docs[lo:hi], j] = self.impact[lo:hi]
         self.block = np.arange(self.n) // BLOCK
-        self.maxima = np.maximum.reduceat(self.matrix, np.arange(0, self.n, BLOCK), axis=0)
+        self.edges = np.arange(0, self.n, BLOCK)
+        self.maxima = np.maximum.reduceat(self.matrix, self.edges, axis=0) if len(self.long) else np.zeros((len(self.edges), 0))
+        self.narrow = self.matrix.astype(np.float32)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents for terms (places in this shard's lists) and their weights."""
-        at = self.long_at[terms]
-        far = at >= 0
-        wide = np.zeros(len(self.long))
-        wide[at[far]] = weights[far]
-        short, w = terms[~far], weights[~far]
-        lo, sizes = self.start[short], self.start[short + 1] - self.start[short]
+    def sparse(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all documents from these short lists."""
+        lo, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
         total = int(sizes.sum())
-        place = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total) if total else np.zeros(0, np.int64)
-        scores = np.bincount(self.docs[place], self.impact[place] * np.repeat(w, sizes), self.n)
-        bound = scores + (self.maxima @ wide)[self.block]
-        first = np.argpartition(-bound, k - 1)[:k] if self.n > k else np.arange(self.n)
-        exact = scores[first] + self.matrix[first] @ wide
-        threshold = np.partition(exact, -k)[-k] if self.n > k else -1.0
-        rest = bound >= threshold - 1e-6
-        rest[first] = False
-        rest = np.flatnonzero(rest)
-        docs = np.concatenate((first, rest))
-        exact = np.round(np.concatenate((exact, scores[rest] + self.matrix[rest] @ wide)), DIGITS)
-        best = np.lexsort((self.ids[docs], -exact))[:k]
-        best = best[exact[best] > 0]
-        return self.ids[docs[best]], exact[best]
+        if not total:
+            return np.zeros(self.n)
+        place = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
+        return np.bincount(self.docs[place], self.impact[place] * np.repeat(weights, sizes), self.n)
+
+
+class Best:
+    """The k best documents of each query of a block so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
+        self.scores: list[np.ndarray] = [np.zeros(0)] * queries
+
+    def threshold(self, q: int) -> float:
+        """What a document must reach; equal scores may still win by their id."""
+        return float(self.scores[q][-1]) if len(self.scores[q]) == self.k else 0.0
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate((self.ids[q], ids)), np.concatenate((self.scores[q], scores))
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[q], self.scores[q] = ids[order], scores[order]
+
+
+def score_batch(shard: Shard, terms: list[np.ndarray], weights: list[np.ndarray], numbers: list[int], best: Best) -> None:
+    """Adds to best what the shard has for a batch of queries (numbers; places of their terms in the shard's lists)."""
+    sparse = np.empty((len(terms), shard.n))
+    wide = np.zeros((len(terms), len(shard.long)))
+    for j, (t, w) in enumerate(zip(terms, weights, strict=True)):
+        at = shard.long_at[t]
+        far = at >= 0
+        wide[j, at[far]] = w[far]
+        sparse[j] = shard.sparse(t[~far], w[~far])
+    least = np.array([best.threshold(q) for q in numbers]) * (1 - SLACK)
+    bound = np.maximum.reduceat(sparse, shard.edges, axis=1) + wide @ shard.maxima.T
+    active = (bound >= least[:, None]).any(axis=0)
+    docs = np.flatnonzero(active[shard.block])
+    whole = len(docs) == shard.n
+    near = wide.astype(np.float32) @ (shard.narrow if whole else shard.narrow[docs]).T
+    near += sparse if whole else sparse[:, docs]
+    for j, q in enumerate(numbers):
+        row = near[j]
+        found = np.flatnonzero(row >= max(least[j], 1e-9))
+        if len(found) > best.k:
+            kth = np.partition(row[found], len(found) - best.k)[len(found) - best.k]
+            found = found[row[found] >= kth * (1 - SLACK)]
+        if len(found):
+            at = docs[found]
+            best.add(q, shard.ids[at], np.round(sparse[j, at] + shard.matrix[at] @ wide[j], DIGITS))
+
+
+def answer(shards: Iterator[dict], block: Queries, average: float, k: int) -> pa.RecordBatch:
+    """The k best of all these shards for each query of a block."""
+    best = Best(len(block.ids), k)
+    for row in shards:
+        shard = Shard(row, average)
+        at = np.minimum(np.searchsorted(shard.terms, block.terms), len(shard.terms) - 1)
+        at[shard.terms[at] != block.terms] = -1
+        flat = at[block.at]
+        terms, weights, lead = [], [], []
+        for lo, hi in zip(block.edges[:-1], block.edges[1:], strict=True):
+            here = flat[lo:hi] >= 0
+            terms.append(flat[lo:hi][here])
+            weights.append(block.weights[lo:hi][here])
+            # queries that share their weightiest long list, mostly a language, share blocks
+            long = shard.long_at[terms[-1]]
+            lead.append(long[long >= 0].tolist()[:3])
+        order = sorted(range(len(terms)), key=lambda q: lead[q])
+        for start in range(0, len(order), BATCH):
+            some = order[start : start + BATCH]
+            score_batch(shard, [terms[q] for q in some], [weights[q] for q in some], some, best)
+    sizes = [len(x) for x in best.ids]
+    columns = [np.repeat(block.ids, sizes), np.concatenate([*best.ids, np.zeros(0, np.int64)]), np.concatenate([*best.scores, np.zeros(0)])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "doc_id", "score"])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,28 +271,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     total = asked.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(total / QUERY_TERMS))
     spark, parts = docs.sparkSession, []
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     for number in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # QUERY_TERMS terms, about
         shared = spark.sparkContext.broadcast(Queries([(r["query_id"], r["terms"], r["df"]) for r in rows], n_docs))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block: Queries = shared.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, average)
-                    at = np.minimum(np.searchsorted(shard.terms, block.terms), len(shard.terms) - 1)
-                    at[shard.terms[at] != block.terms] = -1
-                    flat = at[block.at]
-                    found = []
-                    for j, q in enumerate(block.ids.tolist()):
-                        lo, hi = block.edges[j], block.edges[j + 1]
-                        here = flat[lo:hi] >= 0
-                        ids, scores = shard.top(flat[lo:hi][here], block.weights[lo:hi][here], k)
-                        found.append((np.full(len(ids), q), ids, scores))
-                    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "doc_id", "score"])
-
-        parts.append(staged(shards.mapInArrow(run, "query_id long, doc_id long, score double")))
+            yield answer((row for batch in batches for row in batch.to_pylist()), shared.value, average, k)
+
+        parts.append(staged(shards.coalesce(tasks).mapInArrow(run, "query_id long, doc_id long, score double")))
         shared.unpersist()
     merged = parts[0]
     for part in parts[1:]:
