@@ -101,7 +101,9 @@ def evaluate_groups(
     """
     cell_ms = F.lit(millis(cell_s)).cast("bigint")
     triggers = alarms.where("is_new") if "is_new" in alarms.columns else alarms
-    triggers = triggers.select(*ALARM_ID, floor_to(F.col("ts"), cell_ms).alias("cell"))
+    # Equal alarms (delivered again, or from two topics) ask once; each has its own result.
+    triggers = triggers.groupBy(*ALARM_ID).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    triggers = triggers.withColumn("cell", floor_to(F.col("ts"), cell_ms))
     cells = triggers.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / alarms_per_task).cast("int").alias("splits")
     )
@@ -115,7 +117,7 @@ def evaluate_groups(
     asking = triggers.join(slots, "cell").select(
         "group_id", "cell", F.pmod(F.xxhash64(*ALARM_ID), "splits").cast("int").alias("salt"),
         "slot", "need", F.col("ts").alias("at"), F.lit(1).alias("_asks"),
-        F.struct(*ALARM_ID).alias("alarm"),
+        F.struct(*ALARM_ID, "_copies").alias("alarm"),
     )
     telling = spans.select(
         "group_id", "cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
@@ -136,5 +138,6 @@ def evaluate_groups(
         met.groupBy("group_id", "cell", "salt", "alarm", "need")
         .agg(F.count(F.lit(1)).alias("n_on"), F.max("last_on.severity").alias("severity"))
         .where(F.col("n_on") >= F.col("need"))
-        .select("alarm.*", "group_id", "severity")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("alarm._copies"))))
+        .select(*(F.col(f"alarm.{c}").alias(c) for c in ALARM_ID), "group_id", "severity")
     )

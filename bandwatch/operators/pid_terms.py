@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwatch.operators.slices import frame_aggregates, tile_order, with_tiles
 
+HALF_BITS = 30
+
 
 def proportional_term(df: DataFrame) -> DataFrame:
     """Add `p_term` = a * (value - setpoint)."""
@@ -42,28 +44,36 @@ def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> D
     """Add `slope`: least-squares slope per second of the value over the last `dt_diff` seconds.
 
     The newest row does not take part unless asked for. Without two distinct times the slope
-    is 0. Times enter as whole ms from the frame's tile and are moved to the frame's first row
-    after summing: as long as the sums stay below 2^53 that is exact.
+    is 0. Times are whole ms since the frame's tile, and what is summed of times alone stays
+    whole: squares in two halves, so that no sum of a frame leaves the range of a long.
     """
-    t = (F.col("ts") - F.col("tile")).cast("double")
-    measures = {"_n": F.lit(1.0), "_t": t, "_tt": t * t, "_y": F.col("value"),
-                "_ty": t * F.col("value")}
+    t = F.col("ts") - F.col("tile")
+    square = t * t
+    measures = {
+        "_n": F.lit(1).cast("bigint"), "_t": t,
+        "_high": F.shiftright(square, HALF_BITS), "_low": square.bitwiseAND((1 << HALF_BITS) - 1),
+        "_y": F.col("value"), "_ty": t.cast("double") * F.col("value"),
+    }
     tiled = with_tiles(df, frame_width(F.col("dt_diff"), window_ms))
     framed = frame_aggregates(tiled, measures, {"_first_ts": F.col("ts")})
     if include_latest:
         framed = framed.withColumns({n: F.col(n) + now for n, now in measures.items()})
-    shift = (F.col("_first_ts") - F.col("tile")).cast("double")
+    shift = F.col("_first_ts") - F.col("tile")
     n, y = F.col("_n"), F.col("_y")
+    whole = lambda c: c.cast("decimal(27,0)")  # noqa: E731  its products fit into 38 digits
+    squares = whole(F.col("_high")) * (1 << HALF_BITS) + F.col("_low")
     framed = framed.withColumns({
         "_from_first": F.col("_t") - n * shift,
-        "_squared": F.col("_tt") - 2 * shift * F.col("_t") + n * shift * shift,
+        # n * sum of squares - square of the sum: the same from any origin, and exact
+        "_under": (n.cast("decimal(10,0)") * squares.cast("decimal(27,0)")
+                   - F.col("_t").cast("decimal(19,0)") * F.col("_t").cast("decimal(19,0)")),
     })
     over = n * (F.col("_ty") - shift * y) - y * F.col("_from_first")
-    under = n * F.col("_squared") - F.col("_from_first") * F.col("_from_first")
     # The sum of the times since the first is 0 only if all times are equal.
-    spread = (F.col("_from_first") > 0) & (under != 0)
+    spread = (F.col("_from_first") > 0) & (F.col("_under") != 0)
     return framed.withColumn(
-        "slope", F.when(spread, 1000 * F.try_divide(over, under)).otherwise(0.0)
+        "slope",
+        F.when(spread, 1000 * F.try_divide(over, F.col("_under").cast("double"))).otherwise(0.0),
     ).select(*df.columns, "slope")
 
 

@@ -114,13 +114,13 @@ def frame_aggregates(
     parts = heads.withColumn("_part", F.explode(F.array(row, copy))).select(
         *keys, *(c for c in heads.columns if c not in (*keys, "tile")), "_part.*"
     ).select(
-        *keys, "tile", "_at", "_tail",
+        *keys, "tile", "_at", "_tail", F.col("seq").alias("_seq"),
         *(F.when(is_tail, measure).alias(f"_m_{n}") for n, measure in sums.items()),
         *(F.when(is_tail, F.col(f"_f_{n}")).alias(f"_f_{n}") for n in firsts),
         F.when(~is_tail, F.struct(*rest)).alias("_row"),
     )
     from_new_end = Window.partitionBy(*keys, "tile").orderBy(
-        F.desc("_at"), F.desc("_tail")
+        F.desc("_at"), F.desc("_tail"), F.desc("_seq")
     ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = parts.withColumns(
         {f"_tail_{n}": F.sum(f"_m_{n}").over(from_new_end) for n in sums}
@@ -128,7 +128,7 @@ def frame_aggregates(
     ).where(~is_tail)
 
     def total(name: str) -> Column:
-        zero = F.lit(0.0)
+        zero = F.lit(0)
         return (F.coalesce(f"_tail_{name}", zero) + F.coalesce(f"_row._head_{name}", zero))
 
     own = [c for c in df.columns if c not in ("tile", "_width")]

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables. A folder of this machine only if none is set."""
+    """A fresh folder for intermediate tables; a folder of this machine only on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared or tempfile.mkdtemp(prefix="bandwatch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -29,6 +31,12 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table that is no longer read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def at_once(spark: SparkSession, *actions: Callable[[], object]) -> None:
     """Run independent writes side by side, so that small ones do not wait for each other."""
     inherits = inheritable_thread_target(spark)

@@ -90,6 +90,15 @@ MESSAGE = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
+POINT = T.StructType([
+    T.StructField("database", T.StringType()),
+    T.StructField("measurement", T.StringType()),
+    T.StructField("host", T.StringType()),
+    T.StructField("reading_name", T.StringType()),
+    T.StructField("ts", T.LongType()),
+    T.StructField("value", T.DoubleType()),
+])
+
 HISTORY = T.StructType([
     T.StructField("when", T.TimestampType()),
     T.StructField("howbad", T.DoubleType()),

@@ -1,17 +1,22 @@
-"""Output tables: stored points, alarm history, diagnostics.
+"""Output tables: stored points, alarms, alarm history, diagnostics.
 
-A batch run appends. A micro-batch owns the folder `batch=<id>` of each table and overwrites it,
-so a replay leaves no duplicates.
+Batch and stream write the same layout: by day where rows have a time, and by the run that wrote
+them innermost. Batch runs append under `batch=-1`. A micro-batch owns its number and overwrites
+it, so a replay leaves no duplicates; a reader of some days lists those days only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from bandwatch.schemas import ALARM, DIAGNOSTIC, HISTORY, POINT
 from bandwatch.sources.records import HOST_CHANNEL
 
 # Host metrics of all experiments share one database.
 COMMON_DATABASE = "common"
+BATCH_RUN = -1
+DAY_MS = 86_400_000
+TABLES = {"readings": POINT, "alarms": ALARM, "history": HISTORY, "diagnostics": DIAGNOSTIC}
 
 
 def storage_points(readings: DataFrame, experiment: str) -> DataFrame:
@@ -29,34 +34,57 @@ def history_rows(messages: DataFrame) -> DataFrame:
     )
 
 
+def day_of(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(ts / DAY_MS).cast("int"))
+
+
+def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """One of the tables under `out`, with `batch` and, where rows have a time, `day`; may be empty."""
+    parts = [T.StructField("batch", T.LongType())]
+    if name != "diagnostics":
+        parts.append(T.StructField("day", T.DateType()))
+    return spark.read.schema(T.StructType([*TABLES[name], *parts])).parquet(f"{out}/{name}")
+
+
 def _write(df: DataFrame, path: str, batch_id: int | None, partitions: list[str] = ()) -> None:
-    mode = "append"
-    if batch_id is not None:
-        path, mode = f"{path}/batch={batch_id}", "overwrite"
-    df.write.mode(mode).partitionBy(*partitions).parquet(path)
+    number = BATCH_RUN if batch_id is None else batch_id
+    if not partitions:
+        mode = "append" if batch_id is None else "overwrite"
+        df.write.mode(mode).parquet(f"{path}/batch={number}")
+        return
+    writer = df.withColumn("batch", F.lit(number).cast("bigint")).write.partitionBy(
+        *partitions, "batch"
+    )
+    if batch_id is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_readings(
     readings: DataFrame, experiment: str, path: str, batch_id: int | None = None
 ) -> None:
-    """Store points under database / measurement / day.
+    """Store points under day / database / measurement.
 
     Rows are brought together by partition first; AQE evens out sizes and splits large days.
     """
-    keys = ["database", "measurement", "day"]
-    points = storage_points(readings, experiment).withColumn(
-        "day", F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int"))
-    )
+    keys = ["day", "database", "measurement"]
+    points = storage_points(readings, experiment).withColumn("day", day_of(F.col("ts")))
     _write(points.hint("rebalance", *keys), path, batch_id, keys)
 
 
 def write_alarm_history(messages: DataFrame, path: str, batch_id: int | None = None) -> None:
-    _write(history_rows(messages), path, batch_id)
+    rows = history_rows(messages).withColumn(
+        "day", day_of(F.unix_millis("when"))
+    )
+    _write(rows.hint("rebalance", "day"), path, batch_id, ["day"])
 
 
 def write_diagnostics(diagnostics: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Diagnostics have no time of their own; they lie by the run that found them."""
     _write(diagnostics, path, batch_id)
 
 
 def write_alarms(alarms: DataFrame, path: str, batch_id: int | None = None) -> None:
-    _write(alarms, path, batch_id)
+    rows = alarms.withColumn("day", day_of(F.col("ts")))
+    _write(rows.hint("rebalance", "day"), path, batch_id, ["day"])

@@ -10,8 +10,6 @@ from bandwatch.schemas import LEVEL_DATA, RAW_RECORD
 
 # Host metrics arrive on this channel, with the host as a leading field.
 HOST_CHANNEL = "sysmon"
-# Back-pressure of the source: records per trigger.
-MAX_OFFSETS_PER_TRIGGER = 200_000
 
 
 def read_raw(
@@ -25,7 +23,8 @@ def read_raw(
     """All topics of an experiment, from the bus or from files of the same columns.
 
     For the bus, `options` must hold `kafka.bootstrap.servers`. A stream starts at the newest
-    offsets, a batch read at the oldest, unless `options` say otherwise.
+    offsets, a batch read at the oldest, unless `options` say otherwise. How much a trigger takes
+    is not limited unless `options` has `maxOffsetsPerTrigger`.
     """
     reader = spark.readStream if streaming else spark.read
     reader = reader.format(fmt)
@@ -33,8 +32,6 @@ def read_raw(
     if fmt == "kafka":
         reader = reader.option("subscribePattern", pattern)
         reader = reader.option("startingOffsets", "latest" if streaming else "earliest")
-        if streaming:
-            reader = reader.option("maxOffsetsPerTrigger", MAX_OFFSETS_PER_TRIGGER)
         raw = reader.options(**(options or {})).load()
     else:
         raw = reader.schema(RAW_RECORD).options(**(options or {})).load(path)

@@ -1,12 +1,19 @@
-"""State of the stream between micro-batches: small tables, one folder per batch.
+"""State of the stream between micro-batches.
 
-Batch n reads the folder of n - 1 and overwrites its own, so a replay of n finds the same input.
-Older folders are dropped.
+Small tables have one folder per batch, dropped two batches later. Logs keep every record by hour
+and batch: a row of any time, early or late, finds what lies before it. Batch n reads the logs of
+earlier batches only and overwrites its own part, so a replay of n finds the same input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+HOUR_MS = 3_600_000
+
+
+class LostState(RuntimeError):
+    """What an earlier micro-batch wrote is gone."""
 
 
 class State:
@@ -21,15 +28,25 @@ class State:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
-    def is_complete(self, name: str, batch_id: int) -> bool:
-        files, path = self._hadoop(f"{self._folder(name, batch_id)}/_SUCCESS")
+    def _marker(self, name: str, batch_id: int) -> str:
+        return f"{self.path}/_complete/{name}-{batch_id}"
+
+    def mark(self, name: str, batch_id: int) -> None:
+        """Note, last of all, that a table or a whole batch has been written."""
+        files, path = self._hadoop(self._marker(name, batch_id))
+        files.create(path, True).close()
+
+    def is_marked(self, name: str, batch_id: int) -> bool:
+        files, path = self._hadoop(self._marker(name, batch_id))
         return files.exists(path)
 
-    def read(self, name: str, batch_id: int, schema: T.StructType) -> DataFrame:
-        """Table of a batch; empty if there is none."""
-        if batch_id < 0 or not self.is_complete(name, batch_id):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._folder(name, batch_id))
+    def require(self, batch_id: int) -> None:
+        """Raise if the batch before this one has left no sign of being complete."""
+        if batch_id > 0 and not self.is_marked("batch", batch_id - 1):
+            raise LostState(
+                f"batch {batch_id} follows one of which {self.path} knows nothing: "
+                "the checkpoint and the output folder do not belong together"
+            )
 
     def write(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self._folder(name, batch_id))
@@ -37,10 +54,35 @@ class State:
 
     def snapshot(self, name: str, batch_id: int, load) -> DataFrame:
         """What `load()` gives when the batch is first tried; the same again on a replay."""
-        if not self.is_complete(name, batch_id):
+        if not self.is_marked(name, batch_id):
             self.write(name, batch_id, load().coalesce(1))
+            self.mark(name, batch_id)
         return self.spark.read.parquet(self._folder(name, batch_id))
 
     def drop(self, name: str, batch_id: int) -> None:
-        files, path = self._hadoop(self._folder(name, batch_id))
-        files.delete(path, True)
+        for folder in (self._folder(name, batch_id), self._marker(name, batch_id)):
+            files, path = self._hadoop(folder)
+            files.delete(path, True)
+
+    def log(self, name: str, batch_id: int, rows: DataFrame) -> None:
+        """Keep a batch's rows (with `ts`) for later batches."""
+        hour = F.floor(F.col("ts") / HOUR_MS).cast("bigint")
+        keyed = rows.withColumn("hour", hour).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        keyed.hint("rebalance", "hour").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("hour", "batch").parquet(f"{self.path}/log/{name}")
+
+    def logged(self, name: str, batch_id: int, schema: T.StructType, rows: DataFrame,
+               reach_ms: int) -> DataFrame:
+        """Rows of earlier batches in the hours that `rows` can look back to, a reach each."""
+        folder = f"{self.path}/log/{name}"
+        files, path = self._hadoop(folder)
+        if not files.exists(path):
+            return self.spark.createDataFrame([], schema)
+        full = T.StructType([*schema, T.StructField("hour", T.LongType()),
+                             T.StructField("batch", T.LongType())])
+        hour = lambda ts: F.floor(ts / HOUR_MS).cast("bigint")
+        hours = rows.select(F.explode(F.sequence(
+            hour(F.col("ts") - F.lit(reach_ms)), hour(F.col("ts")))).alias("hour")).distinct()
+        earlier = self.spark.read.schema(full).parquet(folder).where(F.col("batch") < batch_id)
+        return earlier.join(hours, "hour", "left_semi").select(*schema.names)

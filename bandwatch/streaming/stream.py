@@ -1,9 +1,10 @@
 """The whole flow over an unbounded stream of records.
 
-Every look-back is bounded, so each micro-batch runs the batch plans over a carried-over tail
-plus its own rows, and only its own rows give results. The tail is as long as the longest
-look-back: twice the window, since a history of PID values reaches one window back and each of
-them another. Batch and stream share all operators and give equal tables.
+Every record is numbered, stored and checked, whatever its time. Look-backs are bounded, so each
+micro-batch runs the batch plans over its own rows plus what earlier batches logged in the hours
+that these rows can look back to, and only its own rows give results. There is no clock: a record
+from the future or from last month only reads other hours. Batch and stream share all operators;
+for records that arrive in order of time they give equal tables.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
 from bandwatch.plans.readings import bad, good, numbered
 from bandwatch.plans.staging import at_once
-from bandwatch.schemas import ALARM, DECODED, LEVEL_DATA, READING
+from bandwatch.schemas import ALARM, DECODED, READING
 from bandwatch.sinks.tables import (
     write_alarm_history, write_alarms, write_diagnostics, write_readings,
 )
@@ -28,7 +29,6 @@ from bandwatch.sources.records import decode_records
 from bandwatch.streaming.state import State
 
 SERIES = ["host", "reading_name"]
-TAILS = ["decoded", "readings", "alarms", "clock"]
 CONFIG = ["config", "combined", "groups"]
 
 
@@ -47,67 +47,50 @@ class StreamJob:
         window_s: float = WINDOW_S,
         lookback_s: float = LOOKBACK_S,
         slice_s: float | None = None,
-        max_lateness_s: float | None = None,
     ):
         self.experiment, self.config_loader, self.out = experiment, config_loader, out
         self.window_s, self.lookback_s, self.slice_s = window_s, lookback_s, slice_s
-        self.lateness_ms = millis(window_s if max_lateness_s is None else max_lateness_s)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = State(spark, f"{self.out}/_state")
+        spark, out = batch.sparkSession, self.out
+        state = State(spark, f"{out}/_state")
+        state.require(batch_id)
         config, combined, groups = self._config(state, batch_id)
         window_ms = millis(self.window_s)
 
         decoded, broken = decode_records(batch, self.experiment)
         decoded = decoded.persist()
         try:
-            clock = state.read("clock", batch_id - 1, "max_ts bigint").first()
-            before = clock.max_ts if clock else None
-            in_time = F.lit(True) if before is None else F.col("ts") >= before - self.lateness_ms
-            fresh, late = decoded.where(in_time), decoded.where(~in_time)
-            newest = fresh.agg(F.max("ts")).first()[0]
-            newest = max((t for t in (before, newest) if t is not None), default=None)
-
-            old_decoded = state.read("decoded", batch_id - 1, DECODED)
-            rows = numbered(fresh, combined, self.lookback_s, old_decoded)
+            old_decoded = state.logged("decoded", batch_id, DECODED, decoded,
+                                       millis(self.lookback_s))
+            rows = numbered(decoded, combined, self.lookback_s, old_decoded)
             rows = state.write("numbered", batch_id, rows)
             readings = good(rows)
 
-            old_readings = state.read("readings", batch_id - 1, READING)
+            # A history of PID values reaches one window back, and each of them another.
+            old_readings = state.logged("readings", batch_id, READING, readings, 2 * window_ms)
             alarms = all_alarms(
                 self._with_history(readings, old_readings, 2 * window_ms), config,
                 self.window_s, self.slice_s,
             )
-            write_alarms(alarms, f"{self.out}/alarms", batch_id)
-            alarms = spark.read.schema(ALARM).parquet(f"{self.out}/alarms/batch={batch_id}")
-            old_alarms = state.read("alarms", batch_id - 1, ALARM)
+            alarms = state.write("alarms", batch_id, alarms)
+            old_alarms = state.logged("alarms", batch_id, ALARM, alarms, window_ms)
             messages = alarm_messages(marked(alarms, old_alarms), groups, self.window_s)
-
             diagnostics = (
-                broken.unionByName(late_diagnostics(late)).unionByName(bad(rows))
-                .unionByName(config_diagnostics(readings, config))
+                broken.unionByName(bad(rows)).unionByName(config_diagnostics(readings, config))
             )
-            # The next batch has no row in time before newest - lateness.
-            reach = self.lateness_ms
-            tails = {
-                "decoded": since(old_decoded.unionByName(fresh), newest,
-                                 millis(self.lookback_s) + reach),
-                "readings": since(old_readings.unionByName(readings), newest,
-                                  2 * window_ms + reach),
-                "alarms": since(old_alarms.unionByName(alarms), newest, window_ms + reach),
-                "clock": spark.range(1).select(F.lit(newest).cast("bigint").alias("max_ts")),
-            }
-            out = self.out
             at_once(
                 spark,
                 lambda: write_readings(readings, self.experiment, f"{out}/readings", batch_id),
+                lambda: write_alarms(alarms, f"{out}/alarms", batch_id),
                 lambda: write_alarm_history(messages, f"{out}/history", batch_id),
                 lambda: write_diagnostics(diagnostics, f"{out}/diagnostics", batch_id),
-                *(lambda n=name, t=tail: state.write(n, batch_id, t)
-                  for name, tail in tails.items()),
+                lambda: state.log("decoded", batch_id, decoded),
+                lambda: state.log("readings", batch_id, readings),
+                lambda: state.log("alarms", batch_id, alarms),
             )
-            for name in [*TAILS, *CONFIG, "numbered"]:
+            state.mark("batch", batch_id)
+            for name in [*CONFIG, "numbered", "alarms"]:
                 state.drop(name, batch_id - 2)
         finally:
             decoded.unpersist()
@@ -125,8 +108,10 @@ class StreamJob:
 
     def _with_history(self, new: DataFrame, old: DataFrame, reach_ms: int) -> DataFrame:
         """New readings, and of their series the earlier ones they can look back to."""
-        first = new.groupBy(*SERIES).agg(F.min("ts").alias("_first"))
-        needed = old.join(first, SERIES).where(F.col("ts") > F.col("_first") - F.lit(reach_ms))
+        span = new.groupBy(*SERIES).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+        needed = old.join(span, SERIES).where(
+            (F.col("ts") > F.col("_first") - F.lit(reach_ms)) & (F.col("ts") <= F.col("_last"))
+        )
         return marked(new, needed.select(*old.columns))
 
 
@@ -137,17 +122,6 @@ def marked(new: DataFrame, old: DataFrame) -> DataFrame:
     )
 
 
-def since(rows: DataFrame, newest: int | None, span_ms: int) -> DataFrame:
-    return rows if newest is None else rows.where(F.col("ts") > newest - span_ms)
-
-
-def late_diagnostics(late: DataFrame) -> DataFrame:
-    return late.select(
-        F.format_string("Reading %s is too late at %d.", "reading_name", "ts").alias("msg"),
-        F.lit(LEVEL_DATA).alias("level"), F.lit("run_stream").alias("operator"),
-    )
-
-
 def run_stream(
     raw_stream: DataFrame,
     experiment: str,
@@ -157,16 +131,14 @@ def run_stream(
     window_s: float = WINDOW_S,
     lookback_s: float = LOOKBACK_S,
     slice_s: float | None = None,
-    max_lateness_s: float | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start the stream; tables grow under `out`, progress is kept in `checkpoint`.
 
-    Records more than `max_lateness_s` (default: the window) older than the newest record of
-    earlier micro-batches go to diagnostics. Other late records are checked at their own time;
-    what was written before is not revised. `trigger` is as for `DataStreamWriter.trigger`.
+    A late record is checked at its own time, with all that arrived before it and is older; what
+    was written before is not revised. `trigger` is as for `DataStreamWriter.trigger`.
     """
-    job = StreamJob(experiment, config_loader, out, window_s, lookback_s, slice_s, max_lateness_s)
+    job = StreamJob(experiment, config_loader, out, window_s, lookback_s, slice_s)
     writer = raw_stream.writeStream.foreachBatch(job.process).option(
         "checkpointLocation", checkpoint
     )

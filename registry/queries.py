@@ -21,7 +21,7 @@ from bandwatch.plans.batch import config_diagnostics, run_batch
 from bandwatch.plans.messages import alarm_messages as messages_of, group_message, single_message
 from bandwatch.plans.readings import prepare_readings as prepare
 from bandwatch.plans.staging import staged, work_folder
-from bandwatch.sinks.tables import history_rows, storage_points as points_of
+from bandwatch.sinks.tables import history_rows, read_table, storage_points as points_of
 from bandwatch.sources.records import decode_records, read_raw
 from bandwatch.streaming.stream import run_stream
 from registry import data
@@ -345,7 +345,7 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_folder(spark, "run")
     run_batch(data.plain_records(spark, sf_dir), EXPERIMENT, data.config(spark),
               data.combined(spark).where("false"), data.groups(spark), out, WINDOW_S, LOOKBACK_S)
-    return _history(spark.read.parquet(f"{out}/history"))
+    return _history(read_table(spark, out, "history"))
 
 
 def stream_alarms(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> DataFrame:
@@ -368,8 +368,7 @@ def stream_alarms(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> DataFra
             trigger={"availableNow": True},
         )
         query.awaitTermination()
-    alarms = spark.read.parquet(f"{work}/out/alarms")
-    return flat(alarms)
+    return flat(read_table(spark, f"{work}/out", "alarms"))
 
 
 QUERIES = [

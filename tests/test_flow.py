@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandwatch.plans.batch import run_batch
+from bandwatch.sinks.tables import read_table
 from bandwatch.sources.config import (
     alarm_groups_from, combined_from, load_alarm_groups, load_combined, load_readings_config,
     readings_config_from,
 )
 from bandwatch.sources.records import read_raw
+from bandwatch.streaming.state import LostState
 from bandwatch.streaming.stream import StreamJob, run_stream
 from tests.helpers import raw_records, rule_doc
 
@@ -63,7 +65,7 @@ def contents(df):
 
 
 def tables(spark, out):
-    return {name: contents(spark.read.parquet(f"{out}/{name}"))
+    return {name: contents(read_table(spark, out, name))
             for name in ("readings", "alarms", "history", "diagnostics")}
 
 
@@ -97,7 +99,7 @@ def run_once(spark, source, out, loader, **options):
 def test_stored_points(spark, batch_tables):
     assert all(("database='common'" in r) == ("measurement='sysmon'" in r)
                for r in batch_tables["readings"])
-    assert any("day=" in r for r in batch_tables["readings"])
+    assert all("day=datetime" in r for r in batch_tables["readings"])
 
 
 def test_stream_with_a_restart_equals_batch(spark, batch_tables, tmp_path):
@@ -138,23 +140,62 @@ def test_config_change_takes_effect_and_newest_rule_judges_the_tail(spark, tmp_p
     job.process(rows.where("offset < 3"), 0)
     current[0] = some
     job.process(rows.where("offset >= 3"), 1)
-    assert spark.read.parquet(f"{out}/alarms").count() == 3
-    assert spark.read.parquet(f"{out}/diagnostics").count() == 9
+    assert read_table(spark, out, "alarms").count() == 3
+    assert read_table(spark, out, "diagnostics").count() == 9
 
 
 def test_late_rows(spark, tmp_path):
+    """No row is dropped: late ones are stored, and checked against what lies before them."""
     out = str(tmp_path / "out")
     rule = {"type": "simple", "setpoint": 0, "levels": [-1, 1], "recurrence": 2}
     docs = (readings_config_from(spark, [rule_doc(rule)]), combined_from(spark, []),
             alarm_groups_from(spark, []))
-    job = StreamJob("exp", lambda: docs, out, WINDOW_S, max_lateness_s=100)
+    job = StreamJob("exp", lambda: docs, out, WINDOW_S)
     job.process(raw_records(spark, [("exp_x", 0, "T1,0"), ("exp_x", 90, "T1,5"),
-                                    ("exp_x", 200, "T1,0")]), 0)
-    job.process(raw_records(spark, [("exp_x", 99.9, "T1,5"), ("exp_x", 100, "T1,5")]), 1)
-    diagnostics = spark.read.parquet(f"{out}/diagnostics").collect()
-    assert [r.operator for r in diagnostics] == ["run_stream"]
-    # The late row finds the 90 s value before it: twice in a row.
-    assert spark.read.parquet(f"{out}/alarms").where("batch = 1").count() == 1
+                                    ("exp_x", 20_000, "T1,0")]), 0)
+    job.process(raw_records(spark, [("exp_x", 99.9, "T1,5"), ("exp_x", -9_000, "T1,5")]), 1)
+    assert read_table(spark, out, "readings").count() == 5
+    assert read_table(spark, out, "diagnostics").count() == 0
+    # The late row finds the 90 s value before it: twice in a row. The other is alone: all are out.
+    late = read_table(spark, out, "alarms").where("batch = 1").collect()
+    assert len(late) == 2
+
+
+def test_record_from_the_future(spark, tmp_path):
+    """A clock that runs ahead harms no other series, and no later batch."""
+    out = str(tmp_path / "out")
+    rows = [("exp_x", 0, "T1,5"), ("exp_x", 86_400, "T9,1"), ("exp_x", 1, "T1,5"),
+            ("exp_x", 2, "T1,5"), ("exp_x", 3, "T1,5")]
+    rule = {"type": "simple", "setpoint": 0, "levels": [-1, 1], "recurrence": 2}
+    docs = (readings_config_from(spark, [rule_doc(rule)]), combined_from(spark, []),
+            alarm_groups_from(spark, []))
+    raw = raw_records(spark, rows)
+    job = StreamJob("exp", lambda: docs, out, WINDOW_S)
+    job.process(raw.where("offset < 2"), 0)
+    job.process(raw.where("offset >= 2"), 1)
+    run_batch(raw, "exp", *docs, f"{out}-batch", WINDOW_S)
+    assert tables(spark, out) == tables(spark, f"{out}-batch")
+    assert read_table(spark, out, "alarms").count() == 4
+
+
+def test_batch_and_stream_share_a_folder(spark, tmp_path):
+    out = str(tmp_path / "out")
+    raw = raw_records(spark, records())
+    StreamJob("exp", lambda: documents(spark), out, WINDOW_S).process(raw, 0)
+    run_batch(raw, "exp", *documents(spark), out, WINDOW_S)
+    for name in ("readings", "alarms", "history", "diagnostics"):
+        counts = {r.batch: r["count"] for r in
+                  read_table(spark, out, name).groupBy("batch").count().collect()}
+        assert counts[0] == counts[-1] > 0
+
+
+def test_lost_state_is_an_error(spark, tmp_path):
+    out = str(tmp_path / "out")
+    job = StreamJob("exp", lambda: documents(spark), out, WINDOW_S)
+    job.process(raw_records(spark, records(20)), 0)
+    with pytest.raises(LostState):
+        StreamJob("exp", lambda: documents(spark), f"{out}-moved", WINDOW_S).process(
+            raw_records(spark, records(20)), 1)
 
 
 def test_config_files(spark, tmp_path):

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bandwatch.operators.grouping import evaluate_groups, ungrouped_alarms
 from bandwatch.plans.messages import alarm_messages
@@ -67,6 +68,18 @@ def brute_force(rows, groups, window_s):
     return sorted(out)
 
 
+def test_repeated_alarms_count_once(spark):
+    """An `and` group counts names: one alarm delivered twice, or on two topics, does not fill two."""
+    groups = alarm_groups_from(spark, [{"group_id": "A", "names": ["T1,simple", "T2,simple"],
+                                        "operation": "and", "time_window": 60.0}])
+    once = alarms(spark, [(0, "", "T1", "simple", 1)])
+    assert evaluate_groups(once.union(once), groups).count() == 0
+    both = alarms(spark, [(0, "", "T1", "simple", 1), (5, "", "T2", "simple", 0)])
+    other_topic = both.withColumn("channel", F.lit("other"))
+    got = evaluate_groups(both.union(other_topic), groups).collect()
+    assert [(r.reading_name, r.severity) for r in got] == [("T2", 1.0)] * 2
+
+
 @pytest.mark.parametrize("seed,alarms_per_task", [(1, 10**6), (2, 3), (3, 10**6)])
 def test_groups_against_brute_force(spark, seed, alarms_per_task):
     rng = random.Random(seed)

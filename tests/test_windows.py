@@ -33,11 +33,11 @@ SINCE = [
 
 
 def series(seed, n=120):
-    """Random walk in time with bursts and gaps, 3 % NaN; unique times per series."""
+    """Random walk in time with bursts, gaps and equal times, 3 % NaN."""
     rng = random.Random(seed)
     t, rows = 0.0, []
     for _ in range(n):
-        t += rng.choice([0.001, 0.5, 1, 1, 2, 5, 40, 130])
+        t += rng.choice([0, 0, 0.001, 0.5, 1, 1, 2, 5, 40, 130])
         value = math.nan if rng.random() < 0.03 else round(rng.gauss(1, 2), 2)
         rows.append((round(t, 3), value))
     return rows
@@ -49,10 +49,12 @@ def data(spark):
     rows, by_name = [], {}
     for seed in range(3):
         name = f"S{seed}"
-        mine = series(seed)
-        by_name[name] = [{"ts": START + int(round(t * 1000)), "value": v} for t, v in mine]
-        rows += [(t, v, name) for t, v in mine]
+        rows += [(t, v, name) for t, v in series(seed)]
     random.Random(0).shuffle(rows)
+    for name in {name for _, _, name in rows}:
+        mine = [{"ts": START + int(round(t * 1000)), "value": v, "seq": i}
+                for i, (t, v, n) in enumerate(rows) if n == name]
+        by_name[name] = sorted(mine, key=lambda r: (r["ts"], r["seq"]))
     df = readings(spark, rows).repartition(4).persist()
     return df, by_name
 
@@ -64,14 +66,14 @@ def cfg(spark, rules):
 def compare(df, columns, expected):
     """`expected(rows, rule)` gives one tuple per row of a series."""
     got = {}
-    for r in df.select("reading_name", "rule_id", "ts", *columns).collect():
-        key = (r.reading_name, r.rule_id, r.ts)
+    for r in df.select("reading_name", "rule_id", "seq", *columns).collect():
+        key = (r.reading_name, r.rule_id, r.seq)
         assert key not in got
         got[key] = tuple(r[c] for c in columns)
     count = 0
     for (name, rule_id), (rows, values) in expected.items():
         for row, want in zip(rows, values):
-            have = got[name, rule_id, row["ts"]]
+            have = got[name, rule_id, row["seq"]]
             count += 1
             assert all(map(model.same, have, want)), (name, rule_id, row, have, want)
     assert count == len(got)
@@ -139,3 +141,26 @@ def test_slope_of_close_points_far_from_the_tile_start(spark):
     got = pid_values(df, config(spark, rule_doc(rule)), 600).orderBy("ts").collect()
     buffer = [{"ts": START + int(round(t * 1000)), "value": v} for t, v in rows]
     assert got[3].slope == pytest.approx(model.slope(buffer, 600), rel=1e-9)
+
+
+def test_slope_of_a_dense_burst_at_the_end_of_a_wide_tile(spark):
+    """Squares of times since the tile's start are beyond a double's whole numbers here."""
+    window_s = 21_600
+    rng = random.Random(4)
+    late = window_s - 1 - START / 1000 % window_s
+    rows = [(round(late + i / 1000, 3), rng.gauss(100, 1)) for i in range(300)]
+    rule = {**PID[0], "a": 0, "b": 0, "c": 1, "setpoint": 0, "dt_diff": window_s}
+    got = pid_values(readings(spark, rows), config(spark, rule_doc(rule)), window_s)
+    buffer = [{"ts": START + int(round(t * 1000)), "value": v} for t, v in rows]
+    for i, row in enumerate(got.orderBy("seq").collect()):
+        assert row.slope == pytest.approx(model.slope(buffer[: i + 1], window_s), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("slice_s", SLICES)
+def test_integral_of_equal_times(spark, slice_s):
+    """The oldest of the rows of one time is the first of a frame, wherever the tile's edge falls."""
+    rule = {**PID[0], "a": 0, "b": 1, "c": 0, "setpoint": 0, "dt_int": 10}
+    for start in range(0, 12):
+        rows = [(start, 1.0), (start, 100.0), (start + 8, 3.0)]
+        got = pid_values(readings(spark, rows), config(spark, rule_doc(rule)), WINDOW_S, slice_s)
+        assert got.orderBy("seq").collect()[2].integral == pytest.approx(414)
