@@ -222,6 +222,13 @@ def integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pid(spark, sf_dir).select("reading_name", "seq", rounded("integral"))
 
 
+def integral_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integral where many rows share a time: times are cut to minutes."""
+    coarse = data.readings(spark, sf_dir).withColumn("ts", F.col("ts") - F.pmod("ts", F.lit(60_000)))
+    rows = checks.pid_values(coarse, data.config(spark), WINDOW_S)
+    return rows.select("reading_name", "seq", rounded("integral"))
+
+
 def slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pid(spark, sf_dir).select("reading_name", "seq", rounded("slope"))
 
@@ -294,6 +301,14 @@ def group_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group(spark, sf_dir, "and")
 
 
+def group_and_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alarm delivered twice: a name still counts once, and each alarm has its result."""
+    alarms = _alarms(spark, sf_dir)
+    groups = data.groups(spark).where(F.col("operation") == "and")
+    return evaluate_groups(alarms.unionByName(alarms), groups, WINDOW_S).select(
+        "group_id", "reading_name", "alarm_type", "ts", "seq", "severity")
+
+
 def group_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group(spark, sf_dir, "or")
 
@@ -348,18 +363,20 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(read_table(spark, out, "history"))
 
 
-def stream_alarms(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> DataFrame:
-    """The whole flow as a stream over the table, cut into parts by time; the alarms it wrote."""
+def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of points that a run over records of all sorts has written."""
+    out = work_folder(spark, "stored")
+    run_batch(data.mixed_records(spark, sf_dir), EXPERIMENT, data.config(spark),
+              data.combined(spark), data.groups(spark), out, WINDOW_S, LOOKBACK_S)
+    return read_table(spark, out, "readings").select(
+        "database", "measurement", "host", "reading_name", "ts", rounded("value"))
+
+
+def _streamed(spark: SparkSession, parts: list[DataFrame]) -> str:
+    """Run the stream over the parts, one micro-batch each; the folder of its tables."""
     work = work_folder(spark, "stream")
-    records = data.plain_records(spark, sf_dir)
-    first, last = records.agg(F.min("timestamp"), F.max("timestamp")).first()
-    step = (last - first) / n_parts
-    for i in range(n_parts):
-        part = records.where(F.col("timestamp") >= F.lit(first + i * step))
-        if i < n_parts - 1:
-            part = part.where(F.col("timestamp") < F.lit(first + (i + 1) * step))
+    for i, part in enumerate(parts):
         part.write.mode("append").parquet(f"{work}/part={i}/records")
-    for i in range(n_parts):
         stream = read_raw(spark, EXPERIMENT, fmt="parquet", path=f"{work}/part=[0-{i}]/records")
         query = run_stream(
             stream, EXPERIMENT,
@@ -368,7 +385,30 @@ def stream_alarms(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> DataFra
             trigger={"availableNow": True},
         )
         query.awaitTermination()
-    return flat(read_table(spark, f"{work}/out", "alarms"))
+    return f"{work}/out"
+
+
+def stream_alarms(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> DataFrame:
+    """The whole flow as a stream over the table, cut into parts by time; the alarms it wrote."""
+    records = data.plain_records(spark, sf_dir)
+    first, last = records.agg(F.min("timestamp"), F.max("timestamp")).first()
+    step = (last - first) / n_parts
+    number = sum(((F.col("timestamp") >= F.lit(first + i * step)).cast("int")
+                  for i in range(1, n_parts)), F.lit(0))
+    out = _streamed(spark, [records.where(number == i) for i in range(n_parts)])
+    return flat(read_table(spark, out, "alarms"))
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of a stream whose times arrive in any order, with a clock ten years ahead."""
+    records = data.plain_records(spark, sf_dir)
+    ahead = records.where("offset = 0").withColumns({
+        "value": F.regexp_replace("value", "^[^,]*", "ahead"),
+        "timestamp": F.timestamp_millis(F.unix_millis("timestamp") + 315_360_000_000),
+    })
+    parts = [records.where("offset % 2 = 0").unionByName(ahead), records.where("offset % 2 = 1")]
+    points = read_table(spark, _streamed(spark, parts), "readings")
+    return points.select("reading_name", "ts", "value")
 
 
 QUERIES = [
@@ -376,8 +416,9 @@ QUERIES = [
     numeric_rejects, combined_split, latest_values, combined_readings, combined_rejects,
     prepare_readings, rules_active, levels_normalised, durations_normalised, rule_lookup,
     rule_lookup_host, rule_misses, trailing_run, all_out_in_window, severities, simple_alarms,
-    simple_alarms_halo, simple_alarms_hosts, proportional, integral, slope, slope_latest,
+    simple_alarms_halo, simple_alarms_hosts, proportional, integral, integral_ties, slope, slope_latest,
     pid_value, pid_alarms, pid_alarms_halo, time_since, time_since_alarms, alarm_union, alarm_keys,
-    group_membership, group_and, group_or, ungrouped_alarms, single_messages, group_messages,
-    alarm_messages, storage_points, alarm_history, diagnostics, batch_run, stream_alarms,
+    group_membership, group_and, group_and_repeated, group_or, ungrouped_alarms, single_messages, group_messages,
+    alarm_messages, storage_points, alarm_history, diagnostics, batch_run, stored_readings,
+    stream_alarms, stream_late,
 ]
