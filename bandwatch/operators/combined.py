@@ -13,9 +13,9 @@ def evaluated_formulas(
     requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
 ) -> DataFrame:
     """Formula records with their `value`, null where there is none. The host becomes ''."""
-    entry = F.when(F.col("value").isNotNull(), F.struct("key", "value"))
+    entry = F.when(F.col("known"), F.struct("key", "value"))
     gathered = asked_values(requests, readings, lookback_s).groupBy(*REQUEST).agg(
-        F.collect_list(entry).alias("entries")
+        F.sort_array(F.collect_list(entry)).alias("entries")
     )
     # A record bears at most as many entries as its own text has names.
     value = evaluate("raw_value", F.col("entries.key"), F.col("entries.value"))

@@ -13,7 +13,7 @@ REQUEST = ["channel", "ts", "host", "reading_name", "raw_value", "seq"]
 
 
 def requested_keys(requests: DataFrame) -> DataFrame:
-    """One row per formula record and `reading[,host]` key its text may refer to.
+    """One row per formula record and `reading[,host]` text in it that may be a key.
 
     A record that names nothing keeps one row, under a key of its own that no reading has.
     """
@@ -24,7 +24,8 @@ def requested_keys(requests: DataFrame) -> DataFrame:
 def asked_values(
     requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
 ) -> DataFrame:
-    """Per formula record and key asked for: the newest `value` in (ts - lookback, ts], or null.
+    """Per formula record and key asked for: the newest `value` in (ts - lookback, ts], or null,
+    and whether the key is `known`, that is, whether there is such a reading at all.
 
     `readings` are plain readings; one whose `value` is null (text that is no number) hides
     older values of its series, as any newer record does. Records and readings are merged by
@@ -41,8 +42,10 @@ def asked_values(
     )
     # Only series some formula names are worth a shuffle.
     named = points.join(asked.select("key").distinct(), "key", "left_semi")
-    merged = asked.select(
-        "key", "slice", "ts", "seq", F.lit(1).alias("_asks"), F.struct(*REQUEST).alias("request"),
+    known = named.select("key").distinct().withColumn("known", F.lit(True))
+    merged = asked.join(known, "key", "left").select(
+        "key", "slice", "ts", "seq", F.lit(1).alias("_asks"),
+        F.struct(*REQUEST, "known").alias("request"),
     ).unionByName(
         with_halo(named, slice_ms, lookback_ms - 1).select(
             "key", "slice", "ts", "seq", F.lit(0).alias("_asks"),
@@ -59,6 +62,7 @@ def asked_values(
         merged.withColumn("newest", F.last("point", True).over(so_far))
         .where(F.col("_asks") == 1)
         .select("request.*", "key", F.when(in_time, F.col("newest.value")).alias("value"))
+        .withColumn("known", F.coalesce("known", F.lit(False)))
     )
 
 
@@ -66,4 +70,5 @@ def latest_values(
     requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
 ) -> DataFrame:
     """Per formula record and key that has one: the newest value in (ts - lookback, ts]."""
-    return asked_values(requests, readings, lookback_s).where(F.col("value").isNotNull())
+    found = asked_values(requests, readings, lookback_s).where(F.col("value").isNotNull())
+    return found.drop("known")

@@ -129,3 +129,17 @@ def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     topic = F.when(kind == "purchase", F.lit("exp_sysmon")).otherwise("exp_phys")
     return _record(events(spark, sf_dir), topic, text)
+
+
+# Formulas over names with dashes and digits; there is no host `node-2`, so the second has no value.
+NAMED = ["cpu-1,node-02 * 2 - cpu-2,node-03", "cpu-1,node-2 + 1"]
+
+
+def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host metrics `cpu-<n>` of hosts `node-0<n>` (from `click`), and formulas over them (`signup`)."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    metric = F.concat(F.lit("node-0"), user % 4, F.lit(",cpu-"), user % 3, F.lit(","), _number())
+    formula = F.get(F.array(*map(F.lit, NAMED)), (F.col("event_id") % 2).cast("int"))
+    rows = events(spark, sf_dir).where(kind.isin("click", "signup"))
+    text = F.when(kind == "click", metric).otherwise(F.concat(F.lit("signup,"), formula))
+    return _record(rows, F.when(kind == "click", F.lit("exp_sysmon")).otherwise("exp_phys"), text)

@@ -110,6 +110,14 @@ def combined_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(formulas, parsed_readings(plain), LOOKBACK_S)[1]
 
 
+def combined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over readings and hosts whose names hold dashes and digits."""
+    decoded = decode_records(data.named_records(spark, sf_dir), EXPERIMENT)[0]
+    plain, formulas = split_combined(decoded, data.combined(spark))
+    ok, _ = combine(formulas, parsed_readings(plain), LOOKBACK_S)
+    return ok.select("ts", rounded("value"), "seq")
+
+
 def prepare_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, _ = prepare(data.mixed_records(spark, sf_dir), EXPERIMENT, data.combined(spark),
                     LOOKBACK_S)
@@ -414,6 +422,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     decode_default, decode_sysmon, decode_rejects, channel_and_time, numeric_cast,
     numeric_rejects, combined_split, latest_values, combined_readings, combined_rejects,
+    combined_names,
     prepare_readings, rules_active, levels_normalised, durations_normalised, rule_lookup,
     rule_lookup_host, rule_misses, trailing_run, all_out_in_window, severities, simple_alarms,
     simple_alarms_halo, simple_alarms_hosts, proportional, integral, integral_ties, slope, slope_latest,
