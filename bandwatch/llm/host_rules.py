@@ -18,6 +18,7 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10
 REJECT_RATE = 0.5
 TRUST_RATE = 0.02
+BROADCAST_HOSTS = 100_000  # verdicts that are broadcast; more are joined by a shuffle
 PRIOR_STRENGTH = (1.0, 10_000.0)
 
 
@@ -64,10 +65,9 @@ def counts_of(text: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, the counts of each text, base_failed and symbols_failed; a row in, a row out."""
+    """doc_id, host and the counts of each text; a row in, a row out."""
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), counts_of(F.col(text_col)).alias("c"))
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words")), symbols_failed(F.col("n_words"), F.col("n_symbols"))
-    return counted.select("doc_id", "host", "c.*").withColumns({"base_failed": failed[0], "symbols_failed": failed[1]})
+    return counted.select("doc_id", "host", "c.*")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -115,6 +115,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     empty result. Other columns of docs are not read, so their names cannot clash.
     """
     rows = staged(measure(docs, id_col, text_col, host_col))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words")), symbols_failed(F.col("n_words"), F.col("n_symbols"))
+    rows = rows.withColumns({"base_failed": failed[0], "symbols_failed": failed[1]})
     verdicts = _verdicts(rows)
     joined = rows.join(verdicts, rows["host"].eqNullSafe(verdicts["of_host"]), "left")
     return joined.drop("of_host").withColumn("kept", _kept(F.col("base_failed"), F.col("symbols_failed"), F.col("host_verdict")))
@@ -122,14 +124,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns. Texts are counted twice rather than shuffled."""
-    verdicts = _verdicts(measure(docs, id_col, text_col, host_col))
-    name = "_".join(["counts", *docs.columns])  # clashes with no column
-    verdicts = verdicts.select(F.col("of_host").alias(name + "_host"), F.col("host_verdict").alias(name + "_verdict"))
-    rows = docs.withColumn(name, counts_of(F.col(text_col)))
+    # one number for both rules: a struct of counts would be computed anew for each field that a filter reads
+    state = let(
+        counts_of(F.col(text_col)),
+        lambda c: F.when(base_failed(c["n_words"], c["n_repeat_words"]), 2).when(symbols_failed(c["n_words"], c["n_symbols"]), 1).otherwise(0),
+    )
+    found = staged(host_verdicts(docs.select(F.col(host_col).alias("host"), (state > 0).alias("failed"))))
+    name = "_".join(["state", *docs.columns])  # clashes with no column
+    allowed = F.when(F.col("host_verdict") == "trust", 2).when(F.col("host_verdict") == "strict", 1).otherwise(0)
+    verdicts = found.select(F.col("host").alias(name + "_host"), allowed.alias(name + "_below"))
+    if found.count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)
+    rows = docs.withColumn(name, state)
     joined = rows.join(verdicts, rows[host_col].eqNullSafe(verdicts[name + "_host"]))
-    counts, verdict = F.col(f"`{name}`"), F.col(f"`{name}_verdict`")
-    failed = base_failed(counts["n_words"], counts["n_repeat_words"]), symbols_failed(counts["n_words"], counts["n_symbols"])
-    return joined.where(_kept(*failed, verdict)).select(*(f"`{c}`" for c in docs.columns))
+    return joined.where(F.col(f"`{name}`") < F.col(f"`{name}_below`")).select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = f"""

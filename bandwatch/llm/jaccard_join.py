@@ -30,13 +30,13 @@ from .graph import components
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity 0.75
-FLUSH_KEYS = 2_000_000  # shingles that a task gathers before it sends them
+FLUSH_KEYS = 1_000_000  # shingles that a task gathers before it sends them
 BUCKET_KEYS = 3_000_000  # shingles of a hash range, about
-TASK_KEYS = 1_000_000  # shingles that one task searches, about
+TASK_KEYS = 400_000  # shingles that one task searches, about
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes: a broadcast of at most 8 MB, else a shuffle join
 LONG_LISTS = 0.0085  # fixed value: weight of the length of the longest list in the number of long lists
 ROWS = 512
-CACHED = 500_000
+CACHED = 200_000  # words whose hashes a worker remembers; beyond that it starts afresh
 
 
 class WordHashes(dict[bytes, int]):
