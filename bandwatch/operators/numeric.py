@@ -13,6 +13,8 @@ NUMBER = (
     r"|0[xX]([0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
     r")[fFdD]?)[\x00-\x20]*$"
 )
+# Fixed value: the text reported for a value that is no number.
+UNREADABLE = "Can't convert input '%s' of %s into a floating point number."
 
 
 def parsed_number(text: Column) -> Column:
@@ -32,10 +34,7 @@ def to_numeric(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
         "channel", "ts", "host", "reading_name", "value", "seq"
     )
     diagnostics = parsed.where(F.col("value").isNull()).select(
-        F.format_string(
-            "Can't convert input '%s' of %s into a floating point number.",
-            "raw_value", "reading_name",
-        ).alias("msg"),
+        F.format_string(UNREADABLE, "raw_value", "reading_name").alias("msg"),
         F.lit(LEVEL_DATA).alias("level"),
         F.lit("to_numeric").alias("operator"),
     )

@@ -68,10 +68,9 @@ def _active_of(documents: DataFrame, rule_type: str) -> DataFrame:
     return rules.select("reading_name", "host", "rule_id", *RULE_FIELDS[rule_type])
 
 
-def max_levels(config: DataFrame) -> int:
-    """Most levels any alarm of the config has: how many level columns a check needs."""
-    sizes = F.transform("alarms", lambda a: F.size(normalise_levels(a.levels)))
-    return config.agg(F.max(F.array_max(sizes))).first()[0] or 0
+def max_levels(rules: DataFrame) -> int:
+    """Most levels any of these active rules has: how many level columns its check needs."""
+    return rules.agg(F.max(F.size("bands"))).first()[0] or 0
 
 
 def attach_rules(

@@ -1,7 +1,8 @@
 """The three alarm pipelines: readings and config in, alarms out.
 
-Each costs one shuffle of the readings that have such a rule, on (series, rule, slice). If the
-readings have a boolean column `is_new`, rows without it set only serve as history.
+Each costs one shuffle of the readings that have such a rule, on (series, rule, slice); all three
+together share one, on (series, slice), which the later steps need not repeat. If the readings
+have a boolean column `is_new`, rows without it set only serve as history.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from bandwatch.operators.slices import (
 from bandwatch.operators.time_since import check_time_since, time_since, time_since_params
 
 WINDOW_S = 600
+READING_KEYS = ["reading_name", "host"]
 
 
 def sliced_rows(
@@ -25,12 +27,25 @@ def sliced_rows(
     """Readings with their rules, cut into slices that hold all rows `look_backs` deep.
 
     The first window of each check partitions by (series, rule, slice) and makes the one
-    shuffle; all later ones partition by that and more, so they only sort in place.
+    shuffle; all later ones partition by that and more, so they only sort in place. Readings that
+    have a column `slice` are cut already.
     """
-    rows = readings.join(rules, ["reading_name", "host"])
+    rows = readings.join(rules, READING_KEYS)
+    if "slice" in readings.columns:
+        return rows
     return with_halo(rows, slice_ms, look_backs * (window_ms - 1))
 
 
+def shared_slices(readings: DataFrame, rules: list[DataFrame], window_ms: int, slice_ms: int
+                  ) -> DataFrame:
+    """Readings that have any rule, cut with the deepest halo of all checks and shuffled once."""
+    keys = rules[0].select(*READING_KEYS)
+    for more in rules[1:]:
+        keys = keys.unionByName(more.select(*READING_KEYS))
+    ruled = readings.join(keys.distinct(), READING_KEYS, "left_semi").select(*readings.columns)
+    return with_halo(ruled, slice_ms, 2 * (window_ms - 1)).repartition(*READING_KEYS, "slice")
+
+
 def own_rows(checked: DataFrame) -> DataFrame:
     """Without halo copies and, where a column `is_new` tells, without rows of the past."""
     rows = checked.where(not_before_own())
@@ -45,7 +60,7 @@ def simple_checked(
     rules = active_rules(config, "simple")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
     rows = sliced_rows(readings, rules, window_ms, slice_ms)
-    checked = check_band(rows, "value", window_ms, max_levels(config))
+    checked = check_band(rows, "value", window_ms, max_levels(rules))
     return own_rows(checked)
 
 
@@ -87,7 +102,7 @@ def pid_checked(
     pids = pid_value(rows, window_ms).where(not_before_own(window_ms - 1))
     pids = pids.drop(*(c for c in slim.columns if c not in SERIES), "integral", "slope")
     limits = rules.select(*SERIES, "bands", "recurrence")
-    checked = check_band(pids.join(limits, SERIES), "pid", window_ms, max_levels(config))
+    checked = check_band(pids.join(limits, SERIES), "pid", window_ms, max_levels(rules))
     return own_rows(checked)
 
 
@@ -125,6 +140,8 @@ def all_alarms(
     slice_s: float | None = None,
 ) -> DataFrame:
     """The alarms of all three kinds (a bag)."""
+    rules = [active_rules(config, kind) for kind in ALARM_TYPE]
+    cut = shared_slices(readings, rules, millis(window_s), slice_millis(window_s, slice_s))
     kinds = [simple_alarms, pid_alarms, time_since_alarms]
-    simple, pid, since = (k(readings, config, window_s, slice_s) for k in kinds)
+    simple, pid, since = (k(cut, config, window_s, slice_s) for k in kinds)
     return simple.unionByName(pid).unionByName(since)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bandwatch.operators.combined import evaluated_formulas, formula_problem
 from bandwatch.operators.latest import LOOKBACK_S
-from bandwatch.operators.numeric import parsed_readings, split_combined
+from bandwatch.operators.numeric import UNREADABLE, parsed_readings, split_combined
 from bandwatch.schemas import LEVEL_DATA
 from bandwatch.sources.records import decode_records
 
@@ -23,9 +23,7 @@ def numbered(decoded: DataFrame, combined: DataFrame, lookback_s: float = LOOKBA
     visible = plain
     if history is not None:
         visible = plain.unionByName(split_combined(history, combined)[0])
-    unreadable = F.format_string(
-        "Can't convert input '%s' of %s into a floating point number.", "raw_value", "reading_name"
-    )
+    unreadable = F.format_string(UNREADABLE, "raw_value", "reading_name")
     numbers = parsed_readings(plain).select(
         *_COLUMNS, F.when(F.col("value").isNull(), unreadable).alias("msg"),
         F.lit("to_numeric").alias("operator"),

@@ -177,11 +177,11 @@ def rule_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = data.config(spark)
+    rules = active_rules(config, "simple")
     rows = checks.sliced_rows(
-        data.readings(spark, sf_dir), active_rules(config, "simple"), WINDOW_MS,
-        slice_millis(WINDOW_S, None),
+        data.readings(spark, sf_dir), rules, WINDOW_MS, slice_millis(WINDOW_S, None),
     )
-    runs = checks.own_rows(trailing_runs(rows, "value", WINDOW_MS, max_levels(config)))
+    runs = checks.own_rows(trailing_runs(rows, "value", WINDOW_MS, max_levels(rules)))
     return runs.where(F.size("bands") > 0)
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from bandwatch.operators.pid_terms import slope_term
 from bandwatch.operators.slices import with_halo
-from bandwatch.plans.checks import pid_checked, pid_values, simple_checked, time_since_checked
+from bandwatch.plans.checks import all_alarms, pid_checked, pid_values, simple_checked, time_since_checked
 from tests import model
 from tests.helpers import START, config, readings, rule_doc
 
@@ -164,3 +164,12 @@ def test_integral_of_equal_times(spark, slice_s):
         rows = [(start, 1.0), (start, 100.0), (start + 8, 3.0)]
         got = pid_values(readings(spark, rows), config(spark, rule_doc(rule)), WINDOW_S, slice_s)
         assert got.orderBy("seq").collect()[2].integral == pytest.approx(414)
+
+
+def test_all_checks_share_one_shuffle(spark, data):
+    df, _ = data
+    plan = all_alarms(df, cfg(spark, SIMPLE + PID + SINCE), WINDOW_S)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = text.count("Exchange hashpartitioning(reading_name") - text.count("ReusedExchange")
+    assert text.count("rule_id#") and shuffles <= 1, text
