@@ -123,19 +123,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Texts are counted twice rather than shuffled."""
-    # one number for both rules: a struct of counts would be computed anew for each field that a filter reads
+    """The rows of docs that judge() keeps, with all their columns.
+
+    They are written once with their state: counting a text costs more than writing it, and texts are not shuffled.
+    """
     state = let(
         counts_of(F.col(text_col)),
         lambda c: F.when(base_failed(c["n_words"], c["n_repeat_words"]), 2).when(symbols_failed(c["n_words"], c["n_symbols"]), 1).otherwise(0),
     )
-    found = staged(host_verdicts(docs.select(F.col(host_col).alias("host"), (state > 0).alias("failed"))))
     name = "_".join(["state", *docs.columns])  # clashes with no column
+    rows = staged(docs.withColumn(name, state))
+    found = staged(host_verdicts(rows.select(F.col(host_col).alias("host"), (F.col(f"`{name}`") > 0).alias("failed"))))
     allowed = F.when(F.col("host_verdict") == "trust", 2).when(F.col("host_verdict") == "strict", 1).otherwise(0)
     verdicts = found.select(F.col("host").alias(name + "_host"), allowed.alias(name + "_below"))
     if found.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
-    rows = docs.withColumn(name, state)
     joined = rows.join(verdicts, rows[host_col].eqNullSafe(verdicts[name + "_host"]))
     return joined.where(F.col(f"`{name}`") < F.col(f"`{name}_below`")).select(*(f"`{c}`" for c in docs.columns))
 

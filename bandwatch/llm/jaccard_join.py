@@ -8,7 +8,9 @@
    ones (T: required overlap), so components over these are blocks that no link leaves.
 4. Blocks are searched for T occurrences: the short inverted lists of a query are merged on a heap, the long ones
    probed by bisection (DivideSkip). Lists hold classes of texts already linked, so a group of thousands of near
-   copies costs one entry per list. Blocks beyond a task's size are searched as pairs of their parts.
+   copies costs one entry per list. In a block beyond a task's size each text is first held against the block's
+   most central one; then only the texts that do not link with it are searched, part by part, against all parts.
+   So a group of near copies of one text costs a pass over it, however large it is.
 """
 
 from __future__ import annotations
@@ -214,6 +216,7 @@ class Index:
         self.members: list[list[int]] = []  # of each class: places in sets
         self.sets: list[frozenset[int]] = []
         self.sizes: list[int] = []
+        self.known = -1  # the class of sets known to be connected
         self.parent: list[int] = []
 
     def root(self, c: int) -> int:
@@ -245,10 +248,12 @@ class Index:
             count += 1
         return found
 
-    def add(self, keys: list[int], size: int) -> list[int]:
+    def add(self, keys: list[int], size: int, known: bool = False) -> list[int]:
         """Adds a set (keys: those that others may share; size: its whole size); places of sets that it links with,
-        one for each class not yet connected to it. Sets must come in order of size."""
-        mine, links, own = frozenset(keys), [], -1
+        one for each class not yet connected to it. Sets must come in order of size. Those marked as known are
+        connected with each other already."""
+        mine, links = frozenset(keys), []
+        own = self.known if known else -1
         for c in self.candidates(keys, -(-NUM * size // DEN)):
             if own >= 0 and self.root(c) == self.root(own):
                 continue
@@ -267,6 +272,10 @@ class Index:
             own = len(self.members)
             self.members.append([])
             self.parent.append(own)
+            if known:
+                self.known = own
+        elif known and self.known < 0:
+            self.known = own
         self.members[own].append(len(self.sets))
         self.sets.append(mine)
         self.sizes.append(size)
@@ -282,23 +291,26 @@ class Index:
 
 
 def search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that connect what is connected among the rows (node, n_shingles, keys)."""
+    """Links (a, b) that connect what is connected among the rows (node, n_shingles, keys, known)."""
     rows = rows.sort_values(["n_shingles", "node"], kind="stable")
     nodes, index = rows["node"].tolist(), Index()
     a, b = [], []
-    for node, size, keys in zip(nodes, rows["n_shingles"].tolist(), rows["keys"], strict=True):
-        for place in index.add([int(k) for k in keys], size):
+    for node, size, keys, known in zip(nodes, rows["n_shingles"].tolist(), rows["keys"], rows["known"].tolist(), strict=True):
+        for place in index.add([int(k) for k in keys], size, known):
             a.append(node)
             b.append(nodes[place])
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def ordered_lists(sets: DataFrame) -> DataFrame:
-    """node, n_shingles, keys that another set holds, from rare to frequent; without sets that have too few of them."""
+    """node, n_shingles, keys that another set holds, from rare to frequent, and centre (sum of how often they are
+    held); without sets that have too few of them."""
     each = sets.select(F.col("doc_id").alias("node"), F.size("keys").alias("n_shingles"), F.explode("keys").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = each.join(often, "key").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
-    return lists.where(DEN * F.size("k") >= NUM * F.col("n_shingles")).select("node", "n_shingles", F.col("k.key").alias("keys"))
+    return lists.where(DEN * F.size("k") >= NUM * F.col("n_shingles")).select(
+        "node", "n_shingles", F.col("k.key").alias("keys"), F.aggregate("k.df", F.lit(0).cast("long"), lambda a, x: a + x).alias("centre")
+    )
 
 
 def blocks(lists: DataFrame) -> DataFrame:
@@ -313,20 +325,33 @@ def blocks(lists: DataFrame) -> DataFrame:
 def links(sets: DataFrame, task_keys: int = TASK_KEYS) -> DataFrame:
     """Links (a, b) between sets (doc_id, keys): not all, but enough to connect what is connected."""
     lists = staged(ordered_lists(sets))
-    rows = lists.join(blocks(lists), "node").withColumn("weight", F.size("keys"))
-    rows = staged(rows)
-    sizes = rows.groupBy("block").agg(F.sum("weight").alias("keys"))
-    total = sizes.agg(F.sum("keys").alias("n")).first()["n"] or 0
+    rows = staged(lists.join(blocks(lists), "node").withColumn("weight", F.size("keys").cast("long")))
+    sizes = staged(rows.groupBy("block").agg(F.sum("weight").alias("block_keys")))
+    total = sizes.agg(F.sum("block_keys").alias("n")).first()["n"] or 0
     bins = max(1, math.ceil(total / task_keys))
-    # small blocks share a task; a large one is cut in parts of half a task, and each pair of parts is a task
-    parts = F.when(F.col("keys") > task_keys, F.ceil(2 * F.col("keys") / task_keys)).otherwise(1).cast("int")
-    sized = rows.join(sizes.select("block", parts.alias("parts")), "block")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    whole = sized.where("parts = 1").select("*", F.lit(-1).alias("i"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("j"), F.lit(0).cast("long").alias("of"))
-    split = sized.where("parts > 1").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select(*sized.columns, F.least("p", "q").alias("i"), F.greatest("p", "q").cast("long").alias("j"), F.col("block").alias("of"))
-    tasks = whole.unionByName(split).groupBy("of", "i", "j")
-    return tasks.applyInPandas(lambda rows: search(rows[["node", "n_shingles", "keys"]]), "a long, b long")
+    task = ["node", "n_shingles", "keys", "known", "block", "i", "j"]
+    # small blocks share tasks
+    small = rows.join(sizes.where(F.col("block_keys") <= task_keys), "block")
+    small = small.withColumns({"known": F.lit(False), "i": F.lit(-1), "j": F.pmod(F.xxhash64("block"), F.lit(bins)).cast("int")})
+    small = small.withColumn("block", F.lit(0).cast("long")).select(task)
+
+    large = rows.join(sizes.where(F.col("block_keys") > task_keys), "block")
+    central = F.max_by(F.struct("node", "n_shingles", "keys"), F.struct("centre", -F.col("node")))
+    judged = large.join(large.groupBy("block").agg(central.alias("first")), "block")
+    shared = F.size(F.array_intersect("keys", "first.keys"))
+    known = (NUM + DEN) * shared >= NUM * (F.col("n_shingles") + F.col("first.n_shingles"))
+    judged = staged(judged.withColumn("known", known).withColumn("first", F.col("first.node")))
+    star = judged.where("known AND node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    parts = lambda keys: F.ceil(2 * F.col(keys) / task_keys).cast("int")
+    open_keys = judged.where("NOT known").groupBy("block").agg(F.sum("weight").alias("open_keys"))
+    cut = judged.join(open_keys, "block").withColumns({"n_i": parts("open_keys"), "n_j": parts("block_keys")})
+    cut = cut.withColumns({"own_i": F.pmod(F.xxhash64("node"), "n_i").cast("int"), "own_j": F.pmod(F.xxhash64("node", "block"), "n_j").cast("int")})
+    asked = cut.where("NOT known").withColumn("i", F.col("own_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    told = cut.withColumn("j", F.col("own_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
+    told = told.where("known OR i <> own_i")
+    tasks = small.unionByName(asked.select(task)).unionByName(told.select(task)).groupBy("block", "i", "j")
+    found = tasks.applyInPandas(lambda part: search(part[["node", "n_shingles", "keys", "known"]]), "a long, b long")
+    return found.unionByName(star)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -249,6 +249,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_
         else:
             guests = plans.withColumn("island", (F.col("island") + 1) % islands)
             given = on_islands.join(plans.unionByName(guests).select("shard", "island", "plan"), ["shard", "island"])
+        # little data, much work: a partition for each island, which AQE does not merge
+        given = given.repartition(shards * islands, "shard", "island")
         plans = staged(given.groupBy("shard", "island").applyInPandas(_epoch(capacity), PLAN))
     best = plans.groupBy("shard").agg(F.min_by("plan", F.struct("bins", "fit", "island")).alias("plan"))
 

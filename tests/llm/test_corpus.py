@@ -251,6 +251,23 @@ def test_t_occurrence_search():
         assert sorted(index.candidates(keys, least)) == sorted(c for c, n in count.items() if n >= least)
 
 
+def test_hot_group_is_not_searched_in_pairs(spark):
+    """Near copies of one text in a block beyond a task's size link with its centre; only strangers are searched."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(80)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"e{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base), " ".join(base[:40] + [f"s{k}" for k in range(5)]), " ".join(base[:40] + [f"s{k}" for k in range(6)])]
+    sets = jaccard_join.sets_of(table(spark, texts).select("doc_id", "text"))
+    found = jaccard_join.links(sets, task_keys=500).collect()
+    assert len({(r.a, r.b) for r in found}) <= 123
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(table(spark, texts)).collect()}
+    assert got == brute_classes(dict(enumerate(texts)))
+
+
 def test_jaccard_rough(spark):
     got = jaccard_join.join(rough(spark)).collect()
     assert len(got) == 9
