@@ -103,3 +103,33 @@ def rule_misses(readings: DataFrame, config: DataFrame, rule_type: str) -> DataF
             F.lit(f"attach_rules:{rule_type}").alias("operator"),
         )
     )
+
+
+def rule_problems(config: DataFrame) -> DataFrame:
+    """Diagnostics of rules that can never take effect, once each: without a type or a switch, or
+    switched on and with limits that cannot be read.
+    """
+    kind, on = F.col("alarm.type"), F.col("alarm.enabled") == "true"
+
+    def unreadable(values):
+        return F.coalesce(~F.exists(values, lambda v: v.isNull()), F.lit(False)) == F.lit(False)
+
+    pairs = F.flatten(F.transform(
+        normalise_levels(F.col("alarm.levels")),
+        lambda p: F.array(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
+    banded = on & kind.isin("simple", "pid")
+    problem = (
+        F.when(kind.isNull(), "no type")
+        .when(F.col("alarm.enabled").isNull(), "not said whether it is enabled")
+        .when(banded & unreadable(pairs), "levels cannot be read")
+        .when(banded & F.col("alarm.recurrence").isNull(), "recurrence cannot be read")
+        .when(on & (kind == "time_since")
+              & unreadable(normalise_durations(F.col("alarm.max_duration"))),
+              "durations cannot be read")
+    )
+    rules = config.select("name", F.posexplode("alarms").alias("rule_id", "alarm"))
+    return rules.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(
+        F.format_string("Can't use alarm rule %d of %s: %s.", "rule_id", "name", "problem")
+        .alias("msg"),
+        F.lit(LEVEL_CONFIG).alias("level"), F.lit("rule_problems").alias("operator"),
+    )

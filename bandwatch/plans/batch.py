@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bandwatch.operators.latest import LOOKBACK_S
-from bandwatch.operators.rules import ALARM_TYPE, rule_misses
+from bandwatch.operators.rules import ALARM_TYPE, rule_misses, rule_problems
 from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
 from bandwatch.plans.readings import bad, good, numbered
@@ -19,9 +19,9 @@ TABLES = ["readings", "alarms", "history", "diagnostics"]
 
 
 def config_diagnostics(readings: DataFrame, config: DataFrame) -> DataFrame:
-    """Readings without usable rules, once per kind of rule."""
+    """Readings without usable rules, once per kind of rule, and rules that cannot be used."""
     simple, pid, since = (rule_misses(readings, config, kind) for kind in ALARM_TYPE)
-    return simple.unionByName(pid).unionByName(since)
+    return simple.unionByName(pid).unionByName(since).unionByName(rule_problems(config))
 
 
 def run_batch(

@@ -6,9 +6,14 @@ holds one or two rows, so the registered queries look back six hours.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bandwatch.sources.config import alarm_groups_from, combined_from, readings_config_from
+from bandwatch.sources.config import (
+    alarm_groups_from, combined_from, load_alarm_groups, load_combined, load_readings_config,
+    readings_config_from,
+)
 
 WINDOW_S = 21_600
 LOOKBACK_S = 21_600
@@ -58,6 +63,18 @@ FORMULAS = [
 ]
 
 
+def config_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same documents through files: (readings config, combined names, alarm groups)."""
+    sensors = [{"name": f"storm_{EXPERIMENT}", "readings": dict.fromkeys(COMBINED, "")},
+               {"name": "storm_other", "readings": {"click": ""}}]
+    for name, documents in (("readings", DOCUMENTS), ("sensors", sensors), ("groups", GROUPS)):
+        lines = F.explode(F.array(*(F.lit(json.dumps(d)) for d in documents)))
+        spark.range(0, 1, 1, 1).select(lines.alias("value")).write.text(f"{folder}/{name}")
+    return (load_readings_config(spark, f"{folder}/readings"),
+            load_combined(spark, f"{folder}/sensors", EXPERIMENT),
+            load_alarm_groups(spark, f"{folder}/groups"))
+
+
 def config(spark: SparkSession) -> DataFrame:
     return readings_config_from(spark, DOCUMENTS)
 

@@ -371,6 +371,14 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(read_table(spark, out, "history"))
 
 
+def batch_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run with its config read from files of documents."""
+    out = work_folder(spark, "run")
+    config = data.config_files(spark, f"{out}/config")
+    run_batch(data.plain_records(spark, sf_dir), EXPERIMENT, *config, out, WINDOW_S, LOOKBACK_S)
+    return _history(read_table(spark, out, "history"))
+
+
 def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of points that a run over records of all sorts has written."""
     out = work_folder(spark, "stored")
@@ -428,6 +436,6 @@ QUERIES = [
     simple_alarms_halo, simple_alarms_hosts, proportional, integral, integral_ties, slope, slope_latest,
     pid_value, pid_alarms, pid_alarms_halo, time_since, time_since_alarms, alarm_union, alarm_keys,
     group_membership, group_and, group_and_repeated, group_or, ungrouped_alarms, single_messages, group_messages,
-    alarm_messages, storage_points, alarm_history, diagnostics, batch_run, stored_readings,
+    alarm_messages, storage_points, alarm_history, diagnostics, batch_run, batch_run_files, stored_readings,
     stream_alarms, stream_late,
 ]

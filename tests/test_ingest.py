@@ -5,7 +5,7 @@ import pytest
 from bandwatch.functions.formula import BadFormula, compute, parse
 from bandwatch.operators.combined import combined_readings
 from bandwatch.operators.numeric import parsed_readings, split_combined, to_numeric
-from bandwatch.operators.rules import attach_rules
+from bandwatch.operators.rules import attach_rules, rule_problems
 from bandwatch.plans.readings import prepare_readings
 from bandwatch.sources.config import combined_from
 from bandwatch.sources.records import decode_records
@@ -66,6 +66,17 @@ def test_disabled_rules_and_integer_numbers(spark):
     assert [(r.rule_id, r.recurrence, r.bands[0].lo) for r in row] == [(2, 2.0, 0.0)]
 
 
+def test_rules_that_cannot_be_used(spark):
+    good = {"type": "simple", "setpoint": 1, "levels": [[-1, 1]], "recurrence": 2}
+    since = {"type": "time_since", "lower_threshold": 0, "upper_threshold": 1, "max_duration": 5}
+    cfg = config(spark, rule_doc(
+        good, {**good, "type": None}, {**good, "enabled": None}, {**good, "levels": "wide"},
+        {**good, "levels": [[-1]]}, {**good, "recurrence": "often"},
+        {**good, "enabled": "false", "levels": "wide"}, since, {**since, "max_duration": "long"}))
+    got = sorted(r.msg.split(": ")[0].split(" of ")[0][-1] for r in rule_problems(cfg).collect())
+    assert got == ["1", "2", "3", "4", "5", "8"]
+
+
 def combined(spark, rows, names=("C1",), lookback_s=60):
     plain, formulas = split_combined(decoded(spark, rows), combined_from(spark, list(names)))
     ok, diagnostics = combined_readings(formulas, parsed_readings(plain), lookback_s)
