@@ -30,7 +30,10 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A row without an id belongs to no group that could be named, and goes.
     """
     kept = staged(jaccard_join.join(docs).where("doc_id = component_id").groupBy("doc_id").count())
-    once, again = (docs.join(kept.where(how).select("doc_id"), "doc_id", "left_semi").select(docs.columns) for how in ("count = 1", "count > 1"))
+    # ids of 8 bytes: broadcast by their number, so that texts are not shuffled; beyond it they are
+    few = kept.count() <= jaccard_join.BROADCAST_ROWS
+    ids = [kept.where(how).select("doc_id") for how in ("count = 1", "count > 1")]
+    once, again = (docs.join(F.broadcast(x) if few else x, "doc_id", "left_semi").select(docs.columns) for x in ids)
     return once.unionByName(again.dropDuplicates(["doc_id"]))
 
 
