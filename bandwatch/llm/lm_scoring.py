@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, remainder, staged
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 5  # crc32 of the id: 2 is never learned from, 5 is held out for the weights
-FLUSH_TOKENS = 4_000_000  # of a chunk, at least where there are as many
+FLUSH_TOKENS = 3_000_000  # of a chunk, at least where there are as many
 RANGE_KEYS = 3_000_000  # keys that a hash range is asked for, about
 ROWS = 512
 STEP = 16  # histogram bins per octave
