@@ -2,8 +2,9 @@
 
 Each kind of credential gives a prefix tree of its examples; states whose next symbols and endings agree within
 a Hoeffding bound are merged (red and blue states, in order of the tree), which leaves a small probabilistic
-automaton with loops for the random parts. A candidate is scored by the log likelihood of its format against a
-background of letters and digits; the examples are made by rule, so the model is a bounded constant.
+automaton with loops for the random parts. A stretch is scored by the log likelihood of its format against a
+background of letters and digits, from any start within a run of such characters to where the format ends; runs have no
+greatest length. The examples are made by rule, so the model is a bounded constant.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -48,19 +50,26 @@ SHAPES = (
     ("package_key", "npm_", UPPER + LOWER + DIGIT, 36),
     ("digest", "", DIGIT + "abcdef", 40),
 )
+#: Least and greatest length of the rest in the examples of formats whose length varies.
+LENGTHS = {"code_lab": (20, 60), "pay_live": (24, 100), "pay_test": (24, 100), "chat_bot": (40, 80), "chat_user": (40, 80), "web_token": (60, 1500)}
 EXAMPLES = 120  # of each shape
 ALPHA = 0.05  # of the compatibility test
 FLOOR = 1e-4  # probability of a symbol that a state has never seen
 ALPHABET = len(UPPER + LOWER + DIGIT + "+/_.=-")
-MIN_LENGTH, MAX_LENGTH = 16, 400
-MIN_BITS = 12.0  # by which the whole must be likelier than background
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
+MIN_LENGTH = 16
+MIN_BITS = 12.0  # by which a stretch must be likelier than background
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 
 def labelled(count: int = EXAMPLES) -> dict[str, list[str]]:
-    """The labelled table: credentials of each kind, made from SHAPES by a seeded generator."""
+    """The labelled table: credentials of each kind, made from SHAPES and LENGTHS by a seeded generator."""
     rng = random.Random(7)
-    return {kind: [start + "".join(rng.choices(rest, k=n)) for _ in range(count)] for kind, start, rest, n in SHAPES}
+    out: dict[str, list[str]] = {}
+    for kind, start, rest, n in SHAPES:
+        low, high = LENGTHS.get(kind, (n, n))
+        sizes = [round(low * (high / low) ** (k / max(1, count - 1))) for k in range(count)]
+        out[kind] = [start + "".join(rng.choices(rest, k=size)) for size in sizes]
+    return out
 
 
 class Automaton:
@@ -156,28 +165,52 @@ class Automaton:
 
 
 @functools.cache
-def model() -> dict[str, tuple[list[dict[str, tuple[float, int]]], list[float], int, int]]:
-    """The automaton of each kind, with the shortest and longest example, grown once per process."""
-    return {kind: (*Automaton(x).table(), min(map(len, x)), max(map(len, x))) for kind, x in labelled().items()}
-
-
-def score(candidate: str, kind: str) -> float:
-    """Bits by which the kind's automaton finds the text likelier than background."""
-    steps, unseen, _, _ = model()[kind]
-    at, total = 0, 0.0
-    for x in candidate:
-        step = steps[at].get(x)
-        if step is None:
-            total += unseen[at]
+def model() -> dict[str, tuple[list[dict[str, tuple[float, int]]], list[float], str, float]]:
+    """The automaton of each kind, what all its examples begin with, and the least length, grown once per process."""
+    return {kind: (*Automaton(x).table(), os.path.commonprefix(x), max(MIN_LENGTH, 0.8 * min(map(len, x)))) for kind, x in labelled().items()}
+
+
+def stretches(run: str, kind: str) -> list[tuple[float, int, int]]:
+    """(bits by which the kind's automaton finds it likelier than background, start, end) of stretches of a run.
+
+    Each start that the examples have is tried and followed while the score is positive. Symbols that the format
+    knows all belong to the stretch; foreign ones only if what follows makes up for them. One that is long enough
+    is taken, and the search goes on behind it.
+    """
+    steps, unseen, prefix, least = model()[kind]
+    out, start, n = [], 0, len(run)
+    while n - start >= least:
+        if prefix:
+            start = run.find(prefix, start)
+            if start < 0:
+                break
+        elif run[start] not in steps[0]:
+            start += 1
+            continue
+        state, total, peak, end, gap = 0, 0.0, 0.0, start, False
+        for at in range(start, n):
+            step = steps[state].get(run[at])
+            if step is None:
+                total += unseen[state]
+                gap = True
+                if total <= 0:
+                    break
+            else:
+                total += step[0]
+                state = step[1]
+                if not gap or total > peak:
+                    peak, end, gap = total, at + 1, False
+        if end - start >= least:
+            out.append((peak, start, end))
+            start = end
         else:
-            total += step[0]
-            at = step[1]
-    return total
+            start += 1
+    return out
 
 
 def best(candidate: str) -> tuple[str, float]:
-    """The likeliest kind whose lengths fit, and its score; ties go to the first name."""
-    found = [(-score(candidate, kind), kind) for kind, (_, _, low, high) in model().items() if 0.8 * low <= len(candidate) <= 1.25 * high]
+    """The kind with the likeliest stretch in the candidate, and its score; ties go to the first name."""
+    found = [(-bits, kind) for kind in model() for bits, _, _ in stretches(candidate, kind)]
     if not found:
         return "", -math.inf
     worst, kind = min(found)
@@ -195,17 +228,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def learned_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, score) of candidates that a learned format accepts and that touch no base span."""
+    """(start, end, kind, score) of stretches that a learned format accepts and that touch no base span, by start.
+
+    Where stretches overlap, the likeliest is kept.
+    """
     spans = []
+    order = sorted(taken)
+    nearest = 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in ".=-":  # a sentence's full stop is no part of a credential
             end -= 1
-        if not MIN_LENGTH <= end - start <= MAX_LENGTH or any(a < end and start < b for a, b, _ in taken):
-            continue
-        kind, bits = best(text[start:end])
-        if bits >= MIN_BITS:
-            spans.append((start, end, kind, bits))
+        # the parts of the run between base spans
+        parts = []
+        while nearest < len(order) and order[nearest][1] <= start:
+            nearest += 1
+        at = start
+        for a, b, _ in order[nearest:]:
+            if a >= end:
+                break
+            parts.append((at, a))
+            at = max(at, b)
+        parts.append((at, end))
+        for a, b in parts:
+            if b - a < MIN_LENGTH:
+                continue
+            run = text[a:b]
+            found = [(-bits, x, kind, y) for kind in model() for bits, x, y in stretches(run, kind) if bits >= MIN_BITS]
+            kept: list[tuple[int, int, str, float]] = []
+            for minus, x, kind, y in sorted(found):
+                if all(a + y <= p or q <= a + x for p, q, _, _ in kept):
+                    kept.append((a + x, a + y, kind, -minus))
+            spans += sorted(kept)
     return spans
 
 
@@ -218,7 +272,7 @@ def find_in(text: str | None) -> list[dict]:
     if not text:
         return []
     base = base_spans(text)
-    rows = [(a, k, {"kind": kind, "start": a, "end": b, "score": best(text[a:b])[1] if b - a <= MAX_LENGTH else -math.inf, "base": True}) for k, (a, b, kind) in enumerate(base)]
+    rows = [(a, k, {"kind": kind, "start": a, "end": b, "score": best(text[a:b])[1], "base": True}) for k, (a, b, kind) in enumerate(base)]
     rows += [(a, len(base), {"kind": kind, "start": a, "end": b, "score": bits, "base": False}) for a, b, kind, bits in learned_spans(text, base)]
     return [x for _, _, x in sorted(rows, key=lambda r: r[:2])]
 

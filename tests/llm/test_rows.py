@@ -202,6 +202,36 @@ def test_secret_formats():
         assert secret_scan.learned_spans(text, []) == []
 
 
+def test_secret_inside_runs():
+    """Credentials behind '=' and in addresses, without digits, several in a run and next to a base span."""
+    key, other = "ghp_" + "aB3dEfGhIjKl" * 3, "npm_" + "ZyXwVuTsRqPo" * 3
+    for text, want in (
+        (f"export GH={key}", [key]),
+        (f"https://{key}/owner/repository.git and more", [key]),
+        (f"https://example.com/login/{other}/next-page/index.html", [other]),
+        (f"a/b.c+d-{key}", [key]),
+        (f"3D{key}", [key]),
+        (other, [other]),
+        (f"{key}={other}/{key}.", [key, other, key]),
+        (f"{KEY}/{other}", [other]),
+        ("a-plain-run-of-words/that_goes_on/for-a-while.and.ends=here", []),
+    ):
+        found = secret_scan.learned_spans(text, secret_scan.base_spans(text))
+        assert [text[a:b] for a, b, _, _ in found] == want, text
+
+
+@pytest.mark.parametrize("n", [70, 150, 323, 400, 1000, 20_000])
+def test_secret_of_any_length(n):
+    rng = random.Random(n)
+    pool = secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGIT + "-_"
+    part = lambda k: "".join(rng.choices(pool, k=k)) + "x"
+    secret = "eyJ" + part(n // 3 - 5) + "." + part(n // 3) + "." + part(n - 2 * (n // 3) - 1)
+    for before in ("Bearer ", "jwt=", "https://example.com/session/", "https://example.com/?jwt="):
+        text = f"{before}{secret} and so on"
+        at = len(before)
+        assert [x[:3] for x in secret_scan.learned_spans(text, [])] == [(at, at + len(secret), "web_token")]
+
+
 def test_secret_digest_and_mask(spark):
     text = f"é {KEY} and token = 'abcdefghijkl' and ghp_{'aB3' * 12}."
     docs = table(spark, [text, "clean", None])
