@@ -2,8 +2,9 @@
 
 A page becomes a list of blocks, each with its tag path from the root. Per path, characters outside links and
 punctuation are summed and divided by the path's blocks; both ratios are smoothed along the page, fused into one
-score, and paths below a share of the best score are dropped. Parts that say what they are (navigation, footer,
-advertisement, form, comments ...) never take part. One pass over a page, a row for a row, no shuffle.
+score, and paths below a share of the best score are dropped. Elements whose tag says so (navigation, footer, script
+...) and hidden ones never take part; those that only a class, id or role says to be something else, and forms, take
+part if they hold most of the page's text or its article. One pass over a page, a row for a row, no shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ PUNCTUATION = frozenset(".,;:!?…·。、，！？；：—–\"'“”‘’«
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-SKIPPED = RAW | frozenset("head nav footer aside form noscript template svg math canvas object audio video select option button menu dialog fieldset".split())
+SKIPPED = RAW | frozenset("head nav footer aside noscript template svg math canvas object audio video select option button menu dialog".split())
+FORMS = frozenset(("form", "fieldset"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -41,12 +43,25 @@ UNWANTED = frozenset(
     "comment comments commentlist reply replies respond disqus related recommended trending share sharing social search login signup form".split()
 )
 OUTSIDE = frozenset(("header", "masthead", "topbar"))  # unwanted unless inside the article
+#: Whole classes and ids of what may be the article, and words that make the next one no role.
+WANTED = frozenset("article content entry main page post story text".split())
+ABOUT = frozenset("has have is no non not show hide with without".split())
+LITTLE = 0.1  # of an element's text: what may be left outside it if its class plainly says that it is no article
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
 
 
+@dataclass(frozen=True)
+class Doubt:
+    """Elements alike in tag and classes that may be no part of an article; plain if nothing speaks for them."""
+
+    tag: str
+    words: str
+    plain: bool
+
+
 @dataclass
 class Element:
     tag: str
@@ -54,6 +69,7 @@ class Element:
     skipped: bool
     main: int  # number of the innermost article or main element, 0: none
     link: bool
+    doubts: tuple[Doubt, ...] = ()  # the elements around it, and itself, that may be no part of an article
 
 
 @dataclass
@@ -64,6 +80,8 @@ class Block:
     parent: str = ""
     tag: str = ""
     main: int = 0
+    doubts: tuple[Doubt, ...] = ()
+    held: tuple[Doubt, ...] = ()  # those around its article or main element
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -71,21 +89,31 @@ class Block:
         return " ".join("".join(self.text).split())
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether the element is no part of an article, and the first class for its path."""
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, Doubt | None, str]:
+    """Whether the element is no part of an article, whether it may be none, and the first class for its path."""
     if tag in SKIPPED or (tag == "header" and not inside):
-        return True, ""
-    first = ""
+        return True, None, ""
+    told: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role"):
-            words = NAME.findall(value)
-            first = first or (words[0] if name == "class" and words else "")
-            if tag not in ("html", "body") and any(w in UNWANTED or (w in OUTSIDE and not inside) for w in words):
-                return True, first
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True, first
-    return False, first
+        told.setdefault(name.lower(), value.strip("\"'").lower())
+    words = NAME.findall(told.get("class", ""))
+    first = words[0] if words else ""
+    if "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in "".join(told.get("style", "").split()):
+        return True, None, first
+    if tag in ("html", "body"):
+        return False, None, first
+    tokens = [x for name in ("class", "id", "role") for x in told.get(name, "").split()]
+    bad, plain = False, False
+    for token in tokens:
+        before = ""
+        for w in NAME.findall(token):
+            if w in UNWANTED or (w in OUTSIDE and not inside):
+                bad, plain = True, plain or before not in ABOUT
+            before = w
+    if bad or tag in FORMS:
+        plain = plain and not WANTED & set(tokens)
+        return False, Doubt(tag, told.get("class") or told.get("id", ""), plain), first
+    return False, None, first
 
 
 def blocks(page: str) -> list[Block]:
@@ -94,7 +122,7 @@ def blocks(page: str) -> list[Block]:
     root = Element("", "", False, 0, False)
     stack = [root]
     block = Block()
-    mains = 0
+    mains: list[tuple[Doubt, ...]] = [()]
 
     def flush() -> None:
         nonlocal block
@@ -112,6 +140,7 @@ def blocks(page: str) -> list[Block]:
             holder = next(e for e in reversed(stack) if e.tag not in INLINE)
             block.path, block.main, block.tag = holder.path, holder.main, holder.tag
             block.parent = holder.path.rpartition("/")[0]
+            block.doubts, block.held = top.doubts, mains[top.main]
         clear = html.unescape(text) if "&" in text else text
         block.text.append(clear)
         if top.link:
@@ -119,7 +148,7 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         """Closes the elements from place k on."""
-        if any(e.tag not in INLINE for e in stack[k:]):
+        if any(e.tag not in INLINE for e in stack[k:]) or stack[-1].doubts != stack[k - 1].doubts:
             flush()
         del stack[k:]
 
@@ -164,19 +193,54 @@ def blocks(page: str) -> list[Block]:
             names, stops = ENDS[tag]
             close_open(tuple(names.split()), stops)
         up = stack[-1]
-        gone, first = _unwanted(tag, m[3] or "", up.main > 0)
-        if tag not in INLINE or gone:
+        gone, doubt, first = _unwanted(tag, m[3] or "", up.main > 0)
+        if tag not in INLINE or gone or doubt:
             flush()
-        main = up.main
+        main, doubts = up.main, up.doubts
+        if doubt and doubt not in doubts:
+            doubts = (*doubts, doubt)
         if tag in MAIN and not gone:
-            mains += 1
-            main = mains
+            # an article that is plainly a comment, say, is no sign of the article
+            mains.append(up.doubts if doubt and doubt.plain else doubts)
+            main = len(mains) - 1
         path = up.path if tag in INLINE else f"{up.path}/{tag}{'.' + first if first else ''}"
         if (m[3] or "").rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
-        stack.append(Element(tag, path, up.skipped or gone, main, up.link or tag == "a"))
+        stack.append(Element(tag, path, up.skipped or gone, main, up.link or tag == "a", doubts))
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[Block]) -> list[Block]:
+    """The blocks without those of doubted elements, unless these hold what the page is about.
+
+    From the outside in: elements stay if they hold most of the text outside links, most of it in paragraphs, or
+    the only article; where the class plainly speaks against them, nearly no text may be left outside.
+    """
+    if not any(b.doubts for b in found):
+        return found
+    size = [max(0, len(b.done()) - b.linked) for b in found]
+    kept: set[Doubt] = set()
+    while True:
+        text: dict[Doubt | None, int] = defaultdict(int)
+        paragraphs: dict[Doubt | None, int] = defaultdict(int)
+        articles: dict[Doubt | None, int] = defaultdict(int)
+        gates = [next((d for d in b.doubts if d not in kept), None) for b in found]
+        for b, gate, n in zip(found, gates, size, strict=True):
+            text[gate] += n
+            paragraphs[gate] += n * (b.tag == "p")
+            articles[gate] += n * (b.main > 0 and (gate is None or gate in b.held))
+        outside, every, spoken = text[None], sum(text.values()), sum(paragraphs.values())
+        more = set()
+        for d, n in text.items():
+            if d is None:
+                continue
+            most = 2 * n > every and outside < LITTLE * n if d.plain else 2 * n > every or 2 * paragraphs[d] > spoken
+            if most or (articles[d] > outside and not articles[None]):
+                more.add(d)
+        if not more:
+            return [b for b, gate in zip(found, gates, strict=True) if gate is None]
+        kept |= more
 
 
 def select(found: list[Block]) -> list[Block]:

@@ -121,6 +121,34 @@ def test_html(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+STORY = "A long story, with commas. And more of it, that goes on and on, until it ends."
+TOLD = f"<h1>Title</h1><p>{STORY}</p><p>{STORY}</p>"
+SAID = f"Title\n{STORY}\n{STORY}"
+NOISE = "<div class='sidebar'><p>Latest, news.</p></div><div id=comments><p>Nice post, thanks, bye.</p></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p>On <a href="/the-hidden-valley">the valley, <b title="Hidden gems">its gems</b></a> and more.</p></article>', "On the valley, its gems and more."),
+    ('<article data-hidden="false" title="Hidden gems"><p>Text, of it.</p></article>', "Text, of it."),
+    ('<article><p>See <a href="/item?id=search">the item, or not</a> and more.</p></article>', "See the item, or not and more."),
+    ("<article><p title='class=\"hidden\"'>Text, of it.</p><p class=x hidden>Not seen.</p><p style='display : none'>Nor this.</p></article>", "Text, of it."),
+    (f'<div class="content has-sidebar">{TOLD}</div>{NOISE}', SAID),
+    (f'<div id="main-no-comments">{TOLD}</div>{NOISE}', SAID),
+    (f'<article class="post social-science">{TOLD}</article>{NOISE}', SAID),
+    (f'<div class="page has-sidebar"><div class="post social-science">{TOLD}</div>{NOISE}</div>', SAID),
+    (f'<form action="/"><div>{TOLD}</div>{NOISE}</form>', SAID),
+    (f'<div class="widget"><main>{TOLD}</main></div><p>Some words.</p>{NOISE}', SAID),
+    (f'<div class="overlay">{TOLD}</div>', SAID),
+    (f"<div>{TOLD}</div><section class='related'><article><p>Another, story.</p></article></section>", SAID),
+    (f"<article>{TOLD}</article><div class='comments-area'>" + f"<article class='comment'><p>{STORY} Yes.</p></article>" * 9 + "</div>", SAID),
+    (f"<div>{TOLD}</div><form><label>Name</label><p>Leave a reply, please.</p></form>", SAID),
+    (f"<article><p>{STORY} <span class='share'>Share this, now</span></p></article>", STORY),
+])
+def test_html_words_and_attributes(page, want):
+    """Attributes count by their own name; a word in a class does not drop what the page is about."""
+    assert html_text.extract(f"<html><body>{page}</body></html>") == want
+
+
 def test_html_of_the_tables(spark):
     """Every page of the smallest table against its article cut out by pattern."""
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
