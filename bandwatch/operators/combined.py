@@ -10,11 +10,15 @@ from bandwatch.schemas import LEVEL_DATA
 
 
 def evaluated_formulas(
-    requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
+    requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Formula records with their `value`, null where there is none. The host becomes ''."""
+    """Formula records with their `value`, null where there is none. The host becomes ''.
+
+    `names` (reading_name, host) are all that exist, if `readings` do not hold them all.
+    """
     entry = F.when(F.col("known"), F.struct("key", "value"))
-    gathered = asked_values(requests, readings, lookback_s).groupBy(*REQUEST).agg(
+    gathered = asked_values(requests, readings, lookback_s, names).groupBy(*REQUEST).agg(
         F.sort_array(F.collect_list(entry)).alias("entries")
     )
     # A record bears at most as many entries as its own text has names.

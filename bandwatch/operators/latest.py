@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bandwatch.functions.formula import candidate_keys
 from bandwatch.operators.slices import floor_to, millis, slice_millis, with_halo
@@ -21,11 +21,18 @@ def requested_keys(requests: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.coalesce("key", F.concat(F.lit(","), "seq")))
 
 
+def name_key() -> Column:
+    """`reading[,host]` of a row, as formulas write it."""
+    return F.concat_ws(",", "reading_name", F.nullif("host", F.lit("")))
+
+
 def asked_values(
-    requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S
+    requests: DataFrame, readings: DataFrame, lookback_s: float = LOOKBACK_S,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Per formula record and key asked for: the newest `value` in (ts - lookback, ts], or null,
-    and whether the key is `known`, that is, whether there is such a reading at all.
+    and whether the key is `known`, that is, whether there is such a reading at all: among
+    `names` (reading_name, host) if these are given, else among `readings`.
 
     `readings` are plain readings; one whose `value` is null (text that is no number) hides
     older values of its series, as any newer record does. Records and readings are merged by
@@ -37,12 +44,15 @@ def asked_values(
         "slice", floor_to(F.col("ts"), F.lit(slice_ms).cast("bigint"))
     )
     points = readings.select(
-        F.concat_ws(",", "reading_name", F.nullif("host", F.lit(""))).alias("key"),
-        "ts", "seq", "value",
+        name_key().alias("key"), "ts", "seq", "value",
     )
     # Only series some formula names are worth a shuffle.
-    named = points.join(asked.select("key").distinct(), "key", "left_semi")
-    known = named.select("key").distinct().withColumn("known", F.lit(True))
+    keys = asked.select("key").distinct()
+    named = points.join(keys, "key", "left_semi")
+    there = named
+    if names is not None:
+        there = names.select(name_key().alias("key")).join(keys, "key", "left_semi")
+    known = there.select("key").distinct().withColumn("known", F.lit(True))
     merged = asked.join(known, "key", "left").select(
         "key", "slice", "ts", "seq", F.lit(1).alias("_asks"),
         F.struct(*REQUEST, "known").alias("request"),

@@ -14,21 +14,24 @@ _COLUMNS = ["channel", "ts", "host", "reading_name", "value", "seq"]
 
 
 def numbered(decoded: DataFrame, combined: DataFrame, lookback_s: float = LOOKBACK_S,
-             history: DataFrame | None = None) -> DataFrame:
+             history: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """Decoded rows with their number in `value`, or else a `msg` of what is wrong.
 
     `history` are earlier decoded rows that formulas may look back to; they are not returned.
+    `names` (reading_name, host) are those of all rows so far, further back too.
     """
     plain, formulas = split_combined(decoded, combined)
     visible = plain
     if history is not None:
         visible = plain.unionByName(split_combined(history, combined)[0])
+    if names is not None:
+        names = names.join(combined, "reading_name", "left_anti")
     unreadable = F.format_string(UNREADABLE, "raw_value", "reading_name")
     numbers = parsed_readings(plain).select(
         *_COLUMNS, F.when(F.col("value").isNull(), unreadable).alias("msg"),
         F.lit("to_numeric").alias("operator"),
     )
-    computed = evaluated_formulas(formulas, parsed_readings(visible), lookback_s).select(
+    computed = evaluated_formulas(formulas, parsed_readings(visible), lookback_s, names).select(
         *_COLUMNS, F.when(F.col("value").isNull(), formula_problem()).alias("msg"),
         F.lit("combined_readings").alias("operator"),
     )

@@ -72,6 +72,29 @@ class State:
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("hour", "batch").parquet(f"{self.path}/log/{name}")
 
+    def names(self, batch_id: int, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """The distinct names of all batches up to this one, whose rows are given.
+
+        Each batch writes the whole (small) table from its predecessor's. A state that has none
+        yet takes the earlier names from the log of decoded rows.
+        """
+        name, schema = "names", rows.select(columns).schema
+        earlier = None
+        if self.is_marked(name, batch_id - 1):
+            earlier = self.spark.read.schema(schema).parquet(self._folder(name, batch_id - 1))
+        else:
+            folder = f"{self.path}/log/decoded"
+            files, path = self._hadoop(folder)
+            if files.exists(path):
+                full = T.StructType([*schema, T.StructField("batch", T.LongType())])
+                earlier = self.spark.read.schema(full).parquet(folder).where(
+                    F.col("batch") < batch_id).select(columns)
+        new = rows.select(columns)
+        every = new if earlier is None else earlier.unionByName(new)
+        written = self.write(name, batch_id, every.distinct().hint("rebalance"))
+        self.mark(name, batch_id)
+        return written
+
     def logged(self, name: str, batch_id: int, schema: T.StructType, rows: DataFrame,
                reach_ms: int) -> DataFrame:
         """Rows of earlier batches in the hours that `rows` can look back to, a reach each."""

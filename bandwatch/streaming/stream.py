@@ -63,7 +63,9 @@ class StreamJob:
         try:
             old_decoded = state.logged("decoded", batch_id, DECODED, decoded,
                                        millis(self.lookback_s))
-            rows = numbered(decoded, combined, self.lookback_s, old_decoded)
+            # Whether a name exists does not depend on how long it has been silent.
+            names = state.names(batch_id, decoded, SERIES)
+            rows = numbered(decoded, combined, self.lookback_s, old_decoded, names)
             rows = state.write("numbered", batch_id, rows)
             readings = good(rows)
 
@@ -90,7 +92,7 @@ class StreamJob:
                 lambda: state.log("alarms", batch_id, alarms),
             )
             state.mark("batch", batch_id)
-            for name in [*CONFIG, "numbered", "alarms"]:
+            for name in [*CONFIG, "names", "numbered", "alarms"]:
                 state.drop(name, batch_id - 2)
         finally:
             decoded.unpersist()

@@ -178,6 +178,29 @@ def test_record_from_the_future(spark, tmp_path):
     assert read_table(spark, out, "alarms").count() == 4
 
 
+def test_silent_name_in_a_formula(spark, tmp_path):
+    """A longer name that has been silent for hours is still no difference of a shorter one."""
+    hour = 3600
+    rows = [("exp_sysmon", 0, "node-1,cpu,7"), ("exp_sysmon", 1, "node,cpu,9"),
+            ("exp_x", 2, "C1,cpu,node-1 * 2"),
+            ("exp_sysmon", 2 * hour, "node,cpu,9"), ("exp_x", 2 * hour + 1, "C1,cpu,node + 1"),
+            ("exp_sysmon", 5 * hour, "node,cpu,9"), ("exp_x", 5 * hour + 1, "C1,cpu,node-1 * 2"),
+            ("exp_sysmon", 5 * hour + 2, "node-1,cpu,8"),
+            ("exp_x", 5 * hour + 3, "C1,cpu,node-1 * 2")]
+    docs = (readings_config_from(spark, []), combined_from(spark, ["C1"]),
+            alarm_groups_from(spark, []))
+    raw, out = raw_records(spark, rows), str(tmp_path / "out")
+    job = StreamJob("exp", lambda: docs, out, WINDOW_S)
+    for i, (a, b) in enumerate(((0, 3), (3, 5), (5, 7), (7, 9))):
+        job.process(raw.where((F.col("offset") >= a) & (F.col("offset") < b)), i)
+    run_batch(raw, "exp", *docs, f"{out}-batch", WINDOW_S)
+    got = tables(spark, out)
+    assert got["readings"] == tables(spark, f"{out}-batch")["readings"]
+    values = read_table(spark, out, "readings").where("reading_name = 'C1'").select("value")
+    assert sorted(r.value for r in values.collect()) == [10, 14, 16]
+    assert sum("cpu,node-1 * 2" in r for r in got["diagnostics"]) == 1
+
+
 def test_batch_and_stream_share_a_folder(spark, tmp_path):
     out = str(tmp_path / "out")
     raw = raw_records(spark, records())
