@@ -123,15 +123,18 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
         single = first & last
         own, counts = np.unique(doc[~single], return_counts=True)
         rows = [(-1, own.tobytes(), counts.astype(np.int32).tobytes(), b"")]
-        # a shared one is sent without a document (-1): nobody waits for its answer
-        doc, key = np.where(single, doc, -1)[first], key[first]
+        # a shared one is sent without a document, last and with a negative number: nobody waits for its answer
+        doc, key, single = np.where(single, doc, 0)[first], key[first], single[first]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        doc, key, bucket = doc[order], key[order], bucket[order]
+        order = np.lexsort((doc, ~single, bucket))
+        doc, key, bucket, single = doc[order], key[order], bucket[order], single[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         for b, lo, hi in zip(range(buckets), edges[:-1], edges[1:], strict=True):
             if lo < hi:
-                owners, lens = np.unique(doc[lo:hi], return_counts=True)
+                mid = lo + int(np.count_nonzero(single[lo:hi]))
+                owners, lens = np.unique(doc[lo:mid], return_counts=True)
+                if mid < hi:
+                    owners, lens = np.append(owners, 0), np.append(lens, mid - hi)
                 rows.append((b, owners.tobytes(), lens.astype(np.int32).tobytes(), key[lo:hi].astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
@@ -165,8 +168,8 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
             shared = np.zeros(len(keys), bool)
             shared[order[1:]] |= same
             shared[order[:-1]] |= same
-            doc, counts = np.unique(np.repeat(owners, lens)[shared], return_counts=True)
-            doc, counts = doc[doc >= 0], counts[doc >= 0]
+            waits = np.repeat(lens > 0, np.abs(lens))
+            doc, counts = np.unique(np.repeat(owners, np.abs(lens))[shared & waits], return_counts=True)
         # one row for each range of ids, not for each document: a hash range knows something of most documents
         ranges = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(ranges, kind="stable")

@@ -239,6 +239,18 @@ def test_jaccard(spark, monkeypatch, seed, task_keys, flush):
     assert got == brute_classes(dict(enumerate(texts)))
 
 
+def test_shared_counts_of_negative_ids(spark, monkeypatch):
+    """Documents of any id, -1 and the least among them, get the answers of the hash ranges."""
+    monkeypatch.setattr(jaccard_join, "FLUSH_KEYS", 50)
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", 50)
+    texts = near_copies(random.Random(4))
+    ids = [-1, 0, -(2**63), 2**63 - 1, *(-7 * i for i in range(1, len(texts)))]
+    texts = dict(zip(ids, texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_t_occurrence_search():
     """Candidates are all classes with enough of the keys, short lists or long."""
     rng = random.Random(7)
