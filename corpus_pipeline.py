@@ -27,14 +27,24 @@ def language_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, once; documents without words all stay.
 
-    A row without an id belongs to no group that could be named, and goes.
+    A document is an id with a text: different texts under one id, or under none, are judged each by itself. Rows
+    without an id come last in a group.
     """
-    kept = staged(jaccard_join.join(docs).where("doc_id = component_id").groupBy("doc_id").count())
-    # ids of 8 bytes: broadcast by their number, so that texts are not shuffled; beyond it they are
+    row = F.xxhash64("doc_id", "text")
+    found = staged(jaccard_join.join(docs.select(row.alias("_row"), "text"), "_row").groupBy("doc_id").agg(F.count("*").alias("count"), F.min("component_id").alias("group")))
+    # only groups of several need their documents' own ids to find the smallest
+    several = found.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    several = found.join(several, "group", "left_semi").withColumnRenamed("doc_id", "_row")
+    own = docs.select(row.alias("_row"), "doc_id").join(several, "_row")
+    first = own.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    lost = several.select("_row").join(first, "_row", "left_anti")
+    kept = staged(found.withColumnRenamed("doc_id", "_row").join(lost, "_row", "left_anti").select("_row", "count"))
+    # numbers of 8 bytes: broadcast by how many there are, so that texts are not shuffled; beyond it they are
     few = kept.count() <= jaccard_join.BROADCAST_ROWS
-    ids = [kept.where(how).select("doc_id") for how in ("count = 1", "count > 1")]
-    once, again = (docs.join(F.broadcast(x) if few else x, "doc_id", "left_semi").select(docs.columns) for x in ids)
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    rows = [kept.where(how).select("_row") for how in ("count = 1", "count > 1")]
+    numbered = docs.withColumn("_row", row)
+    once, again = (numbered.join(F.broadcast(x) if few else x, "_row", "left_semi") for x in rows)
+    return once.unionByName(again.dropDuplicates(["_row"])).select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -331,6 +331,17 @@ def test_pipeline(spark, tmp_path):
     whole_packing(packed, 1024)
 
 
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    """Only near copies go: not other texts under the same id, nor rows without an id."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(3, a), (5, a + " more"), (5, b), (6, c), (6, d), (7, d), (None, e), (None, e), (None, a), (8, None), (9, ""), (4, b), (10, c), (10, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.jaccard_groups(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (4, b), (6, c), (6, d), (None, e), (8, None), (9, "")], key=str)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_rough(spark, name, stage):
     for docs in (rough(spark), empty(spark)):
