@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, html_text, jaccard_join, language_id, lm_scoring, packing, secret_scan, topk_search, url_filter
+from . import bpe, centroids, host_rules, html_text, jaccard_join, language_id, lm_scoring, packing, secret_scan, token_counts, topk_search, url_filter, whitening
 from .common import remainder, table
 
 
@@ -64,5 +64,20 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op4_html_text, op5_topk_search, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join)}
-ORACLES = {"op3_host_rules": host_rules.ORACLE}
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroid clustering: the cluster of each vector after five rounds."""
+    return centroids.summary(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts: bytes and tokens of each whole text."""
+    return token_counts.count(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Embedding whitening: each vector on the 16 largest principal components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_host_rules, op4_html_text, op5_topk_search, op6_bpe, op7_packing, op8_secret_scan, op9_lm_scoring, op10_jaccard_join, op11_centroids, op12_token_counts, op13_whitening)}
+ORACLES = {"op3_host_rules": host_rules.ORACLE, "op11_centroids": centroids.ORACLE}
