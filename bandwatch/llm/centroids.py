@@ -11,7 +11,7 @@ measured exactly; then, number by number, those whose bound is not above the bes
 by more than all rounding could raise them, so a centroid that could win or tie is always measured, in whole numbers:
 the result is that of measuring all.
 
-Tasks hand out one row of sums per cluster and round; the driver sees the centroids (k rows) only.
+Tasks hand out one sum per cluster and component in a round; the driver sees the centroids (k rows) only.
 """
 
 from __future__ import annotations
@@ -164,8 +164,6 @@ def cluster(
         for ids, x, _ in _parts(batches, dims, len(centroids)):
             yield _cached(ids, x, distances(x, pivots.points))
 
-    names = [f"s{i}" for i in range(dims)]
-
     def partial(now: np.ndarray, fixed: Pivots):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, count = np.zeros((len(now), dims), np.int64), np.zeros(len(now), np.int64)
@@ -176,24 +174,23 @@ def cluster(
                 total[who] += np.add.reduceat(x[order], at)
                 count += np.bincount(found, minlength=len(now))
             who = np.flatnonzero(count)
-            if len(who):
-                columns = [pa.array(who.astype(np.int32)), pa.array(count[who]), *(pa.array(total[who, i]) for i in range(dims))]
-                yield pa.RecordBatch.from_arrays(columns, ["cluster", "n", *names])
+            every = np.concatenate([total, count[:, None]], axis=1)[who]
+            places = np.tile(np.arange(dims + 1, dtype=np.int32), len(who))
+            columns = [np.repeat(who.astype(np.int32), dims + 1), places, every.reshape(-1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "place", "total"])
 
         return run
 
     cached = staged(rows.mapInArrow(plain, STAGED.format(id=id_type)))
-    schema = ", ".join(["cluster int", "n long", *(f"{c} long" for c in names)])
     for i in range(rounds if len(centroids) else 0):
         if i and i in anchors:
             pivots = Pivots(centroids)
             cached = staged(cached.mapInArrow(anchored, STAGED.format(id=id_type)))
-        # one row per cluster and task; whole sums of any number of rows
-        sums = cached.mapInArrow(partial(centroids, pivots), schema)
-        moved = sums.groupBy("cluster").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ["n", *names])).collect()
-        centroids = centroids.copy()
-        for r in moved:
-            centroids[r["cluster"]] = [int(r[c]) // int(r["n"]) for c in names]
+        # one row per task, cluster and component, the last one the count; decimals hold sums of any number of rows
+        sums = cached.mapInArrow(partial(centroids, pivots), "cluster int, place int, total long")
+        moved = sums.groupBy("cluster", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
+        total = {(r["cluster"], r["place"]): int(r["total"]) for r in moved}
+        centroids = np.array([[total[j, i] // total[j, dims] for i in range(dims)] if (j, dims) in total else c.tolist() for j, c in enumerate(centroids)])
 
     def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x, near in _parts(batches, dims, len(centroids)):
@@ -215,12 +212,12 @@ def summary(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
 def _oracle(dims: int = DIMS, clusters: int = CLUSTERS, rounds: int = ROUNDS, seed: str = SEED, scale: int = SCALE) -> str:
     """The same for DuckDB: all distances of every round."""
     parts = [
-        f"""kept AS (SELECT vec_id, list_transform(embedding, e -> CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, e -> e IS NOT NULL AND isfinite(e))) = {dims})""",
+        f"""kept AS (SELECT vec_id, [CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = {dims})""",
         f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS cluster, x FROM kept
   QUALIFY cluster < {clusters})""",
     ]
-    near = """a{i} AS (SELECT k.vec_id, k.x, min(struct_pack(distance := list_sum(list_transform(list_zip(k.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))),
+    near = """a{i} AS (SELECT k.vec_id, k.x, min(struct_pack(distance := list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(k.x, c.x)]),
   cluster := c.cluster)) AS best FROM kept k CROSS JOIN c{i} c GROUP BY k.vec_id, k.x)"""
     for i in range(rounds):
         parts.append(near.format(i=i))
