@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bandwatch.functions.formula import evaluate
-from bandwatch.operators.latest import LOOKBACK_S, REQUEST, asked_values
+from bandwatch.operators.latest import LOOKBACK_S, REQUEST, ASKER, asked_values, formulas_of
 from bandwatch.schemas import LEVEL_DATA
 
 
@@ -15,15 +15,26 @@ def evaluated_formulas(
 ) -> DataFrame:
     """Formula records with their `value`, null where there is none. The host becomes ''.
 
-    `names` (reading_name, host) are all that exist, if `readings` do not hold them all.
+    `names` (reading_name, host) are all that exist, if `readings` do not hold them all. Equal
+    records (delivered again) have a value each. Hand over tables: both are read several times.
     """
-    entry = F.when(F.col("known"), F.struct("key", "value"))
-    gathered = asked_values(requests, readings, lookback_s, names).groupBy(*REQUEST).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries")
-    )
-    # A record bears at most as many entries as its own text has names.
-    value = evaluate("raw_value", F.col("entries.key"), F.col("entries.value"))
-    return gathered.withColumn("value", value).withColumn("host", F.lit("")).drop("entries")
+    formulas = formulas_of(requests, readings if names is None else names)
+    found = asked_values(requests, readings, formulas, lookback_s)
+    # A record bears as many entries as its own text has names, in their order; equal records as
+    # many of each as there are of them.
+    entries = F.collect_set(F.struct("at", "value"))
+    gathered = found.groupBy(*ASKER).agg(F.count("*").alias("n"), entries.alias("entries"))
+    copies = F.sequence(F.lit(1), (F.col("n") / F.size("entries")).cast("int"))
+    naming = gathered.select(
+        *ASKER, F.transform(F.array_sort("entries"), lambda e: e["value"]).alias("values"),
+        F.explode(copies).alias("_copy"),
+    ).drop("_copy")
+    nameless = formulas.where(F.size("keys") == 0).select("formula")
+    constant = requests.withColumn("formula", F.md5("raw_value")).join(nameless, "formula")
+    constant = constant.select(*ASKER, F.array().cast("array<double>").alias("values"))
+    rows = naming.unionByName(constant).join(formulas, "formula")
+    value = evaluate("raw_value", "keys", "values")
+    return rows.select(*REQUEST, value.alias("value")).withColumn("host", F.lit(""))
 
 
 def combined_readings(

@@ -8,12 +8,11 @@ from bandwatch.operators.latest import LOOKBACK_S
 from bandwatch.operators.rules import ALARM_TYPE, rule_misses, rule_problems
 from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
-from bandwatch.plans.readings import bad, good, numbered
-from bandwatch.plans.staging import at_once, dropped, staged, work_folder
+from bandwatch.plans.readings import bad, good, write_rows
+from bandwatch.plans.staging import Parts, at_once, staged, work_folder
 from bandwatch.sinks.tables import (
     write_alarm_history, write_alarms, write_diagnostics, write_readings,
 )
-from bandwatch.sources.records import decode_records
 
 TABLES = ["readings", "alarms", "history", "diagnostics"]
 
@@ -38,22 +37,16 @@ def run_batch(
     """Append stored points, alarms, alarm history and diagnostics to the tables under `out`.
 
     Returns the numeric readings, alarms, messages and diagnostics of this run. What has several
-    consumers is written once in between: the records as decoded (the source is read once, so
-    that all steps see the same), the numbered rows and the alarms. The first of these is
-    removed at the end; the others serve what is returned.
+    consumers is written once in between: the rows of the records (the source is read once, so
+    that all steps see the same), the alarms and the messages, which serve what is returned.
     """
     spark = raw.sparkSession
     work = work_folder(spark, "batch")
-    decoded, broken = decode_records(raw, experiment)
-    both = staged(decoded.unionByName(broken, allowMissingColumns=True), f"{work}/decoded")
-    broken = staged(both.where(F.col("msg").isNotNull()).select(*broken.columns), f"{work}/broken")
-    decoded = both.where(F.col("msg").isNull()).select(*decoded.columns)
-    rows = staged(numbered(decoded, combined, lookback_s), f"{work}/numbered")
-    dropped(spark, f"{work}/decoded")
+    rows = write_rows(raw, experiment, combined, Parts(spark, f"{work}/rows"), lookback_s)
     readings = good(rows)
     alarms = staged(all_alarms(readings, config, window_s, slice_s), f"{work}/alarms")
     messages = staged(alarm_messages(alarms, groups, window_s), f"{work}/messages")
-    diagnostics = broken.unionByName(bad(rows)).unionByName(config_diagnostics(readings, config))
+    diagnostics = bad(rows).unionByName(config_diagnostics(readings, config))
 
     at_once(
         spark,

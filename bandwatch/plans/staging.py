@@ -11,7 +11,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -31,10 +31,62 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOUR_MS = 3_600_000
+
+
+class Parts:
+    """A table written in parts, one folder per `tag`; if `hourly`, below it one per hour of `ts`."""
+
+    def __init__(self, spark: SparkSession, path: str, hourly: bool = False):
+        self.spark, self.path, self.hourly = spark, path, hourly
+
+    def write(self, rows: DataFrame) -> T.StructType:
+        """Write rows by their `tag`: all parts there are so far. The schema of a part's rows."""
+        self._save(rows, ["tag"], self.path)
+        return T.StructType([f for f in rows.schema if f.name != "tag"])
+
+    def add(self, tag: str, rows: DataFrame) -> None:
+        """Write one more part."""
+        self._save(rows, [], self.folder(tag))
+
+    def _save(self, rows: DataFrame, keys: list[str], path: str) -> None:
+        if self.hourly:
+            # Hours may be many: rows are brought together first.
+            rows, keys = by_hour(rows), [*keys, "hour"]
+        rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+    def folder(self, tag: str) -> str:
+        return f"{self.path}/tag={tag}"
+
+    def holds(self, tag: str) -> bool:
+        files, path = hadoop(self.spark, self.folder(tag))
+        return files.exists(path)
+
+    def read(self, schema: T.StructType, *tags: str) -> DataFrame:
+        """The rows of those of these parts that there are."""
+        folders = [self.folder(tag) for tag in tags if self.holds(tag)]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", self.path)
+        return reader.parquet(*folders).select(*schema.names)
+
+
+def by_hour(rows: DataFrame) -> DataFrame:
+    """With the `hour` of `ts`, rows of an hour together."""
+    hour = F.floor(F.col("ts") / HOUR_MS).cast("bigint")
+    return rows.withColumn("hour", hour).hint("rebalance", "hour")
+
+
+def hadoop(spark: SparkSession, folder: str):
+    """The file system of a folder, and the folder in its terms."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a table that is no longer read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    files, folder = hadoop(spark, path)
+    files.delete(folder, True)
 
 
 def at_once(spark: SparkSession, *actions: Callable[[], object]) -> None:

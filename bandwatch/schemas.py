@@ -33,6 +33,14 @@ READING = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+# A record after it has been read: a number, or a text of what is wrong, or a formula.
+ROW = T.StructType([
+    *READING,
+    T.StructField("raw_value", T.StringType()),
+    T.StructField("msg", T.StringType()),
+    T.StructField("operator", T.StringType()),
+])
+
 # `levels` is a pair or a list of pairs and `max_duration` a number or a list; declared as
 # text, the JSON reader hands both over unparsed and `functions.bands` settles the shape.
 ALARM_RULE = T.StructType([

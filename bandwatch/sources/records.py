@@ -41,12 +41,12 @@ def read_raw(
     )
 
 
-def decode_records(raw: DataFrame, experiment: str) -> tuple[DataFrame, DataFrame]:
-    """Split each record's text into its fields: (decoded readings, diagnostics).
+def split_records(raw: DataFrame, experiment: str) -> DataFrame:
+    """Each record's text split into its fields, and `whole`: whether it has them all.
 
     Plain topics carry `reading_name,value`, the host-metrics topic `host,reading_name,value`;
     the last field keeps further commas. Records with too few fields, or whose topic has no
-    channel segment, go to diagnostics.
+    channel segment, are not whole.
     """
     from_host = F.col("topic") == f"{experiment}_{HOST_CHANNEL}"
     # Trailing separators make no segment of their own.
@@ -70,12 +70,21 @@ def decode_records(raw: DataFrame, experiment: str) -> tuple[DataFrame, DataFram
         (F.shiftleft(F.col("partition").cast("bigint"), 40) + F.col("offset")).alias("seq"),
     )
     whole = F.col("raw_value").isNotNull() & F.col("channel").isNotNull() & F.col("ts").isNotNull()
-    decoded = parts.where(whole).select(
+    return parts.withColumn("whole", whole)
+
+
+def record_problem():
+    return F.format_string("Can't decode record '%s' of topic %s.", "record", "topic")
+
+
+def decode_records(raw: DataFrame, experiment: str) -> tuple[DataFrame, DataFrame]:
+    """(decoded readings, diagnostics of the records that are not whole)."""
+    parts = split_records(raw, experiment)
+    decoded = parts.where("whole").select(
         "channel", "ts", "host", "reading_name", "raw_value", "seq"
     )
-    diagnostics = parts.where(~whole).select(
-        F.format_string("Can't decode record '%s' of topic %s.", "record", "topic").alias("msg"),
-        F.lit(LEVEL_DATA).alias("level"),
+    diagnostics = parts.where("not whole").select(
+        record_problem().alias("msg"), F.lit(LEVEL_DATA).alias("level"),
         F.lit("decode_records").alias("operator"),
     )
     return decoded, diagnostics

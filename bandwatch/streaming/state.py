@@ -1,15 +1,23 @@
 """State of the stream between micro-batches.
 
 Small tables have one folder per batch, dropped two batches later. Logs keep every record by hour
-and batch: a row of any time, early or late, finds what lies before it. Batch n reads the logs of
-earlier batches only and overwrites its own part, so a replay of n finds the same input.
+of its time: a row of any time, early or late, finds what lies before it. Batch n reads what a
+manifest written by batch n - 1 names, and overwrites its own part, so a replay of n finds the same
+input. Neither a log nor the folder of an hour is ever listed: paths follow from the manifest, and
+the segments of an hour are merged as they pile up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+from collections.abc import Iterable
 
-HOUR_MS = 3_600_000
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+from bandwatch.plans.staging import HOUR_MS, at_once, by_hour, hadoop
+
+# Segments of one tier that an hour may have; then they become one of the next tier.
+FAN = 8
 
 
 class LostState(RuntimeError):
@@ -23,21 +31,16 @@ class State:
     def _folder(self, name: str, batch_id: int) -> str:
         return f"{self.path}/{name}/batch={batch_id}"
 
-    def _hadoop(self, folder: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
-
     def _marker(self, name: str, batch_id: int) -> str:
         return f"{self.path}/_complete/{name}-{batch_id}"
 
     def mark(self, name: str, batch_id: int) -> None:
         """Note, last of all, that a table or a whole batch has been written."""
-        files, path = self._hadoop(self._marker(name, batch_id))
+        files, path = hadoop(self.spark, self._marker(name, batch_id))
         files.create(path, True).close()
 
     def is_marked(self, name: str, batch_id: int) -> bool:
-        files, path = self._hadoop(self._marker(name, batch_id))
+        files, path = hadoop(self.spark, self._marker(name, batch_id))
         return files.exists(path)
 
     def require(self, batch_id: int) -> None:
@@ -52,60 +55,161 @@ class State:
         df.write.mode("overwrite").parquet(self._folder(name, batch_id))
         return self.spark.read.schema(df.schema).parquet(self._folder(name, batch_id))
 
-    def snapshot(self, name: str, batch_id: int, load) -> DataFrame:
-        """What `load()` gives when the batch is first tried; the same again on a replay."""
-        if not self.is_marked(name, batch_id):
-            self.write(name, batch_id, load().coalesce(1))
-            self.mark(name, batch_id)
-        return self.spark.read.parquet(self._folder(name, batch_id))
+    def snapshots(self, names: list[str], batch_id: int, load) -> list[DataFrame]:
+        """The tables that `load()` gives when the batch is first tried; the same on a replay."""
+        if not all(self.is_marked(name, batch_id) for name in names):
+            tables = dict(zip(names, load(), strict=True))
+            at_once(self.spark, *(
+                lambda n=n, t=t: self.write(n, batch_id, t.coalesce(1)) for n, t in tables.items()))
+            for name in names:
+                self.mark(name, batch_id)
+        return [self.spark.read.parquet(self._folder(name, batch_id)) for name in names]
 
     def drop(self, name: str, batch_id: int) -> None:
-        for folder in (self._folder(name, batch_id), self._marker(name, batch_id)):
-            files, path = self._hadoop(folder)
-            files.delete(path, True)
-
-    def log(self, name: str, batch_id: int, rows: DataFrame) -> None:
-        """Keep a batch's rows (with `ts`) for later batches."""
-        hour = F.floor(F.col("ts") / HOUR_MS).cast("bigint")
-        keyed = rows.withColumn("hour", hour).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        keyed.hint("rebalance", "hour").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("hour", "batch").parquet(f"{self.path}/log/{name}")
+        self.remove(self._folder(name, batch_id), self._marker(name, batch_id))
+
+    def remove(self, *paths: str) -> None:
+        for path in paths:
+            files, folder = hadoop(self.spark, path)
+            files.delete(folder, True)
 
     def names(self, batch_id: int, rows: DataFrame, columns: list[str]) -> DataFrame:
         """The distinct names of all batches up to this one, whose rows are given.
 
-        Each batch writes the whole (small) table from its predecessor's. A state that has none
-        yet takes the earlier names from the log of decoded rows.
+        Each batch writes the whole (small) table from its predecessor's.
         """
-        name, schema = "names", rows.select(columns).schema
-        earlier = None
+        name, every = "names", rows.select(columns)
         if self.is_marked(name, batch_id - 1):
-            earlier = self.spark.read.schema(schema).parquet(self._folder(name, batch_id - 1))
-        else:
-            folder = f"{self.path}/log/decoded"
-            files, path = self._hadoop(folder)
-            if files.exists(path):
-                full = T.StructType([*schema, T.StructField("batch", T.LongType())])
-                earlier = self.spark.read.schema(full).parquet(folder).where(
-                    F.col("batch") < batch_id).select(columns)
-        new = rows.select(columns)
-        every = new if earlier is None else earlier.unionByName(new)
+            earlier = self.spark.read.schema(every.schema).parquet(self._folder(name, batch_id - 1))
+            every = earlier.unionByName(every)
         written = self.write(name, batch_id, every.distinct().hint("rebalance"))
         self.mark(name, batch_id)
         return written
 
-    def logged(self, name: str, batch_id: int, schema: T.StructType, rows: DataFrame,
-               reach_ms: int) -> DataFrame:
-        """Rows of earlier batches in the hours that `rows` can look back to, a reach each."""
-        folder = f"{self.path}/log/{name}"
-        files, path = self._hadoop(folder)
+
+class Log:
+    """Rows of all batches by hour, in segments.
+
+    A segment is what one batch has written or merged: `<root>/b<batch>` or `<root>/m<batch>`, and in
+    it a folder per hour, below one per part where the log has parts. The manifest of a batch says
+    for each folder (its key, as `tag=plain/hour=472222`) in which segments it lies, and of which
+    tier they are: rows of one batch are of tier 0, and FAN segments of a tier are merged into one
+    of the next. So an hour has at most FAN - 1 segments of each of a few tiers.
+    """
+
+    def __init__(self, state: State, root: str, parts: Iterable[str] = ("",), fan: int = FAN,
+                 expire_after: int | None = None):
+        self.state, self.root, self.parts = state, root, [p and f"{p}/" for p in parts]
+        self.fan, self.expire_after = fan, expire_after
+
+    def segment(self, batch_id: int) -> str:
+        """Where a batch writes its own rows, by hour."""
+        return f"{self.state.path}/{self.root}/b{batch_id}"
+
+    def write(self, batch_id: int, rows: DataFrame) -> DataFrame:
+        """Write a batch's own rows (a log without parts); what was written."""
+        by_hour(rows).write.mode("overwrite").partitionBy("hour").parquet(self.segment(batch_id))
+        written = self.state.spark.read.schema(rows.schema).parquet(self.segment(batch_id))
+        return written.select(*rows.columns)
+
+    def hours(self, batch_id: int, *parts: str) -> list[int]:
+        """Hours of a batch's own rows."""
+        found = set()
+        for part in parts or self.parts:
+            found |= {int(key.split("=")[-1]) for key in self._own_keys(batch_id, part)}
+        return sorted(found)
+
+    def _own_keys(self, batch_id: int, part: str) -> list[str]:
+        part = part if not part or part.endswith("/") else f"{part}/"
+        files, path = hadoop(self.state.spark, f"{self.segment(batch_id)}/{part}")
+        if not files.exists(path):
+            return []
+        names = [str(s.getPath().getName()) for s in files.listStatus(path)]
+        return [f"{part}{n}" for n in names if n.startswith("hour=") and n[5:].lstrip("-").isdigit()]
+
+    def _manifest_path(self, batch_id: int) -> str:
+        return f"{self.state.path}/{self.root}/manifest-{batch_id}.json"
+
+    def manifest(self, batch_id: int) -> dict:
+        """What is known after a batch: `live` keys with their [tier, segment]s, `obsolete` paths."""
+        files, path = hadoop(self.state.spark, self._manifest_path(batch_id))
         if not files.exists(path):
-            return self.spark.createDataFrame([], schema)
-        full = T.StructType([*schema, T.StructField("hour", T.LongType()),
-                             T.StructField("batch", T.LongType())])
-        hour = lambda ts: F.floor(ts / HOUR_MS).cast("bigint")
-        hours = rows.select(F.explode(F.sequence(
-            hour(F.col("ts") - F.lit(reach_ms)), hour(F.col("ts")))).alias("hour")).distinct()
-        earlier = self.spark.read.schema(full).parquet(folder).where(F.col("batch") < batch_id)
-        return earlier.join(hours, "hour", "left_semi").select(*schema.names)
+            return {"live": {}, "obsolete": []}
+        stream = files.open(path)
+        try:
+            return json.loads(self.state.spark._jvm.org.apache.commons.io.IOUtils.toString(
+                stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _save(self, batch_id: int, manifest: dict) -> None:
+        files, path = hadoop(self.state.spark, self._manifest_path(batch_id))
+        stream = files.create(path, True)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+
+    def _paths(self, live: dict, keys: Iterable[str]) -> list[str]:
+        return [f"{self.state.path}/{self.root}/{segment}/{key}"
+                for key in keys for _, segment in live.get(key, [])]
+
+    def paths(self, batch_id: int, hours: list[int], reach_ms: int, *parts: str) -> list[str]:
+        """Folders of earlier batches that rows of these hours can look back to."""
+        wanted = sorted({h - k for h in hours for k in range(-(-reach_ms // HOUR_MS) + 1)})
+        live = self.manifest(batch_id - 1)["live"]
+        found = [p and f"{p}/" for p in parts] or self.parts
+        return self._paths(live, (f"{part}hour={h}" for part in found for h in wanted))
+
+    def read(self, batch_id: int, schema: T.StructType, hours: list[int], reach_ms: int,
+             *parts: str) -> DataFrame:
+        """Rows of earlier batches in the hours that these can look back to."""
+        paths = self.paths(batch_id, hours, reach_ms, *parts)
+        if not paths:
+            return self.state.spark.createDataFrame([], schema)
+        return self.state.spark.read.schema(schema).parquet(*paths)
+
+    def commit(self, batch_id: int, schema: T.StructType) -> None:
+        """Take the batch's own rows into the manifest, merge what has piled up, forget what expired."""
+        before = self.manifest(batch_id - 1)
+        live = {key: [list(s) for s in segments] for key, segments in before["live"].items()}
+        for part in self.parts:
+            for key in self._own_keys(batch_id, part):
+                live.setdefault(key, []).append([0, f"b{batch_id}"])
+        obsolete = []
+        for part in self.parts:
+            due = {key: tier for key in live if key.startswith(f"{part}hour=")
+                   and (tier := self._due(live[key]))}
+            if not due:
+                continue
+            merged = {key: [s for s in live[key] if s[0] < tier] for key, tier in due.items()}
+            old = self._paths(merged, merged)
+            rows = self.state.spark.read.schema(schema).parquet(*old)
+            by_hour(rows).write.mode("overwrite").partitionBy("hour").parquet(
+                f"{self.state.path}/{self.root}/m{batch_id}/{part}")
+            obsolete += old
+            for key, tier in due.items():
+                live[key] = [s for s in live[key] if s[0] >= tier] + [[tier, f"m{batch_id}"]]
+        if self.expire_after is not None:
+            for key in [k for k, segments in live.items()
+                        if max(int(s[1:]) for _, s in segments) < batch_id - self.expire_after]:
+                obsolete += self._paths(live, [key])
+                del live[key]
+        self._save(batch_id, {"live": live, "obsolete": obsolete})
+
+    def _due(self, segments: list) -> int:
+        """The tier that an hour's lower segments are to be merged into; 0 for none yet."""
+        tier, extra = 0, 0
+        while sum(t == tier for t, _ in segments) + extra >= self.fan:
+            tier, extra = tier + 1, 1
+        return tier
+
+    def clean(self, batch_id: int) -> None:
+        """After a batch is complete: remove what only batches before it can have read."""
+        live = {s for segments in self.manifest(batch_id)["live"].values() for _, s in segments}
+        gone = self.manifest(batch_id - 1)["obsolete"]
+        self.state.remove(*gone)
+        root = f"{self.state.path}/{self.root}"
+        touched = {path[len(root) + 1:].split("/")[0] for path in gone} | {f"b{batch_id - 2}"}
+        self.state.remove(*(f"{root}/{segment}" for segment in touched - live))
+        self.state.remove(self._manifest_path(batch_id - 2))

@@ -19,14 +19,13 @@ from bandwatch.operators.slices import millis
 from bandwatch.plans.batch import config_diagnostics
 from bandwatch.plans.checks import WINDOW_S, all_alarms
 from bandwatch.plans.messages import alarm_messages
-from bandwatch.plans.readings import bad, good, numbered
-from bandwatch.plans.staging import at_once
-from bandwatch.schemas import ALARM, DECODED, READING
+from bandwatch.plans.readings import BROKEN, COMPUTED, FORMULA, PLAIN, bad, good, write_rows
+from bandwatch.plans.staging import Parts, at_once
+from bandwatch.schemas import ALARM, ROW
 from bandwatch.sinks.tables import (
     write_alarm_history, write_alarms, write_diagnostics, write_readings,
 )
-from bandwatch.sources.records import decode_records
-from bandwatch.streaming.state import State
+from bandwatch.streaming.state import Log, State
 
 SERIES = ["host", "reading_name"]
 CONFIG = ["config", "combined", "groups"]
@@ -47,66 +46,67 @@ class StreamJob:
         window_s: float = WINDOW_S,
         lookback_s: float = LOOKBACK_S,
         slice_s: float | None = None,
+        expire_after: int | None = None,
     ):
         self.experiment, self.config_loader, self.out = experiment, config_loader, out
         self.window_s, self.lookback_s, self.slice_s = window_s, lookback_s, slice_s
+        self.expire_after = expire_after
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark, out = batch.sparkSession, self.out
         state = State(spark, f"{out}/_state")
         state.require(batch_id)
-        config, combined, groups = self._config(state, batch_id)
+        config, combined, groups = state.snapshots(CONFIG, batch_id, self.config_loader)
         window_ms = millis(self.window_s)
+        tags = [f"tag={t}" for t in (PLAIN, COMPUTED)]
+        row_log = Log(state, "rows", tags, expire_after=self.expire_after)
+        alarm_log = Log(state, "alarms", expire_after=self.expire_after)
+
+        # The batch's own segment of the log is also what the steps below read.
+        parts = Parts(spark, row_log.segment(batch_id), hourly=True)
+
+        def earlier() -> tuple[DataFrame, DataFrame]:
+            hours = row_log.hours(batch_id, f"tag={FORMULA}")
+            old = row_log.read(batch_id, ROW, hours, millis(self.lookback_s), tags[0])
+            # Whether a name exists does not depend on how long it has been silent. Virtual
+            # readings cannot be named, whatever they were before.
+            names = self._names(state, batch_id, parts).join(combined, "reading_name", "left_anti")
+            return old.join(combined, "reading_name", "left_anti").select(*old.columns), names
+
+        rows = write_rows(batch, self.experiment, combined, parts, self.lookback_s, earlier)
+        if not parts.holds(FORMULA):
+            self._names(state, batch_id, parts)
+        readings = good(rows)
+
+        # A history of PID values reaches one window back, and each of them another.
+        hours = row_log.hours(batch_id)
+        old_readings = good(row_log.read(batch_id, ROW, hours, 2 * window_ms))
+        alarms = all_alarms(
+            self._with_history(readings, old_readings, 2 * window_ms), config,
+            self.window_s, self.slice_s,
+        )
+        alarms = alarm_log.write(batch_id, alarms)
+        old_alarms = alarm_log.read(batch_id, ALARM, alarm_log.hours(batch_id), window_ms)
+        messages = alarm_messages(marked(alarms, old_alarms), groups, self.window_s)
+        diagnostics = bad(rows).unionByName(config_diagnostics(readings, config))
+        at_once(
+            spark,
+            lambda: write_readings(readings, self.experiment, f"{out}/readings", batch_id),
+            lambda: write_alarms(alarms, f"{out}/alarms", batch_id),
+            lambda: write_alarm_history(messages, f"{out}/history", batch_id),
+            lambda: write_diagnostics(diagnostics, f"{out}/diagnostics", batch_id),
+            lambda: row_log.commit(batch_id, ROW),
+            lambda: alarm_log.commit(batch_id, ALARM),
+        )
+        state.mark("batch", batch_id)
+        row_log.clean(batch_id)
+        alarm_log.clean(batch_id)
+        state.remove(*(f"{row_log.segment(batch_id - 1)}/tag={t}" for t in (FORMULA, BROKEN)))
+        for name in [*CONFIG, "names", "batch"]:
+            state.drop(name, batch_id - 2)
 
-        decoded, broken = decode_records(batch, self.experiment)
-        decoded = decoded.persist()
-        try:
-            old_decoded = state.logged("decoded", batch_id, DECODED, decoded,
-                                       millis(self.lookback_s))
-            # Whether a name exists does not depend on how long it has been silent.
-            names = state.names(batch_id, decoded, SERIES)
-            rows = numbered(decoded, combined, self.lookback_s, old_decoded, names)
-            rows = state.write("numbered", batch_id, rows)
-            readings = good(rows)
-
-            # A history of PID values reaches one window back, and each of them another.
-            old_readings = state.logged("readings", batch_id, READING, readings, 2 * window_ms)
-            alarms = all_alarms(
-                self._with_history(readings, old_readings, 2 * window_ms), config,
-                self.window_s, self.slice_s,
-            )
-            alarms = state.write("alarms", batch_id, alarms)
-            old_alarms = state.logged("alarms", batch_id, ALARM, alarms, window_ms)
-            messages = alarm_messages(marked(alarms, old_alarms), groups, self.window_s)
-            diagnostics = (
-                broken.unionByName(bad(rows)).unionByName(config_diagnostics(readings, config))
-            )
-            at_once(
-                spark,
-                lambda: write_readings(readings, self.experiment, f"{out}/readings", batch_id),
-                lambda: write_alarms(alarms, f"{out}/alarms", batch_id),
-                lambda: write_alarm_history(messages, f"{out}/history", batch_id),
-                lambda: write_diagnostics(diagnostics, f"{out}/diagnostics", batch_id),
-                lambda: state.log("decoded", batch_id, decoded),
-                lambda: state.log("readings", batch_id, readings),
-                lambda: state.log("alarms", batch_id, alarms),
-            )
-            state.mark("batch", batch_id)
-            for name in [*CONFIG, "names", "numbered", "alarms"]:
-                state.drop(name, batch_id - 2)
-        finally:
-            decoded.unpersist()
-
-    def _config(self, state: State, batch_id: int) -> list[DataFrame]:
-        loaded: list = []
-
-        def load(i: int) -> DataFrame:
-            if not loaded:
-                loaded.extend(self.config_loader())
-            return loaded[i]
-
-        return [state.snapshot(name, batch_id, lambda i=i: load(i))
-                for i, name in enumerate(CONFIG)]
+    def _names(self, state: State, batch_id: int, parts: Parts) -> DataFrame:
+        return state.names(batch_id, parts.read(ROW, PLAIN), SERIES)
 
     def _with_history(self, new: DataFrame, old: DataFrame, reach_ms: int) -> DataFrame:
         """New readings, and of their series the earlier ones they can look back to."""
@@ -134,13 +134,16 @@ def run_stream(
     lookback_s: float = LOOKBACK_S,
     slice_s: float | None = None,
     trigger: dict | None = None,
+    expire_after: int | None = None,
 ) -> StreamingQuery:
     """Start the stream; tables grow under `out`, progress is kept in `checkpoint`.
 
     A late record is checked at its own time, with all that arrived before it and is older; what
-    was written before is not revised. `trigger` is as for `DataStreamWriter.trigger`.
+    was written before is not revised. `trigger` is as for `DataStreamWriter.trigger`. With
+    `expire_after`, an hour that has got no row for so many micro-batches is forgotten: later rows
+    no longer find what lies in it.
     """
-    job = StreamJob(experiment, config_loader, out, window_s, lookback_s, slice_s)
+    job = StreamJob(experiment, config_loader, out, window_s, lookback_s, slice_s, expire_after)
     writer = raw_stream.writeStream.foreachBatch(job.process).option(
         "checkpointLocation", checkpoint
     )
