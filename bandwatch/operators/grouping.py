@@ -3,15 +3,15 @@
 Every alarm makes all groups be looked at, so the result has one row per alarm and group that is
 satisfied at its time. To get there without pairing alarms with groups or with each other:
 
-1. Member alarms are turned into *slot intervals*. A slot is a listed name for `and`, a severity
-   for `or`. While an alarm is in its slot's window the slot is on, with the severity of the
-   oldest alarm still in the window; the intervals of one slot are disjoint, and one look at the
-   previous alarm gives their start.
-2. The time line is cut into cells; an interval goes to each cell it touches. Only cells that
-   hold alarms matter, and only slots that are on somewhere in a cell meet its alarms.
-3. Per cell and group, alarms and intervals are merged by time; each alarm finds the interval
-   last begun, and the group is satisfied if enough slots are on. Cells with very many alarms
-   are split by a salt, with the intervals repeated.
+1. Member alarms become *pieces*: intervals in which a slot of a group is on with one severity. A
+   slot is a listed name for `and`, a severity for `or`. For `and` the severity is that of the
+   name's oldest alarm still in the window, which one look at the previous alarm tells; pieces that
+   follow each other with the same severity are joined. For `or` only the first and last alarm of a
+   severity in a cell of time count, which partial aggregates find wherever the alarms lie.
+2. A sweep over the begins and ends of a group's pieces, a time slice at a time, counts the slots
+   that are on and notes the highest severity: the group's *satisfied intervals*.
+3. An alarm meets the satisfied intervals of its cell, merged by time: of each group the one last
+   begun. Cells with very many alarms are split by a salt before alarms and intervals meet.
 """
 
 from __future__ import annotations
@@ -57,31 +57,85 @@ def ungrouped_alarms(alarms: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def slot_intervals(
-    alarms: DataFrame, groups: DataFrame, window_s: float = WINDOW_S
+def _and_pieces(members: DataFrame, window_ms: int, slice_ms: int) -> DataFrame:
+    """When each name of an `and` group is on, with the severity of its oldest alarm in the window."""
+    span = F.least(F.floor(F.col("time_window") * 1000), F.lit(window_ms - 1)).cast("bigint")
+    # Of alarms of one time the first to arrive counts; there are no more times than milliseconds.
+    arrival = F.struct("seq", "host", "reading_name", "alarm_type", "rule_id")
+    first = members.withColumn("span", span).groupBy(
+        "group_id", F.col("n_names").alias("need"), F.col("name").alias("slot"), "span", "ts"
+    ).agg(F.min_by("severity", arrival).alias("severity"))
+    by_time = Window.partitionBy("group_id", "slot", "slice").orderBy("ts")
+    # The slot is taken over when the previous alarm has left the window.
+    freed = F.lag(F.col("ts") + F.col("span") + 1).over(by_time)
+    taken = (
+        with_halo(first, slice_ms, window_ms - 1)
+        .withColumn("since", F.greatest("ts", freed))
+        .withColumn("until", F.col("ts") + F.col("span"))
+    )
+    goes_on = (F.lag("until").over(by_time) + 1 == F.col("since")) & (
+        F.lag("severity").over(by_time) == F.col("severity"))
+    begins = F.when(goes_on & not_before_own(), 0).otherwise(1)
+    runs = taken.withColumn("begins", begins).where(not_before_own()).withColumn(
+        "run", F.sum("begins").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("group_id", "slot", "slice", "run", "need", "severity").agg(
+        F.min("since").alias("since"), F.max("until").alias("until")
+    ).select("group_id", "need", "since", "until", "severity")
+
+
+def _or_pieces(members: DataFrame, window_ms: int, cell_ms: int) -> DataFrame:
+    """When each severity of an `or` group is on; pieces of one severity may overlap.
+
+    Alarms of a cell no longer than the window leave no gap between them, so the first and the
+    last say all.
+    """
+    cell = F.lit(min(cell_ms, window_ms)).cast("bigint")
+    ends = members.groupBy("group_id", "severity", floor_to(F.col("ts"), cell).alias("cell")).agg(
+        F.min("ts").alias("since"), (F.max("ts") + (window_ms - 1)).alias("until"))
+    return ends.select("group_id", F.lit(1).alias("need"), "since", "until", "severity")
+
+
+def slot_pieces(
+    alarms: DataFrame, groups: DataFrame, window_s: float = WINDOW_S, cell_s: float = CELL_S
 ) -> DataFrame:
-    """Disjoint intervals [since, until] (ms, closed) in which a group's slot is on."""
+    """Intervals [since, until] (ms, closed) in which a slot of a group is on, of one severity each."""
     window_ms = millis(window_s)
-    is_and = F.col("operation") == "and"
-    span = F.least(F.floor(F.col("time_window") * 1000), F.lit(window_ms - 1))
-    members = group_members(alarms, groups).select(
-        "group_id",
-        F.when(is_and, F.col("n_names")).otherwise(1).alias("need"),
-        F.when(is_and, F.col("name")).otherwise(F.col("severity").cast("string")).alias("slot"),
-        F.when(is_and, span).otherwise(window_ms - 1).cast("bigint").alias("span"),
-        "severity", *ALARM_ID,
-    )
-    in_slot = Window.partitionBy("group_id", "slot", "slice").orderBy(
-        "ts", "seq", "host", "reading_name", "alarm_type", "rule_id"
-    )
-    sliced = with_halo(members, slice_millis(window_s, None), window_ms - 1)
-    # The slot is taken over when the previous alarm has left the window.
-    freed = F.lag(F.col("ts") + F.col("span") + 1).over(in_slot)
+    members = group_members(alarms, groups)
+    of = lambda operation: members.where(F.col("operation") == operation)
+    return _and_pieces(of("and"), window_ms, slice_millis(window_s, None)).unionByName(
+        _or_pieces(of("or"), window_ms, millis(cell_s)))
+
+
+def satisfied_intervals(pieces: DataFrame, slice_ms: int) -> DataFrame:
+    """Intervals [since, until] in which enough slots of a group are on, and the highest severity.
+
+    Disjoint per group, cut at slices. One exchange by (group, slice); a slice of a group has at
+    most as many events as its slots have begins and ends in it.
+    """
+    step = F.lit(slice_ms).cast("bigint")
+    cut = pieces.withColumn("slice", F.explode(F.sequence(
+        floor_to(F.col("since"), step), floor_to(F.col("until"), step), step)))
+    end = F.col("slice") + step
+    event = lambda at, change: F.struct(at.alias("at"), F.lit(change).alias("change"))
+    events = cut.withColumn("event", F.explode(F.array(
+        event(F.greatest("since", "slice"), 1), event(F.least(F.col("until") + 1, end), -1)
+    ))).select("group_id", "need", "slice", "severity", "event.*")
+    key = ["group_id", "need", "slice"]
+    changes = events.repartition("group_id", "slice").groupBy(*key, "severity", "at").agg(
+        F.sum("change").alias("change"))
+    # Every severity of the slice is looked at whenever one of them changes.
+    levels = F.collect_set("severity").over(Window.partitionBy("group_id", "slice"))
+    at_all = changes.withColumn("levels", levels).withColumn("level", F.explode("levels")).groupBy(*key, "level", "at").agg(
+        F.sum(F.when(F.col("severity") == F.col("level"), F.col("change")).otherwise(0)).alias("change"))
+    so_far = Window.partitionBy("group_id", "slice", "level").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, 0)
+    counted = at_all.withColumn("on", F.sum("change").over(so_far)).groupBy(*key, "at").agg(
+        F.sum("on").alias("n_on"), F.max(F.when(F.col("on") > 0, F.col("level"))).alias("severity"))
+    following = F.lead("at").over(Window.partitionBy("group_id", "slice").orderBy("at"))
     return (
-        sliced.withColumn("since", F.greatest("ts", freed))
-        .withColumn("until", F.col("ts") + F.col("span"))
-        .where(not_before_own() & (F.col("since") <= F.col("until")))
-        .select("group_id", "need", "slot", "since", "until", "severity")
+        counted.withColumn("until", following - 1)
+        .where((F.col("n_on") >= F.col("need")) & F.col("until").isNotNull())
+        .select("group_id", F.col("at").alias("since"), "until", "severity")
     )
 
 
@@ -104,40 +158,39 @@ def evaluate_groups(
     # Equal alarms (delivered again, or from two topics) ask once; each has its own result.
     triggers = triggers.groupBy(*ALARM_ID).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     triggers = triggers.withColumn("cell", floor_to(F.col("ts"), cell_ms))
-    cells = triggers.groupBy("cell").agg(
+    # Each of these stands for more alarms than one task should see, so they are few.
+    hot = triggers.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / alarms_per_task).cast("int").alias("splits")
-    )
+    ).where("splits > 1")
+    salted = triggers.join(F.broadcast(hot), "cell", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(*ALARM_ID), F.coalesce("splits", F.lit(1))).cast("int"))
+    pieces = slot_pieces(alarms, groups, window_s, cell_s)
+    satisfied = satisfied_intervals(pieces, slice_millis(window_s, None))
     spans = (
-        slot_intervals(alarms, groups, window_s)
-        .withColumn("cell", F.explode(F.sequence(
+        satisfied.withColumn("cell", F.explode(F.sequence(
             floor_to(F.col("since"), cell_ms), floor_to(F.col("until"), cell_ms), cell_ms)))
-        .join(cells, "cell")
+        .join(F.broadcast(hot), "cell", "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)))
+        .select("cell", "salt", "group_id", "since", "until", "severity")
     )
-    slots = spans.select("cell", "splits", "group_id", "need", "slot").distinct()
-    asking = triggers.join(slots, "cell").select(
-        "group_id", "cell", F.pmod(F.xxhash64(*ALARM_ID), "splits").cast("int").alias("salt"),
-        "slot", "need", F.col("ts").alias("at"), F.lit(1).alias("_asks"),
+    there = spans.select("cell", "salt", "group_id").distinct()
+    asking = salted.join(there, ["cell", "salt"]).select(
+        "group_id", "cell", "salt", F.col("ts").alias("at"), F.lit(1).alias("_asks"),
         F.struct(*ALARM_ID, "_copies").alias("alarm"),
     )
     telling = spans.select(
-        "group_id", "cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
-        "slot", "need", F.col("since").alias("at"), F.lit(0).alias("_asks"),
+        "group_id", "cell", "salt", F.col("since").alias("at"), F.lit(0).alias("_asks"),
         F.struct("until", "severity").alias("on"),
     )
-    merged = asking.unionByName(telling, allowMissingColumns=True).repartition(
-        "group_id", "cell", "salt"
-    )
     by_time = (
-        Window.partitionBy("group_id", "cell", "salt", "slot").orderBy("at", "_asks")
+        Window.partitionBy("group_id", "cell", "salt").orderBy("at", "_asks")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    met = merged.withColumn("last_on", F.last("on", True).over(by_time)).where(
-        (F.col("_asks") == 1) & (F.col("last_on.until") >= F.col("at"))
-    )
+    met = asking.unionByName(telling, allowMissingColumns=True).withColumn(
+        "last_on", F.last("on", True).over(by_time)
+    ).where((F.col("_asks") == 1) & (F.col("last_on.until") >= F.col("at")))
     return (
-        met.groupBy("group_id", "cell", "salt", "alarm", "need")
-        .agg(F.count(F.lit(1)).alias("n_on"), F.max("last_on.severity").alias("severity"))
-        .where(F.col("n_on") >= F.col("need"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("alarm._copies"))))
-        .select(*(F.col(f"alarm.{c}").alias(c) for c in ALARM_ID), "group_id", "severity")
+        met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("alarm._copies"))))
+        .select(*(F.col(f"alarm.{c}").alias(c) for c in ALARM_ID), "group_id",
+                F.col("last_on.severity").alias("severity"))
     )
