@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bandwatch.functions.formula import evaluate
-from bandwatch.operators.latest import LOOKBACK_S, REQUEST, ASKER, asked_values, formulas_of
+from bandwatch.operators.latest import ASKER, LOOKBACK_S, REQUEST, asked_values, formulas_of
+from bandwatch.plans.staging import staged, work_folder
 from bandwatch.schemas import LEVEL_DATA
 
 
@@ -18,7 +19,10 @@ def evaluated_formulas(
     `names` (reading_name, host) are all that exist, if `readings` do not hold them all. Equal
     records (delivered again) have a value each. Hand over tables: both are read several times.
     """
-    formulas = formulas_of(requests, readings if names is None else names)
+    # A row per distinct text, asked for several times below.
+    spark = requests.sparkSession
+    formulas = staged(formulas_of(requests, readings if names is None else names),
+                      work_folder(spark, "formulas"))
     found = asked_values(requests, readings, formulas, lookback_s)
     # A record bears as many entries as its own text has names, in their order; equal records as
     # many of each as there are of them.

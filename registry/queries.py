@@ -10,7 +10,7 @@ from bandwatch.operators.combined import combined_readings as combine
 from bandwatch.operators.grouping import evaluate_groups, group_members, key_of_alarm
 from bandwatch.operators.grouping import ungrouped_alarms as ungrouped
 from bandwatch.operators.latest import latest_values as newest_values
-from bandwatch.operators.numeric import parsed_readings, split_combined, to_numeric
+from bandwatch.operators.numeric import split_combined, to_numeric
 from bandwatch.operators.pid_terms import proportional_term, slope_term
 from bandwatch.operators.rules import (
     active_rules, attach_rules, max_levels, rule_misses as misses,
@@ -19,8 +19,8 @@ from bandwatch.operators.slices import millis, slice_millis
 from bandwatch.plans import checks
 from bandwatch.plans.batch import config_diagnostics, run_batch
 from bandwatch.plans.messages import alarm_messages as messages_of, group_message, single_message
-from bandwatch.plans.readings import prepare_readings as prepare
-from bandwatch.plans.staging import staged, work_folder
+from bandwatch.plans.readings import FORMULA, PLAIN, prepare_readings as prepare, routed
+from bandwatch.plans.staging import Parts, staged, work_folder
 from bandwatch.sinks.tables import history_rows, read_table, storage_points as points_of
 from bandwatch.sources.records import decode_records, read_raw
 from bandwatch.streaming.stream import run_stream
@@ -93,28 +93,30 @@ def combined_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
+def _formulas(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(formula records, plain readings) of some records, read once and written by kind."""
+    parts = Parts(spark, work_folder(spark, "rows"))
+    schema = parts.write(routed(records, EXPERIMENT, data.combined(spark)))
+    return parts.read(schema, FORMULA), parts.read(schema, PLAIN)
+
+
 def latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain, formulas = split_combined(_decoded(spark, sf_dir), data.combined(spark))
-    found = newest_values(formulas, parsed_readings(plain), LOOKBACK_S)
+    found = newest_values(*_formulas(spark, data.mixed_records(spark, sf_dir)), LOOKBACK_S)
     return found.select("ts", "seq", "key", "value")
 
 
 def combined_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain, formulas = split_combined(_decoded(spark, sf_dir), data.combined(spark))
-    ok, _ = combine(formulas, parsed_readings(plain), LOOKBACK_S)
+    ok, _ = combine(*_formulas(spark, data.mixed_records(spark, sf_dir)), LOOKBACK_S)
     return ok.select("channel", "ts", "host", "reading_name", rounded("value"), "seq")
 
 
 def combined_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain, formulas = split_combined(_decoded(spark, sf_dir), data.combined(spark))
-    return combine(formulas, parsed_readings(plain), LOOKBACK_S)[1]
+    return combine(*_formulas(spark, data.mixed_records(spark, sf_dir)), LOOKBACK_S)[1]
 
 
 def combined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas over readings and hosts whose names hold dashes and digits."""
-    decoded = decode_records(data.named_records(spark, sf_dir), EXPERIMENT)[0]
-    plain, formulas = split_combined(decoded, data.combined(spark))
-    ok, _ = combine(formulas, parsed_readings(plain), LOOKBACK_S)
+    ok, _ = combine(*_formulas(spark, data.named_records(spark, sf_dir)), LOOKBACK_S)
     return ok.select("ts", rounded("value"), "seq")
 
 

@@ -209,7 +209,30 @@ def test_batch_and_stream_share_a_folder(spark, tmp_path):
     for name in ("readings", "alarms", "history", "diagnostics"):
         counts = {r.batch: r["count"] for r in
                   read_table(spark, out, name).groupBy("batch").count().collect()}
-        assert counts[0] == counts[-1] > 0
+        assert counts.pop(0) == counts.popitem()[1] > 0 and not counts
+
+
+@pytest.mark.parametrize("broken", ["write_readings", "write_alarm_history"])
+def test_broken_run_repeated_gives_each_row_once(spark, batch_tables, tmp_path, monkeypatch, broken):
+    """One of four writes fails; others are done by then. Readers see all of a run or nothing."""
+    from bandwatch.plans import batch as plan
+    from bandwatch.sinks.tables import remove_broken_runs
+
+    out, raw = str(tmp_path / "out"), raw_records(spark, records())
+    run = lambda: run_batch(raw, "exp", *documents(spark), out, WINDOW_S, slice_s=300, run_id="2026-01")
+    with monkeypatch.context() as patched:
+        def fails(*args):
+            raise OSError("disk")
+        patched.setattr(plan, broken, fails)
+        with pytest.raises(OSError):
+            run()
+    assert read_table(spark, out, "alarms").count() == read_table(spark, out, "diagnostics").count() == 0
+    assert run() is not None
+    assert tables(spark, out) == batch_tables
+    assert run() is None  # it is there already
+    assert remove_broken_runs(spark, out) > 0 and remove_broken_runs(spark, out) == 0
+    assert tables(spark, out) == batch_tables
+    assert {r.batch < 0 for r in read_table(spark, out, "history").collect()} == {True}
 
 
 def test_lost_state_is_an_error(spark, tmp_path):
