@@ -70,6 +70,11 @@ def config_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     for name, documents in (("readings", DOCUMENTS), ("sensors", sensors), ("groups", GROUPS)):
         lines = F.explode(F.array(*(F.lit(json.dumps(d)) for d in documents)))
         spark.range(0, 1, 1, 1).select(lines.alias("value")).write.text(f"{folder}/{name}")
+    return load_config(spark, folder)
+
+
+def load_config(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents from the files of a folder."""
     return (load_readings_config(spark, f"{folder}/readings"),
             load_combined(spark, f"{folder}/sensors", EXPERIMENT),
             load_alarm_groups(spark, f"{folder}/groups"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandwatch.functions.bands import in_band, out_of_band
@@ -23,7 +25,7 @@ from bandwatch.plans.readings import FORMULA, PLAIN, prepare_readings as prepare
 from bandwatch.plans.staging import Parts, staged, work_folder
 from bandwatch.sinks.tables import history_rows, read_table, storage_points as points_of
 from bandwatch.sources.records import decode_records, read_raw
-from bandwatch.streaming.stream import run_stream
+from bandwatch.streaming.stream import StreamJob, run_stream
 from registry import data
 from registry.data import EXPERIMENT, LOOKBACK_S, WINDOW_S
 
@@ -429,6 +431,43 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("reading_name", "ts", "value")
 
 
+@lru_cache(maxsize=4)
+def _mixed_stream(spark: SparkSession, sf_dir: str) -> str:
+    """One stream over records of all sorts, for the queries that read its tables; their folder.
+
+    Two micro-batches, each with its config read anew from files; the second is delivered twice, as
+    after a failure.
+    """
+    work = work_folder(spark, "mixed")
+    data.config_files(spark, f"{work}/config")
+    records = staged(data.mixed_records(spark, sf_dir), f"{work}/records")
+    first, last = records.agg(F.min("timestamp"), F.max("timestamp")).first()
+    is_late = F.col("timestamp") >= F.lit(first + (last - first) / 2)
+    job = StreamJob(EXPERIMENT, lambda: data.load_config(spark, f"{work}/config"), f"{work}/out",
+                    WINDOW_S, LOOKBACK_S)
+    for number, part in ((0, ~is_late), (1, is_late), (1, is_late)):
+        job.process(records.where(part), number)
+    return f"{work}/out"
+
+
+def stream_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that a stream over records of all sorts has stored."""
+    points = read_table(spark, _mixed_stream(spark, sf_dir), "readings")
+    return points.select("database", "measurement", "host", "reading_name", "ts", rounded("value"))
+
+
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alarm history of that stream."""
+    return _history(read_table(spark, _mixed_stream(spark, sf_dir), "history"))
+
+
+def stream_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostics of that stream, counted."""
+    every = read_table(spark, _mixed_stream(spark, sf_dir), "diagnostics")
+    return every.groupBy("operator", "level", "msg").agg(F.count("*").alias("n")).withColumn(
+        "level", F.col("level").cast("bigint"))
+
+
 QUERIES = [
     decode_default, decode_sysmon, decode_rejects, channel_and_time, numeric_cast,
     numeric_rejects, combined_split, latest_values, combined_readings, combined_rejects,
@@ -439,5 +478,5 @@ QUERIES = [
     pid_value, pid_alarms, pid_alarms_halo, time_since, time_since_alarms, alarm_union, alarm_keys,
     group_membership, group_and, group_and_repeated, group_or, ungrouped_alarms, single_messages, group_messages,
     alarm_messages, storage_points, alarm_history, diagnostics, batch_run, batch_run_files, stored_readings,
-    stream_alarms, stream_late,
+    stream_alarms, stream_late, stream_readings, stream_history, stream_diagnostics,
 ]
