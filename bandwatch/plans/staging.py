@@ -31,14 +31,11 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HOUR_MS = 3_600_000
-
-
 class Parts:
-    """A table written in parts, one folder per `tag`; if `hourly`, below it one per hour of `ts`."""
+    """A table written in parts, one folder per `tag`; with `bucket_ms`, below it by time buckets."""
 
-    def __init__(self, spark: SparkSession, path: str, hourly: bool = False):
-        self.spark, self.path, self.hourly = spark, path, hourly
+    def __init__(self, spark: SparkSession, path: str, bucket_ms: int | None = None):
+        self.spark, self.path, self.bucket_ms = spark, path, bucket_ms
 
     def write(self, rows: DataFrame) -> T.StructType:
         """Write rows by their `tag`: all parts there are so far. The schema of a part's rows."""
@@ -50,9 +47,9 @@ class Parts:
         self._save(rows, [], self.folder(tag))
 
     def _save(self, rows: DataFrame, keys: list[str], path: str) -> None:
-        if self.hourly:
-            # Hours may be many: rows are brought together first.
-            rows, keys = by_hour(rows), [*keys, "hour"]
+        if self.bucket_ms:
+            # Buckets may be many: rows are brought together first.
+            rows, keys = by_bucket(rows, self.bucket_ms), [*keys, "bucket"]
         rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
     def folder(self, tag: str) -> str:
@@ -71,10 +68,10 @@ class Parts:
         return reader.parquet(*folders).select(*schema.names)
 
 
-def by_hour(rows: DataFrame) -> DataFrame:
-    """With the `hour` of `ts`, rows of an hour together."""
-    hour = F.floor(F.col("ts") / HOUR_MS).cast("bigint")
-    return rows.withColumn("hour", hour).hint("rebalance", "hour")
+def by_bucket(rows: DataFrame, bucket_ms: int) -> DataFrame:
+    """With the number of the time `bucket` of `ts`, rows of a bucket together."""
+    bucket = F.floor(F.col("ts") / bucket_ms).cast("bigint")
+    return rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
 
 
 def hadoop(spark: SparkSession, folder: str):

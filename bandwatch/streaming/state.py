@@ -1,10 +1,11 @@
 """State of the stream between micro-batches.
 
-Small tables have one folder per batch, dropped two batches later. Logs keep every record by hour
-of its time: a row of any time, early or late, finds what lies before it. Batch n reads what a
-manifest written by batch n - 1 names, and overwrites its own part, so a replay of n finds the same
-input. Neither a log nor the folder of an hour is ever listed: paths follow from the manifest, and
-the segments of an hour are merged as they pile up.
+Small tables have one folder per batch, dropped two batches later. Logs keep every record by a
+bucket of its time, an hour or as long as the longest look-back: a row of any time, early or late,
+finds what lies before it. Batch n reads what a manifest written by batch n - 1 names, and
+overwrites its own part, so a replay of n finds the same input. Neither a log nor the folder of a
+bucket is ever listed: paths follow from the manifest, and the segments of a bucket are merged as
+they pile up.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from bandwatch.plans.staging import HOUR_MS, at_once, by_hour, hadoop
+from bandwatch.plans.staging import at_once, by_bucket, hadoop
 
-# Segments of one tier that an hour may have; then they become one of the next tier.
+HOUR_MS = 3_600_000
+# Segments of one tier that a bucket may have; then they become one of the next tier.
 FAN = 8
 
 
@@ -88,32 +90,34 @@ class State:
 
 
 class Log:
-    """Rows of all batches by hour, in segments.
+    """Rows of all batches by time bucket, in segments.
 
     A segment is what one batch has written or merged: `<root>/b<batch>` or `<root>/m<batch>`, and in
-    it a folder per hour, below one per part where the log has parts. The manifest of a batch says
-    for each folder (its key, as `tag=plain/hour=472222`) in which segments it lies, and of which
+    it a folder per bucket, below one per part where the log has parts. The manifest of a batch says
+    for each folder (its key, as `tag=plain/bucket=472222`) in which segments it lies, and of which
     tier they are: rows of one batch are of tier 0, and FAN segments of a tier are merged into one
-    of the next. So an hour has at most FAN - 1 segments of each of a few tiers.
+    of the next. So a bucket has at most FAN - 1 segments of each of a few tiers. How long a bucket
+    is was settled by the first batch.
     """
 
-    def __init__(self, state: State, root: str, parts: Iterable[str] = ("",), fan: int = FAN,
-                 expire_after: int | None = None):
+    def __init__(self, state: State, root: str, parts: Iterable[str] = ("",), batch_id: int = 0,
+                 bucket_ms: int = HOUR_MS, fan: int = FAN, expire_after: int | None = None):
         self.state, self.root, self.parts = state, root, [p and f"{p}/" for p in parts]
         self.fan, self.expire_after = fan, expire_after
+        self.bucket_ms = self.manifest(batch_id - 1).get("bucket_ms", bucket_ms)
 
     def segment(self, batch_id: int) -> str:
-        """Where a batch writes its own rows, by hour."""
+        """Where a batch writes its own rows, by bucket."""
         return f"{self.state.path}/{self.root}/b{batch_id}"
 
     def write(self, batch_id: int, rows: DataFrame) -> DataFrame:
         """Write a batch's own rows (a log without parts); what was written."""
-        by_hour(rows).write.mode("overwrite").partitionBy("hour").parquet(self.segment(batch_id))
+        by_bucket(rows, self.bucket_ms).write.mode("overwrite").partitionBy("bucket").parquet(self.segment(batch_id))
         written = self.state.spark.read.schema(rows.schema).parquet(self.segment(batch_id))
         return written.select(*rows.columns)
 
-    def hours(self, batch_id: int, *parts: str) -> list[int]:
-        """Hours of a batch's own rows."""
+    def buckets(self, batch_id: int, *parts: str) -> list[int]:
+        """Buckets of a batch's own rows."""
         found = set()
         for part in parts or self.parts:
             found |= {int(key.split("=")[-1]) for key in self._own_keys(batch_id, part)}
@@ -125,7 +129,7 @@ class Log:
         if not files.exists(path):
             return []
         names = [str(s.getPath().getName()) for s in files.listStatus(path)]
-        return [f"{part}{n}" for n in names if n.startswith("hour=") and n[5:].lstrip("-").isdigit()]
+        return [f"{part}{n}" for n in names if n.startswith("bucket=") and n[7:].lstrip("-").isdigit()]
 
     def _manifest_path(self, batch_id: int) -> str:
         return f"{self.state.path}/{self.root}/manifest-{batch_id}.json"
@@ -154,17 +158,17 @@ class Log:
         return [f"{self.state.path}/{self.root}/{segment}/{key}"
                 for key in keys for _, segment in live.get(key, [])]
 
-    def paths(self, batch_id: int, hours: list[int], reach_ms: int, *parts: str) -> list[str]:
-        """Folders of earlier batches that rows of these hours can look back to."""
-        wanted = sorted({h - k for h in hours for k in range(-(-reach_ms // HOUR_MS) + 1)})
+    def paths(self, batch_id: int, buckets: list[int], reach_ms: int, *parts: str) -> list[str]:
+        """Folders of earlier batches that rows of these buckets can look back to."""
+        wanted = sorted({h - k for h in buckets for k in range(-(-reach_ms // self.bucket_ms) + 1)})
         live = self.manifest(batch_id - 1)["live"]
         found = [p and f"{p}/" for p in parts] or self.parts
-        return self._paths(live, (f"{part}hour={h}" for part in found for h in wanted))
+        return self._paths(live, (f"{part}bucket={h}" for part in found for h in wanted))
 
-    def read(self, batch_id: int, schema: T.StructType, hours: list[int], reach_ms: int,
+    def read(self, batch_id: int, schema: T.StructType, buckets: list[int], reach_ms: int,
              *parts: str) -> DataFrame:
-        """Rows of earlier batches in the hours that these can look back to."""
-        paths = self.paths(batch_id, hours, reach_ms, *parts)
+        """Rows of earlier batches in the buckets that these can look back to."""
+        paths = self.paths(batch_id, buckets, reach_ms, *parts)
         if not paths:
             return self.state.spark.createDataFrame([], schema)
         return self.state.spark.read.schema(schema).parquet(*paths)
@@ -178,14 +182,14 @@ class Log:
                 live.setdefault(key, []).append([0, f"b{batch_id}"])
         obsolete = []
         for part in self.parts:
-            due = {key: tier for key in live if key.startswith(f"{part}hour=")
+            due = {key: tier for key in live if key.startswith(f"{part}bucket=")
                    and (tier := self._due(live[key]))}
             if not due:
                 continue
             merged = {key: [s for s in live[key] if s[0] < tier] for key, tier in due.items()}
             old = self._paths(merged, merged)
             rows = self.state.spark.read.schema(schema).parquet(*old)
-            by_hour(rows).write.mode("overwrite").partitionBy("hour").parquet(
+            by_bucket(rows, self.bucket_ms).write.mode("overwrite").partitionBy("bucket").parquet(
                 f"{self.state.path}/{self.root}/m{batch_id}/{part}")
             obsolete += old
             for key, tier in due.items():
@@ -195,10 +199,10 @@ class Log:
                         if max(int(s[1:]) for _, s in segments) < batch_id - self.expire_after]:
                 obsolete += self._paths(live, [key])
                 del live[key]
-        self._save(batch_id, {"live": live, "obsolete": obsolete})
+        self._save(batch_id, {"bucket_ms": self.bucket_ms, "live": live, "obsolete": obsolete})
 
     def _due(self, segments: list) -> int:
-        """The tier that an hour's lower segments are to be merged into; 0 for none yet."""
+        """The tier that a bucket's lower segments are to be merged into; 0 for none yet."""
         tier, extra = 0, 0
         while sum(t == tier for t, _ in segments) + extra >= self.fan:
             tier, extra = tier + 1, 1

@@ -25,7 +25,7 @@ from bandwatch.schemas import ALARM, ROW
 from bandwatch.sinks.tables import (
     write_alarm_history, write_alarms, write_diagnostics, write_readings,
 )
-from bandwatch.streaming.state import Log, State
+from bandwatch.streaming.state import HOUR_MS, Log, State
 
 SERIES = ["host", "reading_name"]
 CONFIG = ["config", "combined", "groups"]
@@ -59,15 +59,17 @@ class StreamJob:
         config, combined, groups = state.snapshots(CONFIG, batch_id, self.config_loader)
         window_ms = millis(self.window_s)
         tags = [f"tag={t}" for t in (PLAIN, COMPUTED)]
-        row_log = Log(state, "rows", tags, expire_after=self.expire_after)
-        alarm_log = Log(state, "alarms", expire_after=self.expire_after)
+        # A row then looks back into the bucket before its own at most.
+        bucket_ms = max(HOUR_MS, 2 * window_ms, millis(self.lookback_s))
+        logging = {"batch_id": batch_id, "bucket_ms": bucket_ms, "expire_after": self.expire_after}
+        row_log, alarm_log = Log(state, "rows", tags, **logging), Log(state, "alarms", **logging)
 
         # The batch's own segment of the log is also what the steps below read.
-        parts = Parts(spark, row_log.segment(batch_id), hourly=True)
+        parts = Parts(spark, row_log.segment(batch_id), row_log.bucket_ms)
 
         def earlier() -> tuple[DataFrame, DataFrame]:
-            hours = row_log.hours(batch_id, f"tag={FORMULA}")
-            old = row_log.read(batch_id, ROW, hours, millis(self.lookback_s), tags[0])
+            buckets = row_log.buckets(batch_id, f"tag={FORMULA}")
+            old = row_log.read(batch_id, ROW, buckets, millis(self.lookback_s), tags[0])
             # Whether a name exists does not depend on how long it has been silent. Virtual
             # readings cannot be named, whatever they were before.
             names = self._names(state, batch_id, parts).join(combined, "reading_name", "left_anti")
@@ -79,14 +81,14 @@ class StreamJob:
         readings = good(rows)
 
         # A history of PID values reaches one window back, and each of them another.
-        hours = row_log.hours(batch_id)
-        old_readings = good(row_log.read(batch_id, ROW, hours, 2 * window_ms))
+        buckets = row_log.buckets(batch_id)
+        old_readings = good(row_log.read(batch_id, ROW, buckets, 2 * window_ms))
         alarms = all_alarms(
             self._with_history(readings, old_readings, 2 * window_ms), config,
             self.window_s, self.slice_s,
         )
         alarms = alarm_log.write(batch_id, alarms)
-        old_alarms = alarm_log.read(batch_id, ALARM, alarm_log.hours(batch_id), window_ms)
+        old_alarms = alarm_log.read(batch_id, ALARM, alarm_log.buckets(batch_id), window_ms)
         messages = alarm_messages(marked(alarms, old_alarms), groups, self.window_s)
         diagnostics = bad(rows).unionByName(config_diagnostics(readings, config))
         at_once(
@@ -140,7 +142,7 @@ def run_stream(
 
     A late record is checked at its own time, with all that arrived before it and is older; what
     was written before is not revised. `trigger` is as for `DataStreamWriter.trigger`. With
-    `expire_after`, an hour that has got no row for so many micro-batches is forgotten: later rows
+    `expire_after`, a bucket of time that has got no row for so many micro-batches is forgotten: later rows
     no longer find what lies in it.
     """
     job = StreamJob(experiment, config_loader, out, window_s, lookback_s, slice_s, expire_after)

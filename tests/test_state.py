@@ -6,8 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from bandwatch.plans.staging import HOUR_MS
-from bandwatch.streaming.state import Log, State
+from bandwatch.streaming.state import HOUR_MS, Log, State
 
 SCHEMA = T.StructType([T.StructField("ts", T.LongType()), T.StructField("batch", T.LongType())])
 
@@ -87,7 +86,7 @@ def test_quiet_hours_expire(spark, tmp_path):
         log.write(n, rows(spark, n, 0 if n < 2 else 1 + n))
         log.commit(n, SCHEMA)
         log.clean(n)
-    assert sorted(log.manifest(7)["live"]) == [f"hour={1 + n}" for n in range(4, 8)]
+    assert sorted(log.manifest(7)["live"]) == [f"bucket={1 + n}" for n in range(4, 8)]
     assert log.read(8, SCHEMA, [0], 0).count() == 0
     json.dumps(log.manifest(7))
 
@@ -96,9 +95,18 @@ def test_negative_hours_and_parts(spark, tmp_path):
     log = Log(State(spark, str(tmp_path)), "rows", ["tag=a", "tag=b"], fan=2)
     for n in range(3):
         tagged = rows(spark, n, -3, 4).withColumn("tag", F.when(F.col("ts") < 0, "a").otherwise("b"))
-        tagged.withColumn("hour", F.floor(F.col("ts") / HOUR_MS)).write.partitionBy("tag", "hour").parquet(log.segment(n))
+        tagged.withColumn("bucket", F.floor(F.col("ts") / HOUR_MS)).write.partitionBy("tag", "bucket").parquet(log.segment(n))
         log.commit(n, SCHEMA)
         log.clean(n)
     assert log.read(3, SCHEMA, [-3], 0, "tag=a").count() == 3
     assert log.read(3, SCHEMA, [-3, 4], 0).count() == 6
     assert log.read(3, SCHEMA, [-3], 0, "tag=b").count() == 0
+
+
+def test_bucket_length_is_settled_once(spark, tmp_path):
+    state = State(spark, str(tmp_path))
+    first = Log(state, "rows", bucket_ms=2 * HOUR_MS)
+    first.write(0, rows(spark, 0, 4, 5, 6))
+    first.commit(0, SCHEMA)
+    later = Log(state, "rows", batch_id=1, bucket_ms=HOUR_MS)
+    assert later.bucket_ms == 2 * HOUR_MS and later.read(1, SCHEMA, [2], 0).count() == 2
