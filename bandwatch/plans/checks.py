@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from bandwatch.operators.band_check import band_params, check_band, to_alarm
+from bandwatch.operators.band_check import band_params, check_band, scanned_runs, to_alarm
 from bandwatch.operators.pid_terms import pid_value
 from bandwatch.operators.rules import ALARM_TYPE, active_rules, max_levels
 from bandwatch.operators.slices import (
@@ -28,12 +28,12 @@ def sliced_rows(
 
     The first window of each check partitions by (series, rule, slice) and makes the one
     shuffle; all later ones partition by that and more, so they only sort in place. Readings that
-    have a column `slice` are cut already.
+    have a column `slice` are cut already, maybe with a deeper halo than this check looks back.
     """
-    rows = readings.join(rules, READING_KEYS)
+    reach_ms = look_backs * (window_ms - 1)
     if "slice" in readings.columns:
-        return rows
-    return with_halo(rows, slice_ms, look_backs * (window_ms - 1))
+        return readings.where(not_before_own(reach_ms)).join(rules, READING_KEYS)
+    return with_halo(readings.join(rules, READING_KEYS), slice_ms, reach_ms)
 
 
 def shared_slices(readings: DataFrame, rules: list[DataFrame], window_ms: int, slice_ms: int
@@ -56,9 +56,16 @@ def simple_checked(
     readings: DataFrame, config: DataFrame, window_s: float = WINDOW_S,
     slice_s: float | None = None,
 ) -> DataFrame:
-    """Every reading with a simple rule, and its `severity` (-1 for none)."""
+    """Every reading with a simple rule, and its `severity` (-1 for none).
+
+    With slices shorter than the window, rows are not copied from slice to slice: what lies before
+    a slice comes as a summary. For series so dense that a window of them is too much for a task.
+    """
     rules = active_rules(config, "simple")
     window_ms, slice_ms = millis(window_s), slice_millis(window_s, slice_s)
+    if slice_s and millis(slice_s) < window_ms and "slice" not in readings.columns:
+        rows = with_halo(readings.join(rules, READING_KEYS), millis(slice_s), 0)
+        return own_rows(check_band(rows, "value", window_ms, max_levels(rules), scanned_runs))
     rows = sliced_rows(readings, rules, window_ms, slice_ms)
     checked = check_band(rows, "value", window_ms, max_levels(rules))
     return own_rows(checked)

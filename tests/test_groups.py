@@ -1,9 +1,10 @@
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
 
-from bandwatch.operators.grouping import evaluate_groups, ungrouped_alarms
+from bandwatch.operators.grouping import evaluate_groups, satisfied_intervals, slot_pieces, ungrouped_alarms
 from bandwatch.plans.messages import alarm_messages
 from bandwatch.sources.config import alarm_groups_from
 from tests.helpers import START, alarms, by_second
@@ -102,3 +103,31 @@ def test_groups_against_brute_force(spark, seed, alarms_per_task):
                           cell_s=30, alarms_per_task=alarms_per_task)
     assert sorted((r.seq, r.group_id, r.severity) for r in got.collect()) == brute_force(
         rows, groups, 200)
+
+
+def test_storm(spark):
+    """4,000 alarms in half a minute: few pieces, whole results, one split per 500 alarms."""
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(30_000) / 1000, "", rng.choice("AB"), "simple", rng.randrange(3)) for _ in range(4000))
+    groups = alarm_groups_from(spark, [
+        {"group_id": "o", "names": ["A,simple", "B,simple"], "operation": "or", "time_window": 1.0},
+        {"group_id": "a", "names": ["A,simple", "B,simple"], "operation": "and", "time_window": 5.0}])
+    data = alarms(spark, rows).persist()
+    pieces = slot_pieces(data, groups, 20, cell_s=10).persist()
+    assert pieces.where("group_id = 'o'").count() <= 3 * 4  # severities x cells, whatever the number of alarms
+    times = [r[0] for r in rows]
+    first = {n: [(t, s) for t, _, m, _, s in rows if m == n] for n in "AB"}
+    want = []
+    for i, t in enumerate(times):
+        lo = bisect_left(times, round(t - 20 + 0.001, 3))
+        hi = next((j for j in range(i, len(times)) if times[j] > t), len(times))
+        want.append((i, "o", float(max(r[4] for r in rows[lo:hi]))))
+        oldest = [next(((u, s) for u, s in first[n] if u >= round(t - 5, 3)), None) for n in "AB"]
+        if all(o and o[0] <= t for o in oldest):
+            want.append((i, "a", float(max(o[1] for o in oldest))))
+    got = evaluate_groups(data, groups, 20, cell_s=10, alarms_per_task=500)
+    assert sorted((r.seq, r.group_id, r.severity) for r in got.collect()) == sorted(want)
+    spans = satisfied_intervals(pieces, 60_000).collect()
+    for g in "oa":  # disjoint
+        mine = sorted((r.since, r.until) for r in spans if r.group_id == g)
+        assert all(a[1] < b[0] for a, b in zip(mine, mine[1:]))

@@ -97,7 +97,7 @@ def expected(by_name, rules, values):
     }
 
 
-@pytest.mark.parametrize("slice_s", SLICES)
+@pytest.mark.parametrize("slice_s", [*SLICES, 7, 0.5])
 def test_simple(spark, data, slice_s):
     df, by_name = data
     checked = simple_checked(df, cfg(spark, SIMPLE), WINDOW_S, slice_s)
@@ -173,3 +173,22 @@ def test_all_checks_share_one_shuffle(spark, data):
     text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     shuffles = text.count("Exchange hashpartitioning(reading_name") - text.count("ReusedExchange")
     assert text.count("rule_id#") and shuffles <= 1, text
+
+
+def test_one_dense_slice_is_many_tasks(spark):
+    """A burst of one series within the window, cut into slices of seconds: the same result."""
+    from pyspark.sql import functions as F
+
+    from bandwatch.schemas import READING
+
+    rows = spark.range(20_000).select(
+        F.lit("x").alias("channel"), (F.lit(START) + F.col("id") * 3 + F.pmod(F.hash("id"), F.lit(900))).alias("ts"),
+        F.lit("").alias("host"), F.lit("S0").alias("reading_name"),
+        F.when(F.pmod(F.hash("id"), F.lit(97)) == 0, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(9)) - 4.5).alias("value"),
+        F.col("id").alias("seq")).select(READING.names)
+    cfg_ = cfg(spark, SIMPLE)
+    whole = simple_checked(rows, cfg_, WINDOW_S)
+    split = simple_checked(rows, cfg_, WINDOW_S, slice_s=2)
+    assert split.select("slice").distinct().count() > 20
+    told = lambda df: sorted((r.rule_id, r.seq, r.severity) for r in df.select("rule_id", "seq", "severity").collect())
+    assert told(whole) == told(split) and len({r[2] for r in told(split)}) > 2
