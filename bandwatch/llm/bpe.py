@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 LONG = 64  # bytes of the longest word that is scanned
 NONE = np.int32(2**31 - 1)  # rank of parts that do not merge
-CACHED = 400_000  # words whose ids a worker remembers; beyond that it starts afresh
+CACHED_BYTES = 150_000_000  # that a worker remembers of runs and their ids, about; beyond that it starts afresh
+REMEMBERED = 64  # characters of the longest run that is remembered: text without spaces has runs that never return
+ENTRY_BYTES = 350  # of a remembered run besides its characters, about
 ROWS = 512  # texts at once
 END = "</w>"
 #: Fixed value: the pattern that splits text into words before merging.
@@ -150,11 +152,12 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers words between spaces and their ids."""
+    """Encodes texts; remembers short runs between spaces and their ids, within a bound of bytes."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.bytes = 0
 
     def _chunks(self, text: str) -> list[str]:
         """Lower-cased runs of non-space, special tokens as themselves after a space."""
@@ -170,27 +173,31 @@ class Encoder:
             out += [x for x in SPACES.split(low) if x] if ODD_SPACES.search(low) else low.split()
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Remembers ids as text, tokens as text and their number for each new chunk."""
+    def _learn(self, chunks: set[str]) -> dict[str, tuple[str, str, int]]:
+        """Ids as text, tokens as text and their number for each new chunk; short ones are remembered."""
         vocabulary = self.vocabulary
         pieces = {c: WORDS.findall(c) for c in chunks if c[0] != " "}
         distinct = sorted({w for ws in pieces.values() for w in ws})
         ids = dict(zip(distinct, vocabulary.merge([w.encode() for w in distinct]), strict=True))
+        learnt = {}
         for c in chunks:
             got = [vocabulary.special[c[1:]]] if c[0] == " " else [i for w in pieces[c] for i in ids[w]]
-            self.known[c] = (" ".join(map(str, got)), " ".join(vocabulary.names[i] for i in got), len(got))
+            learnt[c] = told = " ".join(map(str, got)), " ".join(vocabulary.names[i] for i in got), len(got)
+            if len(c) <= REMEMBERED:
+                self.known[c] = told
+                self.bytes += ENTRY_BYTES + len(c) + len(told[0]) + len(told[1])
+        return learnt
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str, int]]:
         """(ids joined by a space, decoded text, number of ids) of each text."""
         split = [self._chunks(x) if x else [] for x in texts]
-        if len(self.known) > CACHED:
+        if self.bytes > CACHED_BYTES:
             self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._learn(new)
-        out = []
+            self.bytes = 0
+        learnt = self._learn(set().union(*split) - self.known.keys())
+        known, out = self.known, []
         for chunks in split:
-            got = [self.known[c] for c in chunks]
+            got = [known.get(c) or learnt[c] for c in chunks]
             out.append((" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum([x[2] for x in got])))
         return out
 

@@ -4,7 +4,8 @@ A page becomes a list of blocks, each with its tag path from the root. Per path,
 punctuation are summed and divided by the path's blocks; both ratios are smoothed along the page, fused into one
 score, and paths below a share of the best score are dropped. Elements whose tag says so (navigation, footer, script
 ...) and hidden ones never take part; those that only a class, id or role says to be something else, and forms, take
-part if they hold most of the page's text or its article. One pass over a page, a row for a row, no shuffle.
+part if they hold most of the page's text or its article. One pass over a page, a row for a row, no shuffle. Paths are
+numbers, and open elements are found by their tag, so work and memory grow with the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ ABOUT = frozenset("has have is no non not show hide with without".split())
 LITTLE = 0.1  # of an element's text: what may be left outside it if its class plainly says that it is no article
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z""", re.S)
+TAIL = re.compile("<!--|<[a-zA-Z]")  # where markup begins that no > ends
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
 
@@ -65,7 +67,8 @@ class Doubt:
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int
+    holder: Element | None  # the innermost element that is not inline: itself or one around it
     skipped: bool
     main: int  # number of the innermost article or main element, 0: none
     link: bool
@@ -76,8 +79,8 @@ class Element:
 class Block:
     """Text between block borders under one path."""
 
-    path: str = ""
-    parent: str = ""
+    path: int = 0
+    parent: int = 0  # the path of the element around
     tag: str = ""
     main: int = 0
     doubts: tuple[Doubt, ...] = ()
@@ -119,8 +122,12 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, Doubt | No
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text and may be content, in page order."""
     out: list[Block] = []
-    root = Element("", "", False, 0, False)
+    root = Element("", 0, None, False, 0, False)
+    root.holder = root
     stack = [root]
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+    paths: dict[tuple[int, str], int] = {}  # path of a step below a path
+    above = [0]  # path around each path
     block = Block()
     mains: list[tuple[Doubt, ...]] = [()]
 
@@ -137,9 +144,9 @@ def blocks(page: str) -> list[Block]:
         if not block.text:
             if not text.strip():
                 return
-            holder = next(e for e in reversed(stack) if e.tag not in INLINE)
+            holder = top.holder
             block.path, block.main, block.tag = holder.path, holder.main, holder.tag
-            block.parent = holder.path.rpartition("/")[0]
+            block.parent = above[holder.path]
             block.doubts, block.held = top.doubts, mains[top.main]
         clear = html.unescape(text) if "&" in text else text
         block.text.append(clear)
@@ -148,20 +155,28 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         """Closes the elements from place k on."""
-        if any(e.tag not in INLINE for e in stack[k:]) or stack[-1].doubts != stack[k - 1].doubts:
+        gone = stack[k:]
+        if any(e.tag not in INLINE for e in gone) or gone[-1].doubts != stack[k - 1].doubts:
             flush()
+        for e in gone:
+            opened[e.tag].pop()
         del stack[k:]
 
+    def innermost(names: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these, 0 for none."""
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
     def close_open(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                close(k)
-                return
-            if stack[k].tag in stops:
-                return
+        k = innermost(names)
+        if k > innermost(stops):
+            close(k)
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last:
+            m = TAIL.search(page, at)
+            say(page[at : m.start() if m else n])
+            break
         m = TOKEN.search(page, at)
         if m is None:
             say(page[at:])
@@ -173,8 +188,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
+            if k := innermost((tag,)):
                 close(k)
             continue
         if tag in VOID:
@@ -203,10 +217,19 @@ def blocks(page: str) -> list[Block]:
             # an article that is plainly a comment, say, is no sign of the article
             mains.append(up.doubts if doubt and doubt.plain else doubts)
             main = len(mains) - 1
-        path = up.path if tag in INLINE else f"{up.path}/{tag}{'.' + first if first else ''}"
+        path = up.path
+        if tag not in INLINE:
+            step = path, f"{tag}.{first}" if first else tag
+            path = paths.setdefault(step, len(above))
+            if path == len(above):
+                above.append(up.path)
         if (m[3] or "").rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
-        stack.append(Element(tag, path, up.skipped or gone, main, up.link or tag == "a", doubts))
+        element = Element(tag, path, up.holder, up.skipped or gone, main, up.link or tag == "a", doubts)
+        if tag not in INLINE:
+            element.holder = element
+        opened[tag].append(len(stack))
+        stack.append(element)
     flush()
     return _settled(out)
 
@@ -248,9 +271,9 @@ def select(found: list[Block]) -> list[Block]:
     if not found:
         return []
     texts = [b.done() for b in found]
-    length: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    number: dict[str, int] = defaultdict(int)
+    length: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    number: dict[int, int] = defaultdict(int)
     for b, text in zip(found, texts, strict=True):
         length[b.path] += max(0, len(text) - b.linked)
         marks[b.path] += sum(map(text.count, PUNCTUATION))
@@ -262,7 +285,7 @@ def select(found: list[Block]) -> list[Block]:
         near = [(WEIGHTS[j - i + half], ratios[j][which]) for j in range(max(0, i - half), min(len(found), i + half + 1)) if found[j].main == found[i].main]
         return sum(w * x for w, x in near) / sum(w for w, _ in near)
 
-    fused: dict[str, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for i, (b, text) in enumerate(zip(found, texts, strict=True)):
         plain = max(0, len(text) - b.linked) / max(1, len(text))
         fused[b.path] += plain * math.sqrt(smooth(i, 0) * (1 + smooth(i, 1))) / number[b.path]
@@ -277,7 +300,7 @@ def select(found: list[Block]) -> list[Block]:
     if any(m and x >= SHARE * weight[best] for m, x in weight.items()):
         chosen = {m for m, x in weight.items() if m and x >= SHARE * weight[best]}
         return [b for b in found if b.main in chosen]
-    parents = {p.rpartition("/")[0] for p in content}
+    parents = {b.parent for b in found if b.path in content}
     return [b for b in found if b.path in content or (b.tag in HEADINGS and b.parent in parents)]
 
 

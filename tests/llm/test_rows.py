@@ -318,3 +318,35 @@ def test_language_rough(spark, labels):
     assert len(got) == 9 and all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2, 3) or not labels)
     assert language_id.keep(docs, model).columns == docs.columns
     assert language_id.predict(empty(spark), model).count() == 0
+
+
+# Pages and texts that grow without bound
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div>" * 100_000 + "words, here.", "words, here."),
+    ("</ " * 350_000, ("</ " * 350_000).strip()),
+    ("<div>" * 30_000 + "</x>" * 30_000 + "words.", "words."),
+    ("<b>" * 50_000 + "one<hr>two", "one\ntwo"),
+    ("<p>a <!-- b " + "<q" * 10_000, "a"),
+])
+def test_deep_and_odd_pages_take_linear_time(page, want):
+    import time
+
+    began = time.time()
+    assert html_text.extract(page) == want
+    assert time.time() - began < 6
+
+
+def test_encoder_remembers_within_bounds():
+    rng = random.Random(8)
+    e, letters = bpe.Encoder(bpe.default_path()), [chr(0x4E00 + i) for i in range(3000)]
+    for _ in range(4):
+        texts = ["".join(rng.choices(letters, k=300)) for _ in range(100)]
+        again = bpe.Encoder(bpe.default_path()).encode(texts[:5])
+        assert e.encode(texts)[:5] == again
+    assert not e.known and e.bytes == 0
+    e.encode(["a few short words a few"])
+    assert sorted(e.known) == ["a", "few", "short", "words"]
+    e.bytes = bpe.CACHED_BYTES + 1
+    assert e.encode(["few new"])[0][2] == 2 and sorted(e.known) == ["few", "new"]
