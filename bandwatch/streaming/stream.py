@@ -1,9 +1,9 @@
 """The whole flow over an unbounded stream of records.
 
 Every record is numbered, stored and checked, whatever its time. Look-backs are bounded, so each
-micro-batch runs the batch plans over its own rows plus what earlier batches logged in the hours
-that these rows can look back to, and only its own rows give results. There is no clock: a record
-from the future or from last month only reads other hours. Batch and stream share all operators;
+micro-batch runs the batch plans over its own rows plus what earlier batches logged in the buckets of
+time that these rows can look back to, and only its own rows give results. There is no clock: a record
+from the future or from last month only reads other buckets. Batch and stream share all operators;
 for records that arrive in order of time they give equal tables.
 """
 
