@@ -2,9 +2,11 @@
 
 A shard is some thousand documents of one task: their inverted lists, ordered by term, and each list's maximum per
 block of BLOCK documents. Queries come in blocks of bounded size, broadcast one after the other over all shards.
-For a query, the short lists are scored in full; for the long ones the block maxima bound what they can add. Only
-blocks whose bound passes the query's threshold are scored (the pivot test of WAND, for arrays of documents and a
-batch of like queries at once). A task takes its shards one after the other and keeps each query's k best, which
+For a query, the short lists are scored in full; for the long ones the block maxima bound what they can add. Each
+query first visits the few blocks of highest bound, which gives it a threshold already in its first shard; of the
+others only blocks whose bound passes that threshold are scored (the pivot test of WAND, for arrays of documents).
+A block meets just the queries that need it, as one product of two small matrices.
+A task takes its shards one after the other and keeps each query's k best, which
 raises the threshold as it goes; so what it sends does not grow with its shards. The tasks' k best are merged.
 """
 
@@ -30,7 +32,9 @@ BLOCK = 64
 LONG_SHARE = 1 / 12  # of a shard's documents: lists longer than that are long
 QUERY_TERMS = 2_000_000  # of a block of queries, about: a broadcast of some 40 MB at most
 ROWS = 512
-BATCH = 32  # queries scored at once
+BATCH = 256  # queries scored at once
+SEEDS = 4  # blocks that raise a query's threshold before the others are looked at
+EXACT = 1024  # candidates scored exactly at once
 TASKS_PER_CORE = 2  # that a block of queries is spread over
 SLACK = 1e-4  # single precision finds candidates, double precision scores them
 DIGITS = 9  # scores are compared to so many decimals, so that equal texts tie
@@ -169,19 +173,16 @@ class Shard:
         for j, t in enumerate(self.long):
             lo, hi = self.start[t], self.start[t + 1]
             self.matrix[self.docs[lo:hi], j] = self.impact[lo:hi]
-        self.block = np.arange(self.n) // BLOCK
         self.edges = np.arange(0, self.n, BLOCK)
         self.maxima = np.maximum.reduceat(self.matrix, self.edges, axis=0) if len(self.long) else np.zeros((len(self.edges), 0))
         self.narrow = self.matrix.astype(np.float32)
 
-    def sparse(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of all documents from these short lists."""
+    def add_short(self, row: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Adds to row, by document, what these short lists give."""
         lo, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(self.n)
-        place = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
-        return np.bincount(self.docs[place], self.impact[place] * np.repeat(weights, sizes), self.n)
+        if total := int(sizes.sum()):
+            place = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
+            row += np.bincount(self.docs[place], self.impact[place] * np.repeat(weights, sizes), self.n)
 
 
 class Best:
@@ -202,31 +203,56 @@ class Best:
         self.ids[q], self.scores[q] = ids[order], scores[order]
 
 
-def score_batch(shard: Shard, terms: list[np.ndarray], weights: list[np.ndarray], numbers: list[int], best: Best) -> None:
-    """Adds to best what the shard has for a batch of queries (numbers; places of their terms in the shard's lists)."""
-    sparse = np.empty((len(terms), shard.n))
+def score_batch(shard: Shard, terms: list[np.ndarray], weights: list[np.ndarray], numbers: list[int], best: Best) -> int:
+    """Adds to best what the shard has for a batch of queries (numbers; places of their terms in the shard's lists).
+
+    Each query first visits the SEEDS blocks of highest bound, which raises its threshold, then the blocks whose
+    bound still passes; a block meets only the queries that need it. Returns how many blocks were scored, by query.
+    """
+    sparse = np.zeros((len(terms), shard.n))
     wide = np.zeros((len(terms), len(shard.long)))
     for j, (t, w) in enumerate(zip(terms, weights, strict=True)):
         at = shard.long_at[t]
         far = at >= 0
         wide[j, at[far]] = w[far]
-        sparse[j] = shard.sparse(t[~far], w[~far])
-    least = np.array([best.threshold(q) for q in numbers]) * (1 - SLACK)
+        shard.add_short(sparse[j], t[~far], w[~far])
+    narrow = wide.astype(np.float32)
     bound = np.maximum.reduceat(sparse, shard.edges, axis=1) + wide @ shard.maxima.T
-    active = (bound >= least[:, None]).any(axis=0)
-    docs = np.flatnonzero(active[shard.block])
-    whole = len(docs) == shard.n
-    near = wide.astype(np.float32) @ (shard.narrow if whole else shard.narrow[docs]).T
-    near += sparse if whole else sparse[:, docs]
-    for j, q in enumerate(numbers):
-        row = near[j]
-        found = np.flatnonzero(row >= max(least[j], 1e-9))
-        if len(found) > best.k:
-            kth = np.partition(row[found], len(found) - best.k)[len(found) - best.k]
-            found = found[row[found] >= kth * (1 - SLACK)]
-        if len(found):
-            at = docs[found]
-            best.add(q, shard.ids[at], np.round(sparse[j, at] + shard.matrix[at] @ wide[j], DIGITS))
+    seeds = min(SEEDS, bound.shape[1])
+    first = np.zeros(bound.shape, bool)
+    np.put_along_axis(first, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
+    scored = 0
+    for chosen in (first, ~first):
+        least = np.maximum(np.array([best.threshold(q) for q in numbers]) * (1 - SLACK), 1e-9)
+        wanted = (chosen & (bound >= least[:, None])).T
+        scored += int(np.count_nonzero(wanted))
+        queries, docs, scores = [], [], []
+        for block in np.flatnonzero(wanted.any(axis=1)):
+            some, lo = np.flatnonzero(wanted[block]), shard.edges[block]
+            near = narrow[some] @ shard.narrow[lo : lo + BLOCK].T + sparse[some, lo : lo + BLOCK]
+            q, d = np.nonzero(near >= least[some, None])
+            queries.append(some[q])
+            docs.append(d + lo)
+            scores.append(near[q, d])
+        if queries:
+            collect(shard, np.concatenate(queries), np.concatenate(docs), np.concatenate(scores), sparse, wide, numbers, best)
+    return scored
+
+
+def collect(shard: Shard, queries: np.ndarray, docs: np.ndarray, near: np.ndarray, sparse: np.ndarray, wide: np.ndarray, numbers: list[int], best: Best) -> None:
+    """Scores candidates exactly, but for those that k others of their query beat beyond all rounding."""
+    order = np.lexsort((-near, queries))
+    queries, docs, near = queries[order], docs[order], near[order]
+    names, start = np.unique(queries, return_index=True)
+    sizes = np.diff(np.append(start, len(queries)))
+    kth = np.where(sizes > best.k, near[np.minimum(start + best.k, len(near)) - 1], 0) * (1 - SLACK)
+    keep = near >= np.repeat(kth, sizes)
+    queries, docs = queries[keep], docs[keep]
+    for lo in range(0, len(queries), EXACT):
+        q, d = queries[lo : lo + EXACT], docs[lo : lo + EXACT]
+        exact = np.round(sparse[q, d] + np.einsum("ij,ij->i", shard.matrix[d], wide[q]), DIGITS)
+        for name in np.unique(q):
+            best.add(numbers[name], shard.ids[d[q == name]], exact[q == name])
 
 
 def answer(shards: Iterator[dict], block: Queries, average: float, k: int) -> pa.RecordBatch:

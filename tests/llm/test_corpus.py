@@ -51,6 +51,29 @@ def test_search(spark, monkeypatch, shard, block):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
 
 
+def test_search_skips_most_blocks():
+    """Counted per query: in a shard of several vocabularies, most blocks are never scored, and nothing is lost."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{'abcd'[i % 4]}{int(rng.paretovariate(0.9)) % 300}" for _ in range(rng.randint(20, 120))) for i in range(2000)]
+    shard = topk_search.Builder()
+    for i, text in enumerate(texts):
+        shard.add(i, ascii_words(text))
+    row = shard.row(0).to_pylist()[0]
+    df = dict(zip(topk_search._unpress(row["terms"], "<u8").tolist(), topk_search._unpress(row["df"], "<u4").tolist(), strict=True))
+    queries = {i: texts[i] for i in range(0, 2000, 20)}
+    hashes = {q: sorted(topk_search.xxhash.xxh3_64_intdigest(w) for w in set(ascii_words(t))) for q, t in queries.items()}
+    asked = [(q, np.array(h, np.uint64).view(np.int64).tolist(), [df[x] for x in h]) for q, h in hashes.items()]
+    block = topk_search.Queries(asked, len(texts))
+    ready = topk_search.Shard(row, row["n_words"] / len(texts))
+    best, places = topk_search.Best(len(asked), 10), np.searchsorted(ready.terms, block.terms)[block.at]
+    split = lambda x: [x[lo:hi] for lo, hi in zip(block.edges[:-1], block.edges[1:], strict=True)]
+    scored = topk_search.score_batch(ready, split(places), split(block.weights), list(range(len(asked))), best)
+    assert scored < 0.5 * len(asked) * len(ready.edges)
+    want = brute_top(dict(enumerate(texts)), queries, 10)
+    for n, q in enumerate(queries):
+        assert best.ids[n].tolist() == [d for d, _ in want[q]]
+
+
 def test_search_rough(spark):
     docs = rough(spark)
     got = {(r.query_id, r["rank"]): r.doc_id for r in topk_search.search(docs, docs).collect()}
