@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -144,13 +145,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 class Queries:
     """A block of queries: distinct terms (sorted hashes), and each query's places in them with weights."""
 
-    def __init__(self, rows: list[tuple[int, list[int], list[int]]], n_docs: int):
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        flat = np.array([t for r in rows for t in r[1]], np.int64).view(np.uint64)
-        df = np.array([d for r in rows for d in r[2]], float)
-        self.terms, self.at = np.unique(flat, return_inverse=True)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, df: np.ndarray, n_docs: int):
+        self.ids = ids
+        self.terms, at = np.unique(terms.view(np.uint64), return_inverse=True)
+        self.at = at.astype(np.int32)
         self.weights = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        self.edges = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows])))
+        self.edges = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+    @classmethod
+    def of(cls, rows: pa.Table, n_docs: int) -> Queries:
+        """From rows of (query_id, terms, df), without an object per term."""
+        ids, terms, df = (c.combine_chunks() for c in rows.columns)
+        return cls(ids.to_numpy(), pc.list_value_length(terms).to_numpy(), terms.flatten().to_numpy(), df.flatten().to_numpy(), n_docs)
 
 
 class Shard:
@@ -299,8 +305,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     spark, parts = docs.sparkSession, []
     tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     for number in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # QUERY_TERMS terms, about
-        shared = spark.sparkContext.broadcast(Queries([(r["query_id"], r["terms"], r["df"]) for r in rows], n_docs))
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()  # QUERY_TERMS terms, about
+        shared = spark.sparkContext.broadcast(Queries.of(rows, n_docs))
+        del rows
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             yield answer((row for batch in batches for row in batch.to_pylist()), shared.value, average, k)

@@ -62,13 +62,15 @@ def test_search_skips_most_blocks():
     df = dict(zip(topk_search._unpress(row["terms"], "<u8").tolist(), topk_search._unpress(row["df"], "<u4").tolist(), strict=True))
     queries = {i: texts[i] for i in range(0, 2000, 20)}
     hashes = {q: sorted(topk_search.xxhash.xxh3_64_intdigest(w) for w in set(ascii_words(t))) for q, t in queries.items()}
-    asked = [(q, np.array(h, np.uint64).view(np.int64).tolist(), [df[x] for x in h]) for q, h in hashes.items()]
-    block = topk_search.Queries(asked, len(texts))
+    asked = [x for h in hashes.values() for x in h]
+    block = topk_search.Queries(
+        np.array(list(hashes)), np.array([len(h) for h in hashes.values()]), np.array(asked, np.uint64).view(np.int64), np.array([df[x] for x in asked]), len(texts)
+    )
     ready = topk_search.Shard(row, row["n_words"] / len(texts))
-    best, places = topk_search.Best(len(asked), 10), np.searchsorted(ready.terms, block.terms)[block.at]
+    best, places = topk_search.Best(len(queries), 10), np.searchsorted(ready.terms, block.terms)[block.at]
     split = lambda x: [x[lo:hi] for lo, hi in zip(block.edges[:-1], block.edges[1:], strict=True)]
-    scored = topk_search.score_batch(ready, split(places), split(block.weights), list(range(len(asked))), best)
-    assert scored < 0.5 * len(asked) * len(ready.edges)
+    scored = topk_search.score_batch(ready, split(places), split(block.weights), list(range(len(queries))), best)
+    assert scored < 0.5 * len(queries) * len(ready.edges)
     want = brute_top(dict(enumerate(texts)), queries, 10)
     for n, q in enumerate(queries):
         assert best.ids[n].tolist() == [d for d, _ in want[q]]
