@@ -78,21 +78,33 @@ def symbols_failed(n_words: Column, n_symbols: Column) -> Column:
     return 100 * n_symbols > MAX_SYMBOL_PERCENT * n_words
 
 
+def prior(hosts: int, n: int, k: int, q: float, n2: float) -> tuple[float, float]:
+    """Mean and strength of the prior from the number of hosts and, over them, the sums of n, k, k^2/n and n^2.
+
+    With correlation c = 1/(s+1) within a host, the sum of n*(r-m)^2 over hosts is expected to be
+    m*(1-m)*((hosts-1)*(1-c) + c*(N-sum(n^2)/N)).
+    """
+    low, high = PRIOR_STRENGTH
+    m = k / n if n else 0.0
+    room = n - n2 / n - (hosts - 1) if n else 0.0
+    if not 0 < m < 1 or room <= 1e-9 * n:
+        return m, high
+    within = ((q - m * m * n) / (m * (1 - m)) - (hosts - 1)) / room
+    return m, min(max(1 / within - 1, low), high) if within > 1e-9 else high
+
+
 def host_verdicts(flags: DataFrame) -> DataFrame:
     """host, docs, failures, shrunk_rate, host_verdict from rows with host and failed (a boolean).
 
-    The prior Beta(m*s, (1-m)*s) is fitted to the hosts by moments: m is the overall rate, s follows from the
-    spread of the hosts' rates around it. A host with few documents keeps close to m. The null host is a host.
+    The prior Beta(m*s, (1-m)*s) is fitted to the hosts by the moments of the beta-binomial: m is the overall rate, s
+    follows from the spread of the hosts' rates beyond what chance gives hosts of their sizes. Where sizes or rates
+    show no difference between hosts (single documents, one host), s is at its upper limit and all keep close to m.
+    A host with few documents keeps close to m. The null host is a host.
     """
     hosts = flags.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("failed").cast("long")).alias("failures"))
-    rate = F.col("failures") / F.col("docs")
-    # one row of sums over hosts; sum(n*(r-m)^2) = sum(n*r^2) - m^2*sum(n)
-    total = hosts.agg(F.sum("docs").alias("n"), F.sum("failures").alias("k"), F.sum(rate * F.col("failures")).alias("q")).first()
-    n = total["n"] or 0
-    m = total["k"] / n if n else 0.0
-    spread = total["q"] / n - m * m if n else 0.0
-    low, high = PRIOR_STRENGTH
-    strength = min(max(m * (1 - m) / spread - 1, low), high) if spread > 1e-12 else high
+    n, k = F.col("docs").cast("double"), F.col("failures").cast("double")
+    total = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("docs").alias("n"), F.sum("failures").alias("k"), F.sum(k * k / n).alias("q"), F.sum(n * n).alias("n2")).first()
+    m, strength = prior(total["hosts"], total["n"] or 0, total["k"] or 0, total["q"] or 0.0, total["n2"] or 0.0)
     shrunk = (F.col("failures") + m * strength) / (F.col("docs") + strength)
     verdict = F.when(F.col("shrunk_rate") >= REJECT_RATE, "reject").when(F.col("shrunk_rate") <= TRUST_RATE, "trust").otherwise("strict")
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_verdict", verdict)
@@ -169,10 +181,12 @@ WITH words AS (
 ), hosts AS (
   SELECT source, count(*) AS n, sum((base_failed OR symbols_failed)::INT) AS k FROM base GROUP BY source
 ), sums AS (
-  SELECT sum(n) AS n, sum(k) / sum(n) AS m, sum(k / n * k) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread FROM hosts
+  SELECT count(*) AS h, sum(n)::DOUBLE AS n, sum(k) / sum(n) AS m, sum(k * k / n) AS q, sum(n::DOUBLE * n) AS n2 FROM hosts
+), evidence AS (
+  SELECT m, n, n - n2 / n - (h - 1) AS room, CASE WHEN m > 0 AND m < 1 THEN (q - m * m * n) / (m * (1 - m)) - (h - 1) END AS excess FROM sums
 ), prior AS (
-  SELECT m, CASE WHEN spread > 1e-12 THEN least(greatest(m * (1 - m) / spread - 1, {PRIOR_STRENGTH[0]}), {PRIOR_STRENGTH[1]})
-                 ELSE {PRIOR_STRENGTH[1]} END AS s FROM sums
+  SELECT m, CASE WHEN excess IS NULL OR room <= 1e-9 * n THEN {PRIOR_STRENGTH[1]} WHEN excess / room <= 1e-9 THEN {PRIOR_STRENGTH[1]}
+                 ELSE least(greatest(room / excess - 1, {PRIOR_STRENGTH[0]}), {PRIOR_STRENGTH[1]}) END AS s FROM evidence
 ), verdicts AS (
   SELECT source, (k + (SELECT m * s FROM prior)) / (n + (SELECT s FROM prior)) AS rate FROM hosts
 )

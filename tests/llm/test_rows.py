@@ -88,6 +88,40 @@ def test_host_verdicts(spark):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def brute_rates(hosts):
+    """Shrunk rates of (docs, failures) per host, sum by sum."""
+    n, k = sum(d for d, _ in hosts), sum(f for _, f in hosts)
+    m, strength = k / n, 10_000.0
+    chance = sum((1 - d / n) for d, _ in hosts)
+    room = sum((1 - d / n) * (d - 1) for d, _ in hosts)
+    if 0 < m < 1 and room > 1e-6:
+        alike = (sum(d * (f / d - m) ** 2 for d, f in hosts) / (m * (1 - m)) - chance) / room
+        strength = min(max(1 / alike - 1, 1.0), 10_000.0) if alike > 1e-9 else strength
+    return [(f + m * strength) / (d + strength) for d, f in hosts]
+
+
+@pytest.mark.parametrize("name", ["single", "mixed", "hot", "one", "all", "none"])
+def test_host_prior(spark, name):
+    """Chance is not taken for a difference between hosts: two failures of three reject no host among single documents."""
+    rng = random.Random(3)
+    hosts = {
+        "single": [(1, int(i % 10 == 0)) for i in range(400)] + [(3, 2)],
+        "mixed": [(n, sum(rng.random() < rate for _ in range(n))) for n, rate in ((rng.randint(1, 30), rng.choice([0.02, 0.2, 0.9])) for _ in range(150))],
+        "hot": [(900, 30)] + [(rng.randint(1, 4), rng.randint(0, 1)) for _ in range(200)],
+        "one": [(50, 20)],
+        "all": [(3, 3), (1, 1)],
+        "none": [(3, 0), (1, 0)],
+    }[name]
+    flags = [(f"h{i}", j < f) for i, (d, f) in enumerate(hosts) for j in range(d)]
+    got = {r.host: r for r in host_rules.host_verdicts(spark.createDataFrame(flags, "host string, failed boolean")).collect()}
+    for i, rate in enumerate(brute_rates(hosts)):
+        assert got[f"h{i}"].shrunk_rate == pytest.approx(rate, rel=1e-9)
+    if name == "single":
+        assert got["h400"].host_verdict == "strict"
+    if name == "mixed":
+        assert {"reject", "strict"} <= {r.host_verdict for r in got.values()}
+
+
 def test_host_rough(spark):
     docs = rough(spark)
     got = host_rules.judge(docs).collect()
