@@ -34,6 +34,7 @@ ROUNDS = 60
 BUCKETS = 64
 PRIOR = 10.0  # held-out tokens that a weight of 1/2 counts for
 NEVER = 1 << 20  # bin of pairs that the counts do not know
+SUMS, HISTOGRAM = 0, 1  # kinds of sums over words
 END = b" "  # no word: words hold no space
 START_HASH = np.uint64(0x5851F42D4C957F2D)
 
@@ -245,13 +246,31 @@ def em(ratios: np.ndarray, held: np.ndarray, known: np.ndarray) -> float:
     return weight
 
 
+def word_sums(answers: DataFrame) -> DataFrame:
+    """kind, bin, n summed over all word ranges: four sums (SUMS), and held-out tokens by bin of a word's rate (HISTOGRAM)."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sums, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums, (bins, n) = np.frombuffer(sums, "<i8"), np.frombuffer(held, "<i8").reshape(2, -1)
+                kind = np.repeat(np.array([SUMS, HISTOGRAM], np.int32), [len(sums), len(bins)])
+                columns = [kind, np.concatenate((np.arange(len(sums)), bins)), np.concatenate((sums, n))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "bin", "n"])
+
+    told = answers.where("chunk = -1").select("total", "tuning").mapInArrow(rows, "kind int, bin long, n long")
+    return told.groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+
+
 class Model:
     """Sums over the words of the training texts, and the weights."""
 
-    def __init__(self, sums: list[tuple[bytes, bytes]]):
-        self.tokens, self.types, tokens_rest, types_rest = (int(x) for x in np.sum([np.frombuffer(t, "<i8") for t, _ in sums], axis=0)) if sums else (0, 0, 0, 0)
+    def __init__(self, sums: list[tuple[int, int, int]]):
+        """sums: rows of word_sums()."""
+        table = np.array(sums, np.int64).reshape(-1, 3)
+        parts = dict(table[table[:, 0] == SUMS, 1:].tolist())
+        self.tokens, self.types, tokens_rest, types_rest = (parts.get(i, 0) for i in range(4))
         self.rest = (tokens_rest, types_rest)
-        bins, held = np.concatenate([np.frombuffer(h, "<i8").reshape(2, -1) for _, h in sums], axis=1) if sums else np.zeros((2, 0), np.int64)
+        bins, held = table[table[:, 0] == HISTOGRAM, 1:].T
         known = bins > -NEVER // 2
         fine = np.exp2(np.where(known, bins, 0) / STEP) / max(1, tokens_rest)
         self.word_weight = em(1 / (types_rest + 1) / fine, held, known)
@@ -286,7 +305,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = chunks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     words, pairs = max(1, math.ceil(0.2 * total / RANGE_KEYS)), max(1, math.ceil(0.8 * total / RANGE_KEYS))
     answers = staged(counts(chunks, words, pairs))
-    model = Model([(bytes(r["total"]), bytes(r["tuning"])) for r in answers.where("chunk = -1").collect()])  # one row per word range
+    model = Model([tuple(r) for r in word_sums(answers).collect()])  # four sums, and at most the bins of a double's range
 
     def held(mine: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[tuple[int, int], int] = {}
