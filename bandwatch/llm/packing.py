@@ -1,10 +1,11 @@
 """Packing documents into sequences of fixed length by a grouping genetic algorithm on islands.
 
-Pieces of full length are sequences by themselves. The others are dealt to shards of about SHARD_TOKENS tokens.
-Pieces of one length are alike, so a shard is evolved from its counts by length: several islands start from
-best-fit orders, cross whole well-filled sequences into each other, and send their best to the next island
-between epochs. An island stops once it has as few sequences as the sum of lengths allows. At last the shard's
-pieces take the places of the best plan. No task sees more than a shard.
+Pieces of full length are sequences by themselves. The others are dealt to shards of about SHARD_TOKENS tokens and
+SHARD_PIECES pieces at most. Pieces of one length are alike, so a shard is evolved from its counts by length: several
+islands start from best-fit orders, cross whole well-filled sequences into each other, and send their best to the next
+island between epochs. In a crossover, pieces that lost their sequence first take the places of shorter ones, then go
+where they fit best. An island stops once it has as few sequences as a lower bound allows, or gains nothing more. At
+last the shard's pieces take the places of the best plan. No task sees more than a shard.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .common import staged
 CAPACITY = 1024
 END_ID = 2
 SHARD_TOKENS = 1 << 24
+SHARD_PIECES = 1 << 18  # what a shard of short texts is bounded by
 ISLANDS, EPOCHS = 2, 2
-POPULATION, GENERATIONS = 4, 8
+POPULATION, GENERATIONS = 6, 16
+PATIENCE = 5  # generations without a gain
 INJECTED = 0.3  # share of the other parent's sequences that a crossover takes
 ROWS = 512
 
@@ -160,6 +163,22 @@ def fitness(of: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, fl
     return len(fill), -float(np.mean((fill / capacity) ** 2))
 
 
+def least_sequences(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of sequences: for any short length, what is longer than half shares its sequence
+    with nothing else of that kind, and what is at least that short fills the room left there first."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    number, total = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    best = -(-int(total[-1]) // capacity)
+    for short in range(1, half + 1):
+        alone = int(number[-1] - number[capacity - short])
+        large = int(number[capacity - short] - number[half])
+        room = large * capacity - int(total[capacity - short] - total[half])
+        rest = int(total[half] - total[short - 1]) - room
+        best = max(best, alone + large + max(0, -(-rest // capacity)))
+    return best
+
+
 def start_from(lengths: np.ndarray, capacity: int, rng: random.Random, noise: float) -> np.ndarray:
     """Best fit in decreasing order, with some noise in the order."""
     bins = Bins(lengths, capacity)
@@ -168,8 +187,43 @@ def start_from(lengths: np.ndarray, capacity: int, rng: random.Random, noise: fl
     return np.array(bins.of)
 
 
+def swap_in(groups: list[list[int]], left: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Fill sequences better by a displaced item in place of one or two shorter ones; the displaced then, long ones first.
+
+    Of each sequence with room that swap is made which fills it most.
+    """
+    stacks: dict[int, list[int]] = {}
+    mask = 0  # bit n: a displaced item has length n
+    for i in left:
+        stacks.setdefault(sizes[i], []).append(i)
+        mask |= 1 << sizes[i]
+    for group in groups:
+        room = capacity - sum(sizes[i] for i in group)
+        if not room or not mask:
+            continue
+        held: dict[int, list[int]] = {}
+        for i in group:
+            held.setdefault(sizes[i], []).append(i)
+        lengths, gain, choice, size = sorted(held), 0, [], 0
+        for k, x in enumerate(lengths):
+            outs = [held[x][:1]] + ([held[x][:2]] if len(held[x]) > 1 else []) + [[held[x][0], held[y][0]] for y in lengths[k + 1 :]]
+            for out in outs:
+                gone = sum(sizes[i] for i in out)
+                longest = (mask & ((2 << (gone + room)) - 1)).bit_length() - 1
+                if longest - gone > gain:
+                    gain, choice, size = longest - gone, out, longest
+        if choice:
+            group[:] = [*(i for i in group if i not in choice), stacks[size].pop()]
+            if not stacks[size]:
+                mask ^= 1 << size
+            for i in choice:
+                stacks.setdefault(sizes[i], []).append(i)
+                mask |= 1 << sizes[i]
+    return [i for size in sorted(stacks, reverse=True) for i in stacks[size]]
+
+
 def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
-    """Whole well-filled sequences of b, then those of a that share no item with them, then best fit of what is left."""
+    """Whole well-filled sequences of b, then those of a that share no item with them; what is left is swapped in or best fitted."""
     fill = np.bincount(b, lengths)
     well = np.flatnonzero(fill >= np.median(fill))
     injected = np.array(rng.sample(well.tolist(), max(1, int(len(well) * INJECTED))))
@@ -177,22 +231,23 @@ def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng:
     broken = np.zeros(a.max() + 1, bool)
     broken[a[taken]] = True
     kept = ~taken & ~broken[a]
-    child = Bins(lengths, capacity)
+    groups: list[list[int]] = []
     for parent, chosen in ((b, taken), (a, kept)):
         items = np.flatnonzero(chosen)
         items = items[np.argsort(parent[items], kind="stable")]
-        for group in np.split(items, np.flatnonzero(np.diff(parent[items])) + 1):
-            if len(group):
-                child.add_bin(group.tolist())
-    left = np.flatnonzero(~taken & ~kept)
-    child.best_fit(left[np.argsort(-lengths[left], kind="stable")].tolist())
+        groups += [x.tolist() for x in np.split(items, np.flatnonzero(np.diff(parent[items])) + 1) if len(x)]
+    left = swap_in(groups, np.flatnonzero(~taken & ~kept).tolist(), lengths.tolist(), capacity)
+    child = Bins(lengths, capacity)
+    for group in groups:
+        child.add_bin(group)
+    child.best_fit(left)
     return np.array(child.of)
 
 
 def evolve(counts: dict[int, int], elites: list[bytes], seed: int, capacity: int = CAPACITY) -> bytes:
     """The best plan of an island after an epoch: for each item, by length, its sequence (as little-endian int32)."""
     lengths = np.repeat(np.array(sorted(counts)), [counts[x] for x in sorted(counts)])
-    least = math.ceil(lengths.sum() / capacity)
+    least = least_sequences(lengths, capacity)
     rng = random.Random(seed)
     score = lambda x: fitness(x, lengths, capacity)
     people = [np.frombuffer(x, "<i4").astype(int) for x in elites]
@@ -201,9 +256,12 @@ def evolve(counts: dict[int, int], elites: list[bytes], seed: int, capacity: int
     best = min(people, key=score)
     if score(best)[0] > least:
         people += [start_from(lengths, capacity, rng, capacity / 16) for _ in range(POPULATION - len(people))]
+        since = 0
         for _ in range(GENERATIONS):
             people.sort(key=score)
-            if score(people[0])[0] <= least:
+            since = 0 if score(people[0]) < score(best) else since + 1
+            best = min(best, people[0], key=score)
+            if score(best)[0] <= least or since > PATIENCE:
                 break
             a, b = people[0], people[rng.randrange(1, len(people))]
             people[-2:] = [cross(a, b, lengths, capacity, rng), cross(b, a, lengths, capacity, rng)]
@@ -227,14 +285,14 @@ def _epoch(capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """pieces with sequence_id and offset: sequences of at most `capacity` tokens, gapless from 0.
 
     pieces has doc_id, piece, start, length (1 to capacity), ids_crc32. Repeated rows are packed each. Empty: empty.
     """
     rows = staged(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("row")))
-    total = rows.where(F.col("length") < capacity).agg(F.sum("length").alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(total / shard_tokens))
+    total, pieces_left = rows.where(F.col("length") < capacity).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    shards = max(1, math.ceil(total / shard_tokens), math.ceil(pieces_left / shard_pieces))
     full = rows.where(F.col("length") >= capacity).select(
         *rows.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

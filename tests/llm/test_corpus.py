@@ -146,6 +146,46 @@ def test_packing_evolves():
     assert packing.fitness(best, lengths, 1024) < packing.fitness(a, lengths, 1024)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packing_beats_best_fit(seed):
+    """Lengths of which two or three fill a sequence, in the registered parameters: at least half way from best fit to the bound."""
+    rng = random.Random(seed)
+    lengths = np.array(sorted(rng.randint(250, 600) for _ in range(2000)))
+    first, least = packing.start_from(lengths, 1024, rng, 0).max() + 1, packing.least_sequences(lengths, 1024)
+    counts, plans = dict(Counter(lengths.tolist())), []
+    for epoch in range(packing.EPOCHS):
+        plans = [packing.evolve(counts, sorted(plans), 1000 * epoch + k) for k in range(packing.ISLANDS)]
+    found = [np.frombuffer(x, "<i4") for x in plans]
+    assert all(np.bincount(x, lengths).max() <= 1024 for x in found)
+    assert least <= min(x.max() + 1 for x in found) <= (first + least) / 2
+
+
+def test_packing_bound():
+    """The lower bound is met by, and never above, the best of all packings of a few items."""
+
+    def fewest(items, bins):
+        if not items:
+            return len(bins)
+        tried = {}
+        for k, room in enumerate(bins):
+            if room >= items[0]:
+                tried[room] = [*bins[:k], room - items[0], *bins[k + 1 :]]
+        return min(fewest(items[1:], x) for x in [*tried.values(), [*bins, 20 - items[0]]])
+
+    rng = random.Random(6)
+    for _ in range(150):
+        items = sorted((rng.randint(1, 19) for _ in range(rng.randint(1, 7))), reverse=True)
+        assert math.ceil(sum(items) / 20) <= packing.least_sequences(np.array(items), 20) <= fewest(items, [])
+    assert packing.least_sequences(np.array([11] * 9), 20) == 9
+
+
+def test_packing_short_pieces(spark):
+    """Shards are bounded in pieces too: a table of mostly empty texts."""
+    rows = packing.pack(packing.cut(table(spark, [None, ""] * 150 + ["a b c"] * 5), capacity=64), capacity=64, shard_pieces=100).collect()
+    assert len(rows) == 305 and len({r.sequence_id >> 32 for r in rows}) == 4
+    whole_packing(rows, 64)
+
+
 def test_packing_rough(spark):
     rows = packing.pack(packing.cut(rough(spark))).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0)[5] == 2 and None in {r.doc_id for r in rows}
