@@ -9,6 +9,7 @@ greatest length. The examples are made by rule, so the model is a bounded consta
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -243,23 +244,23 @@ def learned_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
         parts = []
         while nearest < len(order) and order[nearest][1] <= start:
             nearest += 1
-        at = start
-        for a, b, _ in order[nearest:]:
-            if a >= end:
-                break
-            parts.append((at, a))
-            at = max(at, b)
+        at, k = start, nearest
+        while k < len(order) and order[k][0] < end:
+            parts.append((at, order[k][0]))
+            at = max(at, order[k][1])
+            k += 1
         parts.append((at, end))
         for a, b in parts:
             if b - a < MIN_LENGTH:
                 continue
             run = text[a:b]
             found = [(-bits, x, kind, y) for kind in model() for bits, x, y in stretches(run, kind) if bits >= MIN_BITS]
-            kept: list[tuple[int, int, str, float]] = []
+            kept: list[tuple[int, int, str, float]] = []  # by start; none overlap, so only the neighbours matter
             for minus, x, kind, y in sorted(found):
-                if all(a + y <= p or q <= a + x for p, q, _, _ in kept):
-                    kept.append((a + x, a + y, kind, -minus))
-            spans += sorted(kept)
+                place = bisect.bisect(kept, (a + x,))
+                if (not place or kept[place - 1][1] <= a + x) and (place == len(kept) or a + y <= kept[place][0]):
+                    kept.insert(place, (a + x, a + y, kind, -minus))
+            spans += kept
     return spans
 
 

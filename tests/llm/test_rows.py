@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -294,6 +295,23 @@ def test_secret_of_any_length(n):
         assert [x[:3] for x in secret_scan.learned_spans(text, [])] == [(at, at + len(secret), "web_token")]
 
 
+def test_secret_overlaps():
+    """Of overlapping stretches the likeliest stays, as in a plain search over all pairs; a run of thousands of keys is no burden."""
+    rng = random.Random(11)
+    key = lambda: "AKIA" + "".join(rng.choices(secret_scan.UPPER + secret_scan.DIGIT, k=16))
+    for _ in range(40):
+        run = "".join(rng.choice([key(), "ghp_" + "".join(rng.choices(secret_scan.UPPER + secret_scan.LOWER, k=36)), "=", "/x"]) for _ in range(12))
+        found = [(-bits, x, kind, y) for kind in secret_scan.model() for bits, x, y in secret_scan.stretches(run, kind) if bits >= secret_scan.MIN_BITS]
+        plain = []
+        for minus, x, kind, y in sorted(found):
+            if all(y <= p or q <= x for p, q, _, _ in plain):
+                plain.append((x, y, kind, -minus))
+        assert secret_scan.learned_spans(run + " end", []) == sorted(plain) or len(run) < secret_scan.MIN_LENGTH
+    begun = time.monotonic()
+    assert len(secret_scan.learned_spans(("/" * 60).join(key() for _ in range(10000)), [])) == 10000
+    assert time.monotonic() - begun < 30
+
+
 def test_secret_digest_and_mask(spark):
     text = f"é {KEY} and token = 'abcdefghijkl' and ghp_{'aB3' * 12}."
     docs = table(spark, [text, "clean", None])
