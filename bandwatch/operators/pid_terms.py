@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bandwatch.operators.slices import frame_aggregates, tile_order, with_tiles
 
 HALF_BITS = 30
+# Where rows x look-back stay below it, so does the square in a long.
+SAFE_SPAN = (1 << 31) - 1
 
 
 def proportional_term(df: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> D
 
     The newest row does not take part unless asked for. Without two distinct times the slope
     is 0. Times are whole ms since the frame's tile, and what is summed of times alone stays
-    whole: squares in two halves, so that no sum of a frame leaves the range of a long.
+    whole: squares in two halves, so that no sum of a frame leaves the range of a long. Only
+    frames with very many rows need decimals for their products.
     """
     t = F.col("ts") - F.col("tile")
     square = t * t
@@ -62,18 +65,21 @@ def slope_term(df: DataFrame, window_ms: int, include_latest: bool = False) -> D
     n, y = F.col("_n"), F.col("_y")
     whole = lambda c: c.cast("decimal(27,0)")  # noqa: E731  its products fit into 38 digits
     squares = whole(F.col("_high")) * (1 << HALF_BITS) + F.col("_low")
+    # n * sum of squares - square of the sum: the same from any origin, and exact
+    large = (n.cast("decimal(10,0)") * squares.cast("decimal(27,0)")
+             - F.col("_t").cast("decimal(19,0)") * F.col("_t").cast("decimal(19,0)"))
+    small = n * (F.shiftleft(F.col("_high"), HALF_BITS) + F.col("_low")) - F.col("_t") * F.col("_t")
     framed = framed.withColumns({
         "_from_first": F.col("_t") - n * shift,
-        # n * sum of squares - square of the sum: the same from any origin, and exact
-        "_under": (n.cast("decimal(10,0)") * squares.cast("decimal(27,0)")
-                   - F.col("_t").cast("decimal(19,0)") * F.col("_t").cast("decimal(19,0)")),
+        "_under": F.when(n <= SAFE_SPAN // window_ms, small.cast("double"))
+        .otherwise(large.cast("double")),
     })
     over = n * (F.col("_ty") - shift * y) - y * F.col("_from_first")
     # The sum of the times since the first is 0 only if all times are equal.
     spread = (F.col("_from_first") > 0) & (F.col("_under") != 0)
     return framed.withColumn(
         "slope",
-        F.when(spread, 1000 * F.try_divide(over, F.col("_under").cast("double"))).otherwise(0.0),
+        F.when(spread, 1000 * F.try_divide(over, F.col("_under"))).otherwise(0.0),
     ).select(*df.columns, "slope")
 
 

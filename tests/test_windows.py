@@ -156,6 +156,18 @@ def test_slope_of_a_dense_burst_at_the_end_of_a_wide_tile(spark):
         assert row.slope == pytest.approx(model.slope(buffer[: i + 1], window_s), rel=1e-6, abs=1e-6)
 
 
+def test_slope_in_longs_and_in_decimals(spark, data, monkeypatch):
+    """Both ways to multiply give the same slopes, to the last bit."""
+    from bandwatch.operators import pid_terms
+    df, _ = data
+    slopes = []
+    for safe in (pid_terms.SAFE_SPAN, 5 * WINDOW_S * 1000, 0):
+        monkeypatch.setattr(pid_terms, "SAFE_SPAN", safe)
+        rows = pid_values(df, cfg(spark, PID), WINDOW_S).select("reading_name", "rule_id", "seq", "slope")
+        slopes.append(sorted(str(tuple(r)) for r in rows.collect()))
+    assert slopes[0] == slopes[1] == slopes[2] and len(slopes[0]) > 100
+
+
 @pytest.mark.parametrize("slice_s", SLICES)
 def test_integral_of_equal_times(spark, slice_s):
     """The oldest of the rows of one time is the first of a frame, wherever the tile's edge falls."""
