@@ -57,6 +57,8 @@ def main() -> None:
         # Small data: keep the partitions apart, or one thread would sort everything.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
+        # Without a call site for every column: half of the calls that build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bandwatch-bench-"))
