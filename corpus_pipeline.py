@@ -28,7 +28,8 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near copies the document with the smallest id, once; documents without words all stay.
 
     A document is an id with a text: different texts under one id, or under none, are judged each by itself. Rows
-    without an id come last in a group.
+    without an id come last in a group. Of rows that differ in other columns alone, the first in order of these
+    columns as JSON stays. Texts meet by 64-bit hashes of id and text; where two share one, both stay or go.
     """
     row = F.xxhash64("doc_id", "text")
     found = staged(jaccard_join.join(docs.select(row.alias("_row"), "text"), "_row").groupBy("doc_id").agg(F.count("*").alias("count"), F.min("component_id").alias("group")))
@@ -44,7 +45,18 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = [kept.where(how).select("_row") for how in ("count = 1", "count > 1")]
     numbered = docs.withColumn("_row", row)
     once, again = (numbered.join(F.broadcast(x) if few else x, "_row", "left_semi") for x in rows)
-    return once.unionByName(again.dropDuplicates(["_row"])).select(docs.columns)
+    return once.select(docs.columns).unionByName(one_each(again.select(docs.columns)))
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row for each id and text: the first by its other columns."""
+    keys = ["doc_id", "text"]
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    rest = F.struct(*others)
+    chosen = rows.groupBy(*keys).agg(F.min_by(rest, F.to_json(rest)).alias("_rest"))
+    return chosen.select(*keys, "_rest.*").select(rows.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
