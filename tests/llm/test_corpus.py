@@ -407,6 +407,15 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     assert got == sorted([(3, a), (4, b), (6, c), (6, d), (None, e), (8, None), (9, "")], key=str)
 
 
+def test_same_document_with_other_columns(spark):
+    """Of rows that differ in other columns only, the same one stays however they are dealt; nulls and plain tables too."""
+    rows = [(1, "one text of five words", lang, "s", n) for n in (3, 1, 2) for lang in ("en", None)] + [(2, "x", "de", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(map(tuple, corpus_pipeline.jaccard_groups(spark, d, "").collect())) for d in (docs, docs.repartition(3), docs.orderBy(docs.n_chars.desc()))]
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [1, 2]
+    assert corpus_pipeline.one_each(docs.select("text", "doc_id")).count() == 2
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_rough(spark, name, stage):
     for docs in (rough(spark), empty(spark)):
