@@ -4,10 +4,15 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from bandwatch.operators import slices
 from bandwatch.operators.pid_terms import slope_term
+from bandwatch.operators.rules import active_rules
 from bandwatch.operators.slices import with_halo
-from bandwatch.plans.checks import all_alarms, pid_checked, pid_values, simple_checked, time_since_checked
+from bandwatch.plans.checks import (
+    all_alarms, pid_checked, pid_values, shared_slices, simple_checked, sliced_rows, time_since_checked,
+)
 from tests import model
 from tests.helpers import START, config, readings, rule_doc
 
@@ -204,3 +209,16 @@ def test_one_dense_slice_is_many_tasks(spark):
     assert split.select("slice").distinct().count() > 20
     told = lambda df: sorted((r.rule_id, r.seq, r.severity) for r in df.select("rule_id", "seq", "severity").collect())
     assert told(whole) == told(split) and len({r[2] for r in told(split)}) > 2
+
+
+def test_no_task_holds_more_than_a_few_slices(spark, monkeypatch):
+    """The number of tasks follows the rows, however few bytes they are when shuffled."""
+    monkeypatch.setattr(slices, "ROWS_PER_TASK", 10)
+    rows = readings(spark, [(t, t % 7) for t in range(400)])
+    rules = active_rules(config(spark, rule_doc(*PID[:1])), "pid")
+    shared = shared_slices(rows, [rules], 10_000, 20_000)
+    own = sliced_rows(rows, rules, 10_000, 20_000)
+    for cut in (shared, own):
+        placed = cut.groupBy("slice", F.spark_partition_id().alias("task")).count().collect()
+        assert len({r["slice"] for r in placed}) == len(placed) >= 20  # a slice in one task
+        assert len({r["task"] for r in placed}) == len(placed)  # and no other with it
