@@ -8,7 +8,7 @@ import time
 
 import pytest
 
-from bandwatch.llm import bpe, host_rules, html_text, language_id, secret_scan, url_filter
+from bandwatch.llm import bpe, host_rules, html_text, language_id, secret_scan, token_counts, url_filter
 from bandwatch.llm.common import remainder
 
 from .helpers import LONG, empty, rough, table
@@ -402,3 +402,27 @@ def test_encoder_remembers_within_bounds():
     assert sorted(e.known) == ["a", "few", "short", "words"]
     e.bytes = bpe.CACHED_BYTES + 1
     assert e.encode(["few new"])[0][2] == 2 and sorted(e.known) == ["few", "new"]
+
+
+def test_bpe_merges_a_word_once():
+    """A word that stood within a run is not merged again by itself, nor the other way round."""
+    encoder = bpe.Encoder(bpe.default_path())
+    first = encoder.encode(["'s storm, wind storm's 'swell été!"])
+    merged = []
+    merge = encoder.vocabulary.merge
+    encoder.vocabulary.merge = lambda words: merged.extend(words) or merge(words)
+    again = encoder.encode(["storm wind, été !", "", None])
+    assert merged == []
+    assert again == bpe.Encoder(bpe.default_path()).encode(["storm wind, été !", "", None])
+    assert first == bpe.Encoder(bpe.default_path()).encode(["'s storm, wind storm's 'swell été!"])
+
+
+def test_token_counts_take_the_faster_library_for_plain_texts():
+    texts = ["a plain text's words, 12345  and <|endoftext|> blanks   \n\n", "été über", "x" * 3000, " " * 3000, "", None]
+    slow = token_counts.Counter(token_counts.default_path())
+    slow.fast = None
+    expected = slow.counts([*texts, "漢 words"])
+    counter = token_counts.Counter(token_counts.default_path())
+    assert counter.counts([*texts, "漢 words"]) == expected
+    counter._short = lambda texts, which, found: None if not which else pytest.fail("took the slower one")
+    assert counter.counts(texts) == expected[:-1]
