@@ -57,6 +57,7 @@ class Vocabulary:
         ids: dict[str, int] = told["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.names = {i: name for name, i in ids.items()} | {i: name for name, i in self.special.items()}
+        self.numbers = {i: str(i) for i in self.names}
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         names = byte_names()
         self.inner = np.array([ids[x] for x in names], np.int32)
@@ -174,17 +175,27 @@ class Encoder:
         return out
 
     def _learn(self, chunks: set[str]) -> dict[str, tuple[str, str, int]]:
-        """Ids as text, tokens as text and their number for each new chunk; short ones are remembered."""
-        vocabulary = self.vocabulary
+        """Ids as text, tokens as text and their number for each new chunk; short ones are remembered.
+
+        So are their words: a word is split alike by itself and within a chunk.
+        """
+        vocabulary, known = self.vocabulary, self.known
+        names, numbers = vocabulary.names, vocabulary.numbers
         pieces = {c: WORDS.findall(c) for c in chunks if c[0] != " "}
-        distinct = sorted({w for ws in pieces.values() for w in ws})
-        ids = dict(zip(distinct, vocabulary.merge([w.encode() for w in distinct]), strict=True))
+        distinct = sorted({w for ws in pieces.values() for w in ws if w not in known})
         learnt = {}
+        for w, got in zip(distinct, vocabulary.merge([w.encode() for w in distinct]), strict=True):
+            learnt[w] = " ".join([numbers[i] for i in got]), " ".join([names[i] for i in got]), len(got)
         for c in chunks:
-            got = [vocabulary.special[c[1:]]] if c[0] == " " else [i for w in pieces[c] for i in ids[w]]
-            learnt[c] = told = " ".join(map(str, got)), " ".join(vocabulary.names[i] for i in got), len(got)
+            if c[0] == " ":
+                i = vocabulary.special[c[1:]]
+                learnt[c] = numbers[i], names[i], 1
+            elif c not in learnt:
+                parts = [known.get(w) or learnt[w] for w in pieces[c]]
+                learnt[c] = " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
+        for c, told in learnt.items():
             if len(c) <= REMEMBERED:
-                self.known[c] = told
+                known[c] = told
                 self.bytes += ENTRY_BYTES + len(c) + len(told[0]) + len(told[1])
         return learnt
 
@@ -197,8 +208,11 @@ class Encoder:
         learnt = self._learn(set().union(*split) - self.known.keys())
         known, out = self.known, []
         for chunks in split:
-            got = [known.get(c) or learnt[c] for c in chunks]
-            out.append((" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum([x[2] for x in got])))
+            got = list(map(known.get, chunks))
+            if None in got:
+                got = [x or learnt[c] for c, x in zip(chunks, got, strict=True)]
+            ids, decoded, sizes = zip(*got, strict=True) if got else ((), (), ())
+            out.append((" ".join(ids), " ".join(decoded), sum(sizes)))
         return out
 
 
