@@ -76,6 +76,64 @@ def test_search_skips_most_blocks():
         assert best.ids[n].tolist() == [d for d, _ in want[q]]
 
 
+def shards_of(texts, size):
+    """Shards of some texts, numbered from 0, and the mean length."""
+    rows = []
+    for lo in range(0, len(texts), size):
+        shard = topk_search.Builder()
+        for i, text in enumerate(texts[lo : lo + size]):
+            shard.add(lo + i, ascii_words(text))
+        rows.append(shard.row(lo).to_pylist()[0])
+    return rows, sum(r["n_words"] for r in rows) / len(texts)
+
+
+def queries_of(rows, queries, n):
+    """A block of queries, with the terms' counts over all shards."""
+    df = defaultdict(int)
+    for row in rows:
+        for term, count in zip(topk_search._unpress(row["terms"], "<u8").tolist(), topk_search._unpress(row["df"], "<u4").tolist(), strict=True):
+            df[term] += count
+    hashes = [sorted(topk_search.xxhash.xxh3_64_intdigest(w) for w in set(ascii_words(t))) for t in queries.values()]
+    asked = [x for h in hashes for x in h]
+    return topk_search.Queries(np.array(list(queries)), np.array([len(h) for h in hashes]), np.array(asked, np.uint64).view(np.int64), np.array([df[x] for x in asked]), n)
+
+
+@pytest.mark.parametrize("size", [700, 150])
+def test_search_by_parts(monkeypatch, size):
+    """Of documents in parts, of several vocabularies and lengths, nothing is lost, whatever the shard; ties go by id."""
+    for name, value in {"PART_DOCS": 64, "BLOCK": 16, "BATCH": 9, "PIECE": 50}.items():
+        monkeypatch.setattr(topk_search, name, value)
+    rng = random.Random(3)
+    texts = [" ".join(f"{'abc'[i % 3]}{int(rng.paretovariate(0.8)) % 400}" for _ in range(rng.choice([3, 40, 200]))) for i in range(660)]
+    texts += texts[:12] + [texts[5]] * 15 + ["a1 " * 300 + "rare", "b2 " * 70_000 + "a1 rare", "alone", " ".join(f"c{i}" for i in range(400))] + texts[7:16]
+    rows, average = shards_of(texts, size)
+    assert size < len(texts) // 2 or len(topk_search._unpress(rows[0]["parts"], "<u4")) > 3
+    queries = {i: texts[i] for i in [*range(0, 660, 11), 5, *range(680, len(texts))]}
+    got = defaultdict(list)
+    found = topk_search.answer(iter(rows), queries_of(rows, queries, len(texts)), average, 10).to_pydict()
+    for q, d, score in zip(*found.values(), strict=True):
+        got[q].append((d, score))
+    want = brute_top(dict(enumerate(texts)), queries, 10)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [d for d, _ in got[q]] == [d for d, _ in want[q]]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+
+
+def test_search_adds_few_entries():
+    """Words that are common in one vocabulary, if rare in the shard, are multiplied, not added entry by entry."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{rng.randrange(60)}" for _ in range(30)) for i in range(8000)]
+    rows, average = shards_of(texts, 8000)
+    block = queries_of(rows, {i: texts[i] for i in range(0, 8000, 20)}, len(texts))
+    shard = topk_search.Shard(rows[0], average)
+    idf = np.zeros(len(shard.terms))
+    idf[np.searchsorted(shard.terms, block.terms)] = block.idf
+    shard.weigh(idf)
+    assert shard.df.max() < len(texts) / 12
+    assert len(shard.entries) < 0.1 * shard.df.sum()
+
+
 def test_search_rough(spark):
     docs = rough(spark)
     got = {(r.query_id, r["rank"]): r.doc_id for r in topk_search.search(docs, docs).collect()}
